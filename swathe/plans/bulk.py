@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathe.functions.measures import batch_size_of
@@ -24,7 +24,7 @@ from swathe.operators.batching import (
     resolve_batches,
     summarise_batches,
 )
-from swathe.operators.dedup import DUPLICATE, MISSING, UNIQUE, claimed_keys, mark_duplicates
+from swathe.operators.dedup import DUPLICATE, UNIQUE, claimed_keys, mark_duplicates
 from swathe.operators.mutate import account_slice, mutate, mutate_keys
 from swathe.operators.targets import ids_frame, in_scope, target_predicate
 from swathe.sources.staging import release, stage
@@ -36,25 +36,217 @@ MESSAGES = {
 }
 
 
-@dataclass(frozen=True)
 class ActionResult:
-    """What an action did. All members are lazy views over staged per-row classes.
-
-    ``table`` is the whole new version, ``account_rows`` only the acting account's part of it (all
-    that a write-back to an account-partitioned table has to replace).
+    """What an action did. The request is checked at once; every member is computed when it is
+    first asked for.
+
+    * ``table`` -- the whole new version of the table,
+    * ``account_rows`` -- only the acting account's part of it, which is all that a write-back to
+      an account-partitioned table has to replace,
+    * ``outcomes`` -- one audit row per planned entity,
+    * ``batches`` and ``stats`` -- counters per batch and for the action,
+    * ``ledger`` -- newly claimed de-duplication keys (None without de-duplication).
+
+    The per-row classes behind them are staged once (``classified``). An update or delete whose
+    effect depends on each row alone does not need them: its ``table`` is a single projection.
     """
 
-    table: DataFrame
-    account_rows: DataFrame
-    outcomes: DataFrame
-    batches: DataFrame
-    stats: DataFrame
-    ledger: DataFrame | None
-    classified: DataFrame
+    def __init__(self, table: DataFrame, entity: EntitySpec, spec: ActionSpec, as_of: Any,
+                 plan: DataFrame | None, ledger: DataFrame | None, stop_after: int | None,
+                 failed: DataFrame | None, started_at: Any, finished_at: Any) -> None:
+        self._source, self._entity, self._spec, self._as_of = table, entity, spec, as_of
+        self._stop_after, self._failed = stop_after, failed
+        self._times = (started_at, finished_at)
+        params = check_spec(entity, spec, table.columns)
+        self._action = get_action(spec.action, entity.name)
+        self._mutation = self._action.build(entity, params, table)
+        self._size = batch_size_of(spec.batch_size, spec.rate_limit_per_minute)
+        self._stored_plan = plan
+        self._claimed = (None if ledger is None
+                         else ledger.where(F.col("action_id") == spec.action_id))
+        if spec.ids is None:
+            self._predicate = target_predicate(table, entity, spec.account, spec.filter,
+                                               self._action.include_deleted)
+        else:
+            self._predicate = in_scope(table, entity, spec.account, self._action.include_deleted)
+
+    # --- target rows and their batches ------------------------------------------------------
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        """Target rows with the few columns classification needs: key, duplicate field, whether
+        they already look as requested."""
+        pk, spec, mutation = self._entity.pk, self._spec, self._mutation
+        columns = [F.col(pk)]
+        if spec.dedup_by and spec.dedup_by != pk:
+            columns.append(F.col(spec.dedup_by))
+        unchanged = F.lit(False) if mutation.unchanged is None else mutation.unchanged
+        details = mutation.details if mutation.row_details else F.lit(None).cast("string")
+        return self._source.where(self._predicate).select(
+            *columns, F.coalesce(unchanged, F.lit(False)).alias("_same"),
+            details.alias("_details"))
+
+    @cached_property
+    def _requested(self) -> DataFrame:
+        """Explicit ids with their batches."""
+        ids, pk = self._spec.ids, self._entity.pk
+        if not isinstance(ids, DataFrame):
+            kind = self._source.schema[pk].dataType.simpleString()
+            ids = ids_frame(self._source.sparkSession, ids, pk, kind)
+        return assign_ids(ids, pk, self._size)
+
+    @cached_property
+    def _batched_rows(self) -> DataFrame:
+        return assign_batches(self._rows, self._entity.pk, self._size)
+
+    @cached_property
+    def _plan(self) -> DataFrame | None:
+        """Planned batches, where they are more than a summary of the rows processed."""
+        pk = self._entity.pk
+        if self._spec.ids is not None:
+            return summarise_batches(self._requested, pk)
+        if self._stored_plan is not None:
+            return self._stored_plan
+        if self._failed is not None or self._stop_after is not None:
+            return summarise_batches(self._batched_rows, pk)
+        return None
+
+    @cached_property
+    def _plan_that_ran(self) -> DataFrame | None:
+        ran = self._plan
+        if ran is not None and self._failed is not None:
+            ran = ran.join(self._failed.select("batch_index"), "batch_index", "left_anti")
+        if ran is not None and self._stop_after is not None:
+            ran = ran.where(F.col("batch_index") < self._stop_after)
+        return ran
+
+    # --- classification ---------------------------------------------------------------------
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        """Every live target row with its batch and class (applied / no_change / duplicate)."""
+        pk, spec, by_ids = self._entity.pk, self._spec, self._spec.ids is not None
+        if by_ids:
+            live = self._rows.join(self._requested, pk)
+        elif self._stored_plan is not None:
+            live = resolve_batches(self._rows, pk, self._stored_plan)
+        elif self._plan is not None:
+            live = self._batched_rows
+        else:
+            live = self._rows
+        if self._plan is not None:
+            # Batches that gave up or were cancelled left no effect and claim no key.
+            if self._failed is not None:
+                live = live.join(self._failed.select("batch_index"), "batch_index", "left_anti")
+            if self._stop_after is not None:
+                live = live.where(F.col("batch_index") < self._stop_after)
+
+        # A filter's batches follow the key order, so "first in batch order" is "first by key".
+        order = ["batch_index", pk] if by_ids else [pk]
+        if spec.dedup_by:
+            live = mark_duplicates(live, pk, spec.dedup_by, order, self._claimed)
+        else:
+            live = live.withColumns({"dedup_key": F.lit(None).cast("string"),
+                                     "dedup_class": F.lit(UNIQUE)})
+        live = live.withColumn("action_class", F.when(
+            F.col("dedup_class") == DUPLICATE, "duplicate")
+            .when(F.col("_same"), "no_change").otherwise("applied"))
+        columns = [pk, "dedup_key", "dedup_class", "action_class", "_details"]
+        if self._plan is None:
+            # Numbering stages its input: one sort and one write for the whole action.
+            return assign_batches(live.select(*columns), pk, self._size)
+        return stage(live.select(*columns, "batch_index"), "classified")
+
+    # --- results ----------------------------------------------------------------------------
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        pk, spec = self._entity.pk, self._spec
+        kind = self._source.schema[pk].dataType
+        rows = _audit_rows(self.classified, self._entity, spec, self._mutation)
+        if self._plan_that_ran is not None and not (spec.ids is not None and spec.report_ids):
+            gone = drift_rows(self._plan_that_ran, self.classified.select("batch_index"))
+            rows = rows.unionByName(_simple_rows(
+                gone.select("batch_index", F.lit(None).cast(kind).alias("entity_id")),
+                spec, "skipped", "left_target_set"))
+        elif self._plan_that_ran is not None:
+            lost = (self._requested.join(self._plan_that_ran.select("batch_index"),
+                                         "batch_index", "left_semi")
+                    .join(self._rows.select(pk), pk, "left_anti")
+                    .select("batch_index", F.col(pk).alias("entity_id")))
+            rows = rows.unionByName(_simple_rows(lost, spec, "failed", "entity_not_found"))
+        if self._failed is not None:
+            gave_up = failed_batch_rows(self._plan, self._failed)
+            rows = rows.unionByName(gave_up.select(
+                F.lit(spec.action_id).alias("action_id"), "batch_index",
+                F.lit(None).cast(kind).alias("entity_id"), "status", "reason_code", "message",
+                F.lit(None).cast("string").alias("details")))
+        return rows
+
+    @cached_property
+    def batches(self) -> DataFrame:
+        if self._plan is None:
+            return _whole_batches(self.outcomes, self._spec)
+        return _batch_rows(self._plan.drop("status"), self.outcomes, self._spec,
+                           self._stop_after, self._failed)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        started, finished = self._times
+        head = self._source.sparkSession.range(1).select(
+            F.lit(self._spec.action_id).alias("action_id"),
+            F.lit(self._entity.name).alias("entity_type"),
+            F.lit(self._action.name).alias("action_type"),
+            F.lit(started).cast("timestamp").alias("started_at"),
+            F.lit(finished).cast("timestamp").alias("finished_at"))
+        if self._stop_after is not None:
+            stopped = self.batches.agg(F.count_if(F.col("status") == "cancelled")).scalar()
+            head = head.withColumn("status", F.when(stopped > 0, "cancelled"))
+        return single_action_stats(head, self.batches, self.outcomes)
+
+    @property
+    def _row_local(self) -> bool:
+        """Whether a row's change depends on that row alone."""
+        return not (self._spec.dedup_by or self._spec.ids is not None
+                    or self._stored_plan is not None or self._failed is not None
+                    or self._stop_after is not None)
+
+    @cached_property
+    def _chosen(self) -> Column:
+        unchanged = self._mutation.unchanged
+        if unchanged is None:
+            return self._predicate
+        return self._predicate & ~F.coalesce(unchanged, F.lit(False))
+
+    @cached_property
+    def _applied_keys(self) -> DataFrame:
+        return self.classified.where(F.col("action_class") == "applied").select(self._entity.pk)
+
+    @cached_property
+    def table(self) -> DataFrame:
+        if self._row_local:
+            return mutate(self._source, self._entity, self._mutation, self._chosen, self._as_of)
+        return mutate_keys(self._source, self._entity, self._mutation, self._applied_keys,
+                           self._spec.account, self._as_of)
+
+    @cached_property
+    def account_rows(self) -> DataFrame:
+        ours = self._source.where(
+            F.col(self._entity.account) == F.lit(self._spec.account))
+        if self._row_local:
+            return mutate(ours, self._entity, self._mutation, self._chosen, self._as_of)
+        return account_slice(ours, self._entity, self._mutation, self._applied_keys, self._as_of)
+
+    @cached_property
+    def ledger(self) -> DataFrame | None:
+        if not self._spec.dedup_by:
+            return None
+        return claimed_keys(self.classified, self._entity.pk, self._spec.action_id, self._claimed)
 
     def release(self) -> None:
         """Remove the staged files once all results have been written."""
-        release(self.classified)
+        release(*(self.__dict__[n] for n in ("classified", "_requested", "_batched_rows")
+                  if n in self.__dict__))
 
 
 def run_action(
@@ -78,125 +270,8 @@ def run_action(
     repeated run keep its winners. ``stop_after`` cancels the batches from that index on;
     ``failed(batch_index, error)`` lists batches that gave up and left no effect.
     """
-    params = check_spec(entity, spec, table.columns)
-    action = get_action(spec.action, entity.name)
-    mutation = action.build(entity, params, table)
-    pk, size = entity.pk, batch_size_of(spec.batch_size, spec.rate_limit_per_minute)
-    if ledger is not None:
-        ledger = ledger.where(F.col("action_id") == spec.action_id)
-
-    by_ids = spec.ids is not None
-    if by_ids:
-        predicate = in_scope(table, entity, spec.account, action.include_deleted)
-    else:
-        predicate = target_predicate(table, entity, spec.account, spec.filter,
-                                     action.include_deleted)
-    rows = table.where(predicate).select(*_needed(table, entity, spec, mutation))
-
-    # Batches. A filter's batches follow the key order, so "first in batch order" is "first by
-    # key" and duplicates can be decided before rows are numbered: one staged sort in total.
-    not_found = None
-    if by_ids:
-        ids = spec.ids if isinstance(spec.ids, DataFrame) else ids_frame(
-            table.sparkSession, spec.ids, pk, table.schema[pk].dataType.simpleString())
-        assigned = assign_ids(ids, pk, size)
-        plan = summarise_batches(assigned, pk)
-        live = rows.join(assigned, pk)
-        if spec.report_ids:
-            not_found = assigned.join(rows.select(pk), pk, "left_anti")
-        order = ["batch_index", pk]
-    elif plan is not None:
-        live, order = resolve_batches(rows, pk, plan), [pk]
-    elif failed is not None:
-        live, order = assign_batches(rows, pk, size), [pk]
-    else:
-        live, order = rows, [pk]
-    if failed is not None:
-        # A batch that gave up was rolled back, so its rows claim no key either.
-        live = live.join(failed.select("batch_index"), "batch_index", "left_anti")
-        if plan is None:
-            plan = summarise_batches(assign_batches(rows.select(pk), pk, size), pk)
-
-    if spec.dedup_by:
-        live = mark_duplicates(live, pk, spec.dedup_by, order, ledger)
-    else:
-        live = live.withColumns({"dedup_key": F.lit(None).cast("string"),
-                                 "dedup_class": F.lit(UNIQUE)})
-    live = live.withColumns({
-        "action_class": F.when(F.col("dedup_class") == DUPLICATE, "duplicate")
-        .when(F.col("_same"), "no_change").otherwise("applied")})
-    live = live.select(pk, "dedup_key", "dedup_class", "action_class", "_details",
-                       *(["batch_index"] if "batch_index" in live.columns else []))
-    classified = (stage(live, "classified") if "batch_index" in live.columns
-                  else assign_batches(live, pk, size))
-    if stop_after is not None:
-        classified = classified.where(F.col("batch_index") < stop_after)
-
-    outcomes = _audit_rows(classified, entity, spec, mutation)
-    if plan is not None:
-        ran = plan if failed is None else plan.join(failed, "batch_index", "left_anti")
-        ran = ran if stop_after is None else ran.where(F.col("batch_index") < stop_after)
-        if not_found is None:
-            gone = drift_rows(ran, classified.select("batch_index")).select(
-                "batch_index", F.lit(None).cast(table.schema[pk].dataType).alias("entity_id"))
-            outcomes = outcomes.unionByName(_simple_rows(
-                gone, spec, "skipped", "left_target_set"))
-        else:
-            if stop_after is not None:
-                not_found = not_found.where(F.col("batch_index") < stop_after)
-            gone = not_found.select("batch_index", F.col(pk).alias("entity_id"))
-            outcomes = outcomes.unionByName(_simple_rows(gone, spec, "failed", "entity_not_found"))
-        if failed is not None:
-            gave_up = failed_batch_rows(plan, failed).select(
-                F.lit(spec.action_id).alias("action_id"), "batch_index",
-                F.lit(None).cast(table.schema[pk].dataType).alias("entity_id"), "status",
-                "reason_code", "message", F.lit(None).cast("string").alias("details"))
-            outcomes = outcomes.unionByName(gave_up)
-
-    if plan is None and stop_after is not None:
-        plan = summarise_batches(assign_batches(rows.select(pk), pk, size), pk)
-    if plan is None:
-        batches = _whole_batches(outcomes, spec)
-    else:
-        batches = _batch_rows(plan.drop("status"), outcomes, spec, stop_after, failed)
-
-    applied = classified.where(F.col("action_class") == "applied").select(pk)
-    ours = F.col(entity.account).eqNullSafe(F.lit(spec.account))
-    whole = not (by_ids or spec.dedup_by or plan is not None or stop_after is not None)
-    if whole:
-        # Whether a row changes depends on that row alone: one projection, no join.
-        chosen = predicate if mutation.unchanged is None else (
-            predicate & ~F.coalesce(mutation.unchanged, F.lit(False)))
-        new_table = mutate(table, entity, mutation, chosen, as_of)
-        account_rows = mutate(table.where(ours), entity, mutation, chosen, as_of)
-    else:
-        new_table = mutate_keys(table, entity, mutation, applied, spec.account, as_of)
-        account_rows = account_slice(table.where(ours), entity, mutation, applied, as_of)
-
-    head = table.sparkSession.range(1).select(
-        F.lit(spec.action_id).alias("action_id"), F.lit(entity.name).alias("entity_type"),
-        F.lit(action.name).alias("action_type"),
-        F.lit(started_at).cast("timestamp").alias("started_at"),
-        F.lit(finished_at).cast("timestamp").alias("finished_at"))
-    if stop_after is not None:
-        open_batches = batches.where(F.col("status") == "cancelled").agg(F.count("*")).scalar()
-        head = head.withColumn("status", F.when(open_batches > 0, "cancelled"))
-    stats = single_action_stats(head, batches, outcomes)
-
-    claims = claimed_keys(classified, pk, spec.action_id, ledger) if spec.dedup_by else None
-    return ActionResult(new_table, account_rows, outcomes, batches, stats, claims, classified)
-
-
-def _needed(table: DataFrame, entity: EntitySpec, spec: ActionSpec, mutation: Mutation
-            ) -> list[Column]:
-    """The few columns that classification needs: key, duplicate field, no-op flag."""
-    columns = [F.col(entity.pk)]
-    if spec.dedup_by and spec.dedup_by != entity.pk:
-        columns.append(F.col(spec.dedup_by))
-    unchanged = F.lit(False) if mutation.unchanged is None else mutation.unchanged
-    details = mutation.details if mutation.row_details else F.lit(None).cast("string")
-    return [*columns, F.coalesce(unchanged, F.lit(False)).alias("_same"),
-            details.alias("_details")]
+    return ActionResult(table, entity, spec, as_of, plan, ledger, stop_after, failed, started_at,
+                        finished_at)
 
 
 def _audit_rows(classified: DataFrame, entity: EntitySpec, spec: ActionSpec, mutation: Mutation
@@ -267,10 +342,9 @@ def numbered_outcomes(outcomes: DataFrame) -> DataFrame:
     The number is the batch index in the high bits and the position in its batch in the low ones,
     so it needs no global order: a batch is at most a few ten thousand rows.
     """
-    from pyspark.sql import Window
     place = Window.partitionBy("action_id", "batch_index").orderBy("entity_id", "reason_code")
     return outcomes.withColumn(
         "log_id", F.shiftleft("batch_index", 20) + F.row_number().over(place))
 
 
-__all__ = ["MESSAGES", "MISSING", "ActionResult", "numbered_outcomes", "run_action"]
+__all__ = ["MESSAGES", "ActionResult", "numbered_outcomes", "run_action"]
