@@ -232,12 +232,13 @@ def cancellable(spark, sf):
       'failed' AS status, 'batch_error' AS reason_code,
       substr('Gave up after 3 attempts: ' || repeat('no space ', batch_index + 90), 1, 1000)
         AS message
-    FROM {AUDIT_BATCHES_SQL} WHERE failure_count >= 1 AND action_id = 77""")
+    FROM {AUDIT_BATCHES_SQL} WHERE failure_count >= 1""")
 def failed_batch_rows(spark, sf):
-    batches = audit_batches(spark, sf).where("failure_count >= 1 AND action_id = 77")
-    errors = batches.selectExpr("batch_index",
-                                "repeat('no space ', cast(batch_index + 90 AS int)) AS error")
-    return acc.failed_batch_rows(batches, errors).withColumn("action_id", F.lit(77).cast("bigint"))
+    batches = audit_batches(spark, sf)
+    errors = batches.where("failure_count >= 1").selectExpr(
+        "action_id", "batch_index",
+        "repeat('no space ', cast(batch_index + 90 AS int)) AS error")
+    return acc.failed_batch_rows(batches, errors, ["action_id", "batch_index"])
 
 
 _STEPS = """SELECT user_id AS action_id, event_id,

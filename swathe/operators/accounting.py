@@ -186,13 +186,14 @@ def cancellable(status: Column | str = "status") -> Column:
     return ~c.isin(*TERMINAL_STATUSES)
 
 
-def failed_batch_rows(batches: DataFrame, errors: DataFrame) -> DataFrame:
+def failed_batch_rows(batches: DataFrame, errors: DataFrame,
+                      keys: Sequence[str] = ("batch_index",)) -> DataFrame:
     """Audit rows of batches that gave up: one failed row per planned entity, without entity ids
-    since the batch never loaded them. ``errors(batch_index, error)``."""
+    since the batch never loaded them. ``errors`` has the ``keys`` and an ``error`` text."""
     message = F.concat(F.lit(f"Gave up after {MAX_BATCH_ATTEMPTS} attempts: "), F.col("error"))
-    rows = batches.join(errors, "batch_index").where(F.col("entity_count") > 0)
+    rows = batches.join(errors, list(keys)).where(F.col("entity_count") > 0)
     return rows.select(
-        "batch_index",
+        *keys,
         F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("entity_count"))).alias("entity_no"),
         F.lit("failed").alias("status"), F.lit("batch_error").alias("reason_code"),
         truncate(message, OUTCOME_MESSAGE_LENGTH).alias("message"))

@@ -74,6 +74,8 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
     allowed_keys = _lookup(
         {n: [*a.params, "filter", "entity_ids", "deduplicate_by"] for n, a in actions.items()},
         action, "array<string>")
+    required_keys = _lookup({n: list(a.required) for n, a in actions.items()}, action,
+                            "array<string>")
     supported = _lookup(
         {n: [e for e in entities if a.supported(e)] or ["-"] for n, a in actions.items()},
         action, "array<string>")
@@ -97,7 +99,9 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
               .when(known_entity & ~F.array_contains(supported, entity), "unsupported_pair")),
         issue("payload", F.when(keys.isNull(), "not_an_object")
               .when(known_action & (F.size(F.array_except(keys, allowed_keys)) > 0),
-                    "unknown_key")),
+                    "unknown_key")
+              .when(known_action & (F.size(F.array_except(required_keys, keys)) > 0),
+                    "missing_key")),
         issue("filter", F.when(keys.isNotNull() & ~has_filter & ~has_ids, "no_target_set")
               .when(has_filter & has_ids, "two_target_sets")),
         issue("entity_ids", when_true(
@@ -109,8 +113,8 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
         issue("hard", when_true((action == "delete") & known_entity & ~soft & ~hard,
                                 "no_soft_delete_column")),
         issue("updates", when_true(
-            (action == "update") & F.coalesce(F.size(F.json_object_keys(
-                F.get_json_object("payload", "$.updates"))) < 1, F.lit(True)), "empty")),
+            F.size(F.json_object_keys(F.get_json_object("payload", "$.updates"))) == 0,
+            "empty")),
         issue("batch_size", when_true(~F.col("batch_size").between(1, MAX_BATCH_SIZE),
                                       "out_of_range")),
         issue("idempotency_key", when_true(
