@@ -22,6 +22,7 @@ from swathe.model import (
 )
 from swathe.operators.actions import all_actions
 from swathe.operators.ordered import mark_first
+from swathe.sources.staging import stage
 
 
 def validate_updates(df: DataFrame, entity: EntitySpec, updates: str = "updates") -> DataFrame:
@@ -219,7 +220,8 @@ def accept_submissions(submissions: DataFrame, accounts: DataFrame,
     from swathe.model import DEFAULT_SUBMISSIONS_PER_MINUTE
     from swathe.operators.ratelimit import submission_limit
 
-    checked = validate_submissions(submissions, accounts)
+    # Four readers follow, so the checked requests are written once.
+    checked = stage(validate_submissions(submissions, accounts), "requests")
     valid = mark_replays(checked.where(F.size("errors") == 0), existing, pk)
     fresh = submission_limit(valid.where(F.col("replay_of").isNull()), ["created_at", pk],
                              "created_at", per_minute=per_minute or DEFAULT_SUBMISSIONS_PER_MINUTE)

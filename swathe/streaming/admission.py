@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +51,10 @@ def token_bucket_stream(requests: DataFrame, account: str, ids: Sequence[str], a
         level, last, cap = state.get if state.exists else (None, None, None)
         counted = ((pdf["_need"] > 0) & (pdf["_need"] <= pdf["_cap"])).to_numpy()
         out = pdf[[account, *ids]].copy()
-        out["allowed"] = (pdf["_need"] <= 0).to_numpy()
-        out["retry_after_seconds"] = [0.0 if a else None for a in out["allowed"]]
-        out["tokens_remaining"] = pdf["_cap"].where(pdf["_need"] <= 0).astype(float)
+        nothing = (pdf["_need"] <= 0).to_numpy()
+        out["allowed"] = nothing
+        out["retry_after_seconds"] = np.where(nothing, 0.0, np.nan)
+        out["tokens_remaining"] = np.where(nothing, pdf["_cap"].to_numpy(float), np.nan)
         out["unsatisfiable"] = (pdf["_need"] > pdf["_cap"]).to_numpy()
         if counted.any():
             used = pdf[counted]
