@@ -33,7 +33,7 @@ def test_staging_follows_the_session(spark):
     df = spark.range(5).selectExpr("id", "id * 2 AS x")
     staged = stage(df, "t")
     assert staged.schema.names == df.schema.names
-    assert all(f.startswith("file:" + staging_root(spark)) for f in staged.inputFiles())
+    assert staged.inputFiles() and all(staging_root(spark) in f for f in staged.inputFiles())
 
 
 def test_audit_rows_append_and_replace(spark, two_accounts, tmp_path):
@@ -61,7 +61,7 @@ def test_audit_rows_append_and_replace(spark, two_accounts, tmp_path):
 def test_write_back_touches_one_account(spark, two_accounts, tmp_path):
     path = str(tmp_path / "contacts")
     two_accounts.write.partitionBy("account_id").parquet(path)
-    before = {f for f in spark.read.parquet(path).where("account_id = 'b'").inputFiles()}
+    before = sorted(f.name for f in (tmp_path / "contacts" / "account_id=b").iterdir())
     table = spark.read.parquet(path)
     result = run_action(table, CONTACT, action("x", dedup_by="email"), AS_OF)
     winners = result.stats.first().success_count
@@ -71,7 +71,7 @@ def test_write_back_touches_one_account(spark, two_accounts, tmp_path):
     assert after.count() == 65
     assert after.where("status = 'bulk' AND account_id = 'a'").count() == winners
     assert after.where("status = 'bulk' AND account_id = 'b'").count() == 0
-    assert before == {f for f in spark.read.parquet(path).where("account_id = 'b'").inputFiles()}
+    assert before == sorted(f.name for f in (tmp_path / "contacts" / "account_id=b").iterdir())
     one = tables.read_entity(spark, path, CONTACT, "b")
     assert one.count() == 25
     plan = one._jdf.queryExecution().executedPlan().toString()
