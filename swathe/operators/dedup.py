@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from swathe.functions.text import normalise_key
 
@@ -20,21 +21,28 @@ def mark_duplicates(rows: DataFrame, pk: str, field: str, order_by: Sequence[str
     ``ledger(dedup_key, winner_pk)`` holds keys claimed before: such a key can only be won by the
     same row again, so repeating a run changes nothing.
 
-    The winner per key is a combined ``min`` and comes back over ``(pk, key)``, so one key held by
-    a large share of the rows is neither sorted nor joined in a single task.
+    The winner per key is a combined ``min`` and comes back over the unique row key, so one
+    de-duplication key held by a large share of the rows is neither sorted nor joined in a single
+    task.
     """
     order = [*(c for c in order_by if c != pk), pk]
-    keyed = rows.withColumn("dedup_key", normalise_key(field))
+    numeric = isinstance(rows.schema[field].dataType, NumericType)
+    key = F.col(field).cast("string") if numeric else normalise_key(field)
+    keyed = rows.withColumn("dedup_key", key)
+    # min over one number aggregates in place; a struct is only needed for a composite order.
+    first = F.min(pk) if order == [pk] else F.min(F.struct(*order))[pk]
     winners = (keyed.where(F.col("dedup_key").isNotNull())
-               .groupBy(F.col("dedup_key").alias("_key"))
-               .agg(F.min(F.struct(*order)).alias("_first"))
-               .select("_key", F.col(f"_first.{pk}").alias("_winner")))
-    if ledger is not None:
+               .groupBy(F.col("dedup_key").alias("_key")).agg(first.alias("_winner")))
+    won = F.col(pk) == F.col("_winner")
+    if ledger is None:
+        winners = winners.select("_winner")
+    else:
         claimed = ledger.select(F.col("dedup_key").alias("_claimed_key"),
                                 F.col("winner_pk").alias("_claimed_by"))
         winners = (winners.join(claimed, F.col("_key") == F.col("_claimed_key"), "left")
                    .select("_key", F.coalesce("_claimed_by", "_winner").alias("_winner")))
-    won = (F.col(pk) == F.col("_winner")) & (F.col("dedup_key") == F.col("_key"))
+        # A claim may name a row that carries another key by now.
+        won = won & (F.col("dedup_key") == F.col("_key"))
     return keyed.join(winners, won, "left").select(
         *keyed.columns,
         F.when(F.col("dedup_key").isNull(), MISSING)

@@ -172,17 +172,13 @@ def mark_first(
     """Flag the first row of every key, in ``(*order_by, pk)`` order; rows with a null key column
     are flagged too (they are nobody's duplicate).
 
-    The winner is found by a map-side combined ``min`` and joined back on key and pk together, so
-    a key held by a third of all rows is neither sorted nor joined in one task.
+    The winner is found by a map-side combined ``min`` and joined back on the unique ``pk``, so a
+    key held by a third of all rows is neither sorted nor joined in one task.
     """
     order = [*order_by, pk] if pk not in order_by else list(order_by)
     present = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
     columns = df.columns
     winners = (df.where(present).groupBy(*keys)
-               .agg(F.min(F.struct(*order)).alias("_w"))
-               .select(*[F.col(k).alias(f"_w_{k}") for k in keys],
-                       F.col(f"_w.{pk}").alias("_w_pk")))
-    on = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_w_{k}") for k in keys),
-                F.col(pk) == F.col("_w_pk"))
-    return df.join(winners, on, "left").select(
+               .agg(F.min(F.struct(*order)).alias("_w")).select(F.col(f"_w.{pk}").alias("_w_pk")))
+    return df.join(winners, F.col(pk) == F.col("_w_pk"), "left").select(
         *columns, (F.col("_w_pk").isNotNull() | ~present).alias(out))

@@ -14,12 +14,13 @@ account are chained to give every run its starting level, and then all runs deci
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from swathe.functions.measures import retry_after_ms
 from swathe.model import DEFAULT_SUBMISSIONS_PER_MINUTE, IDLE_STATE_GRACE_MS
@@ -50,20 +51,24 @@ def _decide(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: int,
     return admitted, levels
 
 
-def _run_effect(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: int):
+def _run_effect(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: int,
+                pieces: tuple | None = None, last: int | None = None):
     """Level after a run as a function of the level at its first request.
 
     The function is piecewise: on ``[start[i], start[i+1])`` it is either the constant
     ``value[i]`` or the start level plus ``value[i]`` (``moves[i]``). Every request refills (levels
     reaching the top become one constant) and then takes its amount from the levels that have it.
     Neighbouring pieces with the same effect are merged, so requests of one size need at most about
-    ``limit / size`` pieces.
+    ``limit / size`` pieces. ``pieces`` continues an effect whose last request was at ``last``.
     """
-    top = int(limit[0]) * period
-    start = np.array([0], dtype=np.int64)      # first start level of the piece
-    value = np.array([0], dtype=np.int64)      # constant result, or shift
-    moves = np.array([True])
-    last = None
+    if pieces is None:
+        # First start level of each piece (the last entry ends the domain), then its constant
+        # result or shift.
+        start = np.array([0, int(limit[0]) * period + 1], dtype=np.int64)
+        value, moves = np.array([0], dtype=np.int64), np.array([True])
+    else:
+        start, value, moves = pieces
+    start, stop = start[:-1], start[-1]
     for now, need, cap in zip(at.tolist(), amount.tolist(), limit.tolist()):
         full, need = cap * period, need * period
         refill = 0 if last is None else min(max(now - last, 0), period) * cap
@@ -71,7 +76,7 @@ def _run_effect(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: i
         value = value + refill
         for bound, capped in ((full, True), (need, False)):
             # Cut moving pieces where their level crosses the bound, then act on the upper side.
-            end = np.append(start[1:], top + 1)
+            end = np.append(start[1:], stop)
             crossing = bound - value
             cut = moves & (crossing > start) & (crossing < end)
             if cut.any():
@@ -88,7 +93,7 @@ def _run_effect(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: i
                 value = np.where(above, value - need, value)
         keep = np.append(True, (np.diff(value) != 0) | (moves[1:] != moves[:-1]))
         start, value, moves = start[keep], value[keep], moves[keep]
-    return start, value, moves
+    return np.append(start, stop), value, moves
 
 
 def token_bucket(
@@ -119,15 +124,22 @@ def token_bucket(
     runs = laid.join(starts, [account, PART], "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
 
-    def decide(run: pa.Table) -> pa.Table:
-        run = run.sort_by(POS)
-        begin = run["_start"][0].as_py()
-        admitted, levels = _decide(*_columns(run), period_ms, begin)
-        return (run.append_column("_admitted", pa.array(admitted))
-                .append_column("_left", pa.array(levels)))
-
-    decided = runs.groupBy(account, PART).applyInArrow(
-        decide, f"{schema}, _admitted boolean, _left bigint")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = level = last = None
+        for batch in batches:
+            at, need, cap = _columns(batch)
+            admitted, left = np.empty(len(at), dtype=bool), np.empty(len(at), dtype=np.int64)
+            for lo, hi, key in _runs(batch, account):
+                if key != run:
+                    run, level, last = key, batch.column("_start")[lo].as_py(), None
+                admitted[lo:hi], left[lo:hi] = _decide(at[lo:hi], need[lo:hi], cap[lo:hi],
+                                                       period_ms, level, last)
+                level, last = int(left[hi - 1]), int(at[hi - 1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(admitted), pa.array(left)],
+                names=[*batch.schema.names, "_admitted", "_left"])
+
+    decided = _in_run_order(runs).mapInArrow(decide, f"{schema}, _admitted boolean, _left bigint")
     missing = (F.col("_need") * period_ms - F.col("_left")) / F.col("_cap")
     decided = decided.select(
         *requests.columns, F.col("_admitted").alias("allowed"),
@@ -159,13 +171,28 @@ def _start_levels(laid: DataFrame, account: str, period: int) -> DataFrame:
                  .select(account, PART, POS, "_ms", "_need", "_cap"))
     key = f"`{account}` {laid.schema[account].dataType.simpleString()}"
 
-    def effect(run: pa.Table) -> pa.Table:
-        start, value, moves = _run_effect(*_columns(run.sort_by(POS)), period)
-        return pa.table({account: run[account][:1], PART: run[PART][:1],
-                         "start": pa.array([start]), "value": pa.array([value]),
-                         "moves": pa.array([moves])})
-
-    effects = long_rows.groupBy(account, PART).applyInArrow(
+    def effect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = pieces = last = None
+        for batch in batches:
+            at, need, cap = _columns(batch)
+            for lo, hi, key in _runs(batch, account):
+                if key != run:
+                    if run is not None:
+                        yield emit(run, pieces)
+                    run, pieces, last = key, None, None
+                pieces = _run_effect(at[lo:hi], need[lo:hi], cap[lo:hi], period, pieces, last)
+                last = int(at[hi - 1])
+        if run is not None:
+            yield emit(run, pieces)
+
+    kind = laid.schema[account].dataType
+
+    def emit(run, pieces) -> pa.RecordBatch:
+        columns = [pa.array([run[1]], to_arrow_type(kind)), pa.array([run[0]], pa.int32()),
+                   *[pa.array([piece.tolist()]) for piece in pieces]]
+        return pa.RecordBatch.from_arrays(columns, [account, PART, "start", "value", "moves"])
+
+    effects = _in_run_order(long_rows).mapInArrow(
         effect, f"{key}, {PART} int, start array<bigint>, value array<bigint>, "
                 f"moves array<boolean>")
     steps = long_parts.join(effects, [account, PART], "left")
@@ -192,8 +219,25 @@ def _start_levels(laid: DataFrame, account: str, period: int) -> DataFrame:
     return steps.groupBy(account).applyInArrow(chain, f"{key}, {PART} int, _start bigint")
 
 
-def _columns(run: pa.Table) -> list[np.ndarray]:
-    return [run[c].to_numpy() for c in ("_ms", "_need", "_cap")]
+def _in_run_order(rows: DataFrame) -> DataFrame:
+    """Whole runs, one after the other, as a stream of batches: no run is held in memory."""
+    return rows.repartition(PART).sortWithinPartitions(PART, POS)
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy() for c in ("_ms", "_need", "_cap")]
+
+
+def _runs(batch: pa.RecordBatch, account: str) -> Iterator[tuple[int, int, tuple]]:
+    """Stretches of a batch that belong to one run, with the run's ``(part, account)``."""
+    if batch.num_rows == 0:
+        return
+    part = batch.column(PART).to_numpy()
+    owner = batch.column(account)
+    code = owner.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(code) != 0)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield lo, hi, (int(part[lo]), owner[lo].as_py())
 
 
 def with_limits(requests: DataFrame, accounts: DataFrame, account: str = "account_id",

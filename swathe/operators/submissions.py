@@ -72,6 +72,14 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
     joined = submissions.join(known, F.col("account_id") == F.col("_known"), "left")
 
     entity, action = type_name("entity_type"), type_name("action_type")
+    # Each part of the payload is extracted once, in a projection of its own.
+    parts = {"filter": "$.filter", "ids": "$.entity_ids", "dedup": "$.deduplicate_by",
+             "hard": "$.hard", "updates": "$.updates"}
+    joined = joined.withColumns({
+        "_keys": F.json_object_keys("payload"),
+        **{f"_p_{n}": F.get_json_object("payload", path) for n, path in parts.items()}})
+    joined = joined.withColumns({"_entity": entity, "_action": action})
+    entity, action, keys = F.col("_entity"), F.col("_action"), F.col("_keys")
     allowed_keys = _lookup(
         {n: [*a.params, "filter", "entity_ids", "deduplicate_by"] for n, a in actions.items()},
         action, "array<string>")
@@ -83,14 +91,10 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
     dedup_fields = _lookup({n: list(e.dedup_fields) or ["-"] for n, e in entities.items()},
                            entity, "array<string>")
     soft = _lookup({n: e.soft_delete is not None for n, e in entities.items()}, entity, "boolean")
-
-    keys = F.json_object_keys("payload")
-    has_filter = (F.array_contains(keys, "filter")
-                  & F.get_json_object("payload", "$.filter").isNotNull())
-    has_ids = (F.array_contains(keys, "entity_ids")
-               & F.get_json_object("payload", "$.entity_ids").isNotNull())
-    dedup_by = F.get_json_object("payload", "$.deduplicate_by")
-    hard = F.coalesce(F.get_json_object("payload", "$.hard") == "true", F.lit(False))
+    has_filter = F.array_contains(keys, "filter") & F.col("_p_filter").isNotNull()
+    has_ids = F.array_contains(keys, "entity_ids") & F.col("_p_ids").isNotNull()
+    dedup_by = F.col("_p_dedup")
+    hard = F.coalesce(F.col("_p_hard") == "true", F.lit(False))
     known_entity = entity.isin(*entities)
     known_action = action.isin(*actions)
     errors = issues(
@@ -106,7 +110,7 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
         issue("filter", F.when(keys.isNotNull() & ~has_filter & ~has_ids, "no_target_set")
               .when(has_filter & has_ids, "two_target_sets")),
         issue("entity_ids", when_true(
-            has_ids & (F.json_array_length(F.get_json_object("payload", "$.entity_ids")) == 0),
+            has_ids & (F.json_array_length("_p_ids") == 0),
             "empty")),
         issue("deduplicate_by", when_true(
             dedup_by.isNotNull() & known_entity & ~F.array_contains(dedup_fields, dedup_by),
@@ -114,7 +118,7 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
         issue("hard", when_true((action == "delete") & known_entity & ~soft & ~hard,
                                 "no_soft_delete_column")),
         issue("updates", when_true(
-            F.size(F.json_object_keys(F.get_json_object("payload", "$.updates"))) == 0,
+            F.size(F.json_object_keys("_p_updates")) == 0,
             "empty")),
         issue("batch_size", when_true(~F.col("batch_size").between(1, MAX_BATCH_SIZE),
                                       "out_of_range")),
@@ -123,7 +127,7 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
         issue("scheduled_at", when_true(F.col("scheduled_at") <= F.col("created_at"),
                                         "not_in_future")),
     )
-    return joined.withColumn("errors", errors).drop("_known")
+    return joined.select(*submissions.columns, errors.alias("errors"))
 
 
 def validate_accounts(accounts: DataFrame) -> DataFrame:

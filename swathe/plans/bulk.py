@@ -81,10 +81,10 @@ class ActionResult:
         if spec.dedup_by and spec.dedup_by != pk:
             columns.append(F.col(spec.dedup_by))
         unchanged = F.lit(False) if mutation.unchanged is None else mutation.unchanged
-        details = mutation.details if mutation.row_details else F.lit(None).cast("string")
-        return self._source.where(self._predicate).select(
-            *columns, F.coalesce(unchanged, F.lit(False)).alias("_same"),
-            details.alias("_details"))
+        columns.append(F.coalesce(unchanged, F.lit(False)).alias("_same"))
+        if mutation.row_details:
+            columns.append(mutation.details.alias("_details"))
+        return self._source.where(self._predicate).select(*columns)
 
     @cached_property
     def _requested(self) -> DataFrame:
@@ -145,13 +145,14 @@ class ActionResult:
         order = ["batch_index", pk] if by_ids else [pk]
         if spec.dedup_by:
             live = mark_duplicates(live, pk, spec.dedup_by, order, self._claimed)
+            duplicate = F.col("dedup_class") == DUPLICATE
         else:
-            live = live.withColumns({"dedup_key": F.lit(None).cast("string"),
-                                     "dedup_class": F.lit(UNIQUE)})
-        live = live.withColumn("action_class", F.when(
-            F.col("dedup_class") == DUPLICATE, "duplicate")
-            .when(F.col("_same"), "no_change").otherwise("applied"))
-        columns = [pk, "dedup_key", "dedup_class", "action_class", "_details"]
+            duplicate = F.lit(False)
+        live = live.withColumn("action_class", F.when(duplicate, "duplicate")
+                               .when(F.col("_same"), "no_change").otherwise("applied"))
+        # Only what the audit rows need travels through the sort.
+        columns = [pk, "action_class", *(["dedup_key"] if spec.dedup_by else []),
+                   *(["_details"] if self._mutation.row_details else [])]
         if self._plan is None:
             # Numbering stages its input: one sort and one write for the whole action.
             return assign_batches(live.select(*columns), pk, self._size)
@@ -241,7 +242,9 @@ class ActionResult:
     def ledger(self) -> DataFrame | None:
         if not self._spec.dedup_by:
             return None
-        return claimed_keys(self.classified, self._entity.pk, self._spec.action_id, self._claimed)
+        owners = self.classified.withColumn("dedup_class", F.when(
+            (F.col("action_class") != "duplicate") & F.col("dedup_key").isNotNull(), UNIQUE))
+        return claimed_keys(owners, self._entity.pk, self._spec.action_id, self._claimed)
 
     def release(self) -> None:
         """Remove the staged files once all results have been written."""
@@ -283,18 +286,20 @@ def _audit_rows(classified: DataFrame, entity: EntitySpec, spec: ActionSpec, mut
         effect = F.col("_details")
     else:
         effect = none if mutation.details is None else mutation.details
+    details = F.when(kind == "applied", effect)
+    message = F.when(kind == "no_change", MESSAGES["no_change"])
+    if spec.dedup_by:
+        duplicate = F.to_json(F.struct(F.col("dedup_key").alias(field)))
+        details = details.when(kind == "duplicate", duplicate)
+        message = message.when(
+            kind == "duplicate", f"Another row with the same {field} was processed first.")
     return classified.select(
         F.lit(spec.action_id).alias("action_id"), "batch_index",
         F.col(entity.pk).alias("entity_id"),
         F.when(kind == "applied", "success").otherwise("skipped").alias("status"),
         F.when(kind == "applied", mutation.reason).when(kind == "no_change", "no_change")
         .otherwise(duplicate_reason(field)).alias("reason_code"),
-        F.when(kind == "no_change", MESSAGES["no_change"])
-        .when(kind == "duplicate", F.lit(f"Another row with the same {field} was processed first."))
-        .alias("message"),
-        F.when(kind == "applied", effect)
-        .when(kind == "duplicate", F.to_json(F.struct(F.col("dedup_key").alias(field))))
-        .alias("details"))
+        message.alias("message"), details.alias("details"))
 
 
 def _simple_rows(rows: DataFrame, spec: ActionSpec, status: str, reason: str) -> DataFrame:

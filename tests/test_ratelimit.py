@@ -42,11 +42,24 @@ def test_run_effect_with_changing_limits(steps):
             at, amount, limit, PERIOD, level)[1][-1]
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 400), st.integers(1, 6)), min_size=2, max_size=40),
+       st.integers(1, 39))
+def test_run_effect_continues_over_batches(steps, cut):
+    at = np.cumsum([gap for gap, _ in steps])
+    amount, limit = np.array([a for _, a in steps]), np.full(len(steps), 7)
+    cut = min(cut, len(steps) - 1)
+    first = rl._run_effect(at[:cut], amount[:cut], limit[:cut], PERIOD)
+    split = rl._run_effect(at[cut:], amount[cut:], limit[cut:], PERIOD, first, int(at[cut - 1]))
+    whole = rl._run_effect(at, amount, limit, PERIOD)
+    assert all((a == b).all() for a, b in zip(split, whole))
+
+
 def test_pieces_stay_few_for_requests_of_one_size():
     n = 3_000
     at = np.arange(n) * 7
     start, _, _ = rl._run_effect(at, np.full(n, 10), np.full(n, 120), PERIOD)
-    assert len(start) <= 14
+    assert len(start) <= 15
 
 
 def test_hot_account_over_many_runs(many_parts):
@@ -57,12 +70,14 @@ def test_hot_account_over_many_runs(many_parts):
         clock += rng.choice([0, 1, 3, 9, 40, 400])
         account = "hot" if rng.random() < 0.7 else f"a{rng.randint(0, 5)}"
         data.append((i, account, clock, rng.choice([-1, 0, 1, 2, 2, 3, 12]), 10))
+    many_parts.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     df = many_parts.createDataFrame(data, "id int, acc string, ms bigint, n int, cap int")
     df = df.selectExpr("*", "timestamp_millis(ms) AS at").repartition(6)
     laid = rl.ordered_layout(df.where("acc = 'hot'"), ["acc", "at", "id"])
     assert laid.select("_part").distinct().count() > 3
     out = rl.token_bucket(df, "acc", ["at", "id"], "at", "n", "cap", PERIOD)
     got = {r.id: (r.allowed, r.tokens_remaining) for r in out.collect()}
+    many_parts.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(data)
     for account in {d[1] for d in data}:
         mine = [d for d in data if d[1] == account]
