@@ -65,8 +65,8 @@ _OUTCOME_SQL = f"""(
   FROM {FLAGSHIP_SQL})"""
 
 
-@query("pipeline_outcomes", f"SELECT * FROM {_OUTCOME_SQL}")
-def pipeline_outcomes(spark, sf):
+@query("bulk_outcomes", f"SELECT * FROM {_OUTCOME_SQL}")
+def bulk_outcomes(spark, sf):
     return flagship(spark, sf).outcomes
 
 
@@ -77,12 +77,12 @@ _BATCH_COUNTS = """count(*) AS entity_count, {c}
     count(*) AS processed_count"""
 
 
-@query("pipeline_batches", f"""
+@query("bulk_batches", f"""
     SELECT 'a1' AS action_id, batch_index, min(o_orderkey) AS cursor_start,
       max(o_orderkey) AS cursor_end, {_BATCH_COUNTS.format(c="'completed' AS status,")},
       CAST(NULL AS VARCHAR) AS error
     FROM {FLAGSHIP_SQL} GROUP BY batch_index""")
-def pipeline_batches(spark, sf):
+def bulk_batches(spark, sf):
     return flagship(spark, sf).batches
 
 
@@ -96,7 +96,7 @@ def _stats_text(stats):
         text("failure_breakdown").alias("failures"), text("skip_breakdown").alias("skips"))
 
 
-@query("pipeline_stats", f"""
+@query("bulk_stats", f"""
     WITH r AS (SELECT reason_code, count(*) AS n FROM {FLAGSHIP_SQL}
                WHERE reason_code <> 'updated' GROUP BY 1)
     SELECT 'a1' AS action_id, 'completed' AS status, 'orders' AS entity_type,
@@ -113,29 +113,29 @@ def _stats_text(stats):
       '' AS failures,
       (SELECT string_agg(reason_code || '=' || n, ',' ORDER BY reason_code) FROM r) AS skips
     FROM {FLAGSHIP_SQL}""")
-def pipeline_stats(spark, sf):
+def bulk_stats(spark, sf):
     result = run_action(orders(spark, sf), ORDERS, flagship_spec(), _NOW,
                         started_at="2024-02-01 00:00:00", finished_at="2024-02-01 00:00:20.96")
     return _stats_text(result.stats)
 
 
-@query("pipeline_logs", f"""
+@query("bulk_logs", f"""
     SELECT batch_index * 1048576 + row_number() OVER (
              PARTITION BY batch_index ORDER BY entity_id, reason_code) AS log_id, entity_id,
            status, reason_code FROM {_OUTCOME_SQL}""")
-def pipeline_logs(spark, sf):
+def bulk_logs(spark, sf):
     return numbered_outcomes(flagship(spark, sf).outcomes).select(
         "log_id", "entity_id", "status", "reason_code")
 
 
-@query("pipeline_table", f"""
+@query("bulk_table", f"""
     SELECT o.o_orderkey, o.o_custkey,
       CASE WHEN f.reason_code = 'updated' THEN 'P' ELSE o.o_orderstatus END AS o_orderstatus,
       o.o_totalprice, o.o_orderdate, o.o_orderpriority, o.deleted_at,
       CASE WHEN f.reason_code = 'updated' THEN TIMESTAMP '{AS_OF}' ELSE o.updated_at END
         AS updated_at
     FROM {ORDERS_SQL} o LEFT JOIN {FLAGSHIP_SQL} f USING (o_orderkey)""")
-def pipeline_table(spark, sf):
+def bulk_table(spark, sf):
     return flagship(spark, sf).table
 
 
@@ -159,23 +159,23 @@ _DRIFT_SQL = f"""(
   FROM (SELECT batch_index, unnest(generate_series(1, missing)) FROM gone WHERE missing > 0))"""
 
 
-@query("pipeline_drift", f"SELECT * FROM {_DRIFT_SQL}")
-def pipeline_drift(spark, sf):
+@query("bulk_drift", f"SELECT * FROM {_DRIFT_SQL}")
+def bulk_drift(spark, sf):
     result = _run(shrunken_orders(spark, sf), ORDERS, flagship_spec(), plan=stored_plan(spark, sf))
     return result.outcomes.select("batch_index", "entity_id", "status", "reason_code")
 
 
-@query("pipeline_drift_batches", f"""
+@query("bulk_drift_batches", f"""
     SELECT p.batch_index, cursor_start, cursor_end, entity_count, 'completed' AS status,
       count(*) FILTER (o.status = 'success') AS success_count,
       count(*) FILTER (o.status = 'skipped') AS skipped_count, count(*) AS processed_count
     FROM {PLAN_SQL} p JOIN {_DRIFT_SQL} o USING (batch_index) GROUP BY ALL""")
-def pipeline_drift_batches(spark, sf):
+def bulk_drift_batches(spark, sf):
     result = _run(shrunken_orders(spark, sf), ORDERS, flagship_spec(), plan=stored_plan(spark, sf))
     return result.batches.drop("action_id", "error", "failure_count")
 
 
-@query("pipeline_cancelled", f"""
+@query("bulk_cancelled", f"""
     SELECT batch_index, entity_count_ AS entity_count,
       CASE WHEN batch_index < 2 THEN 'completed' ELSE 'cancelled' END AS status,
       CASE WHEN batch_index < 2 THEN success ELSE 0 END AS success_count,
@@ -183,7 +183,7 @@ def pipeline_drift_batches(spark, sf):
     FROM (SELECT batch_index, count(*) AS entity_count_,
             count(*) FILTER (reason_code = 'updated') AS success
           FROM {FLAGSHIP_SQL} GROUP BY 1)""")
-def pipeline_cancelled(spark, sf):
+def bulk_cancelled(spark, sf):
     result = _run(orders(spark, sf), ORDERS, flagship_spec(), stop_after=2)
     return result.batches.select("batch_index", "entity_count", "status", "success_count",
                                  "processed_count")
@@ -214,18 +214,18 @@ def _with_failures(spark, sf):
     return _run(orders(spark, sf), ORDERS, flagship_spec(), failed=failed)
 
 
-@query("pipeline_failed_batches", f"SELECT * FROM {_FAILED_SQL}")
-def pipeline_failed(spark, sf):
+@query("bulk_failed_batches", f"SELECT * FROM {_FAILED_SQL}")
+def bulk_failed(spark, sf):
     return _with_failures(spark, sf).outcomes.select(
         "batch_index", "entity_id", "status", "reason_code",
         F.when(F.col("status") == "failed", F.col("message")).alias("failure"))
 
 
-@query("pipeline_failed_status", f"""
+@query("bulk_failed_status", f"""
     SELECT CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'completed_with_errors'
                 ELSE 'completed' END AS status, count(*) AS processed_count,
       count(*) FILTER (status = 'failed') AS failure_count FROM {_FAILED_SQL}""")
-def pipeline_failed_status(spark, sf):
+def bulk_failed_status(spark, sf):
     return _with_failures(spark, sf).stats.select("status", "processed_count", "failure_count")
 
 
@@ -385,16 +385,19 @@ def tag(spark, sf):
     c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)),
     o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)),
     l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
-    SELECT 'parent' AS table_name, (SELECT count(*) FROM n) AS n
+    SELECT 'root' AS table_name, (SELECT count(*) FROM n) AS n
     UNION ALL SELECT 'customer', (SELECT count(*) FROM c)
     UNION ALL SELECT 'orders', (SELECT count(*) FROM o)
-    UNION ALL SELECT 'lineitem', (SELECT count(*) FROM l)""")
+    UNION ALL SELECT 'lineitem', (SELECT count(*) FROM l)
+    UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier
+      WHERE s_nationkey IN (SELECT n_nationkey FROM n))""")
 def cascade(spark, sf):
     nation = table(spark, sf, "nation")
     kept = cascade_delete(nation, "n_nationkey", nation.where("n_nationkey = 3"), [
-        ("customer", table(spark, sf, "customer"), "c_nationkey", "c_custkey"),
-        ("orders", table(spark, sf, "orders"), "o_custkey", "o_orderkey"),
-        ("lineitem", table(spark, sf, "lineitem"), "l_orderkey", "l_orderkey")])
+        ("customer", table(spark, sf, "customer"), "c_nationkey", "c_custkey", "root"),
+        ("orders", table(spark, sf, "orders"), "o_custkey", "o_orderkey", "customer"),
+        ("lineitem", table(spark, sf, "lineitem"), "l_orderkey", None, "orders"),
+        ("supplier", table(spark, sf, "supplier"), "s_nationkey", None, "root")])
     counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"))
               for name, df in kept.items()]
     out = counts[0]

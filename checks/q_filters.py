@@ -107,7 +107,8 @@ def ranged(spark, sf):
 @query("entities_page", f"""
     WITH f AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment, deleted_at FROM {CUSTOMERS_SQL}
                WHERE c_mktsegment = 'BUILDING' AND deleted_at IS NULL)
-    SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY c_custkey LIMIT 25 OFFSET 10""")
+    SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 35 AS has_more
+    FROM f ORDER BY c_custkey LIMIT 25 OFFSET 10""")
 def entities_page(spark, sf):
     rows = list_entities(customers(spark, sf), CUSTOMER, status="BUILDING",
                          status_column="c_mktsegment")
@@ -124,8 +125,8 @@ def entities_of_account(spark, sf):
 @query("actions_page", f"""
     WITH f AS (SELECT id, account_id, created_at, idempotency_key FROM {SUBMISSIONS_SQL}
                WHERE idempotency_key = 'purchase')
-    SELECT *, (SELECT count(*) FROM f) AS total FROM f
-    ORDER BY created_at DESC, id LIMIT 50 OFFSET 50""")
+    SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 100 AS has_more
+    FROM f ORDER BY created_at DESC, id LIMIT 50 OFFSET 50""")
 def actions_page(spark, sf):
     rows = submissions(spark, sf).select("id", "account_id", "created_at", "idempotency_key")
     rows = rows.where(F.col("idempotency_key") == "purchase")
@@ -169,7 +170,8 @@ def account_lookup(spark, sf):
                WHERE o_orderpriority = '1-URGENT' AND deleted_at IS NULL)
     SELECT batch_index, min(o_orderkey) AS cursor_start, max(o_orderkey) AS cursor_end,
            count(*) AS entity_count, 'pending' AS status,
-           (SELECT max(batch_index) + 1 FROM t) AS total
+           (SELECT max(batch_index) + 1 FROM t) AS total,
+           (SELECT max(batch_index) + 1 FROM t) > 8 AS has_more
     FROM t GROUP BY 1 ORDER BY 1 LIMIT 5 OFFSET 3""")
 def batches_page(spark, sf):
     plan = plan_batches(select_targets(orders(spark, sf), ORDERS, "1-URGENT"), "o_orderkey", 100)

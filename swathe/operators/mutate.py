@@ -50,20 +50,24 @@ def account_slice(slice_: DataFrame, entity: EntitySpec, mutation: Mutation, key
     return mutate(joined, entity, mutation, F.col("_hit").isNotNull(), as_of).drop("_hit")
 
 
-def cascade_delete(parent: DataFrame, key: str, doomed: DataFrame,
-                   children: Sequence[tuple[str, DataFrame, str, str]]) -> Mapping[str, DataFrame]:
-    """Remove ``doomed(key)`` from ``parent`` and, level by level, the rows that refer to removed
+def cascade_delete(root: DataFrame, key: str, doomed: DataFrame,
+                   children: Sequence[tuple[str, DataFrame, str, str | None, str]]
+                   ) -> Mapping[str, DataFrame]:
+    """Remove ``doomed(key)`` from ``root`` and, level by level, the rows that refer to removed
     rows.
 
-    ``children`` lists ``(name, table, foreign_key, own_key)`` from the first level down; each
-    level refers to the previous one. Returns the remaining tables by name (``"parent"`` first).
+    ``children`` lists ``(name, table, foreign_key, own_key, parent)``, parents before their
+    children, with ``"root"`` naming the root; ``own_key`` is None for tables nothing refers to.
+    Returns the remaining tables by name.
     """
-    gone = doomed.select(F.col(key).alias("_gone"))
-    kept = {"parent": parent.join(gone, F.col(key) == F.col("_gone"), "left_anti")}
-    for name, table, foreign_key, own_key in children:
+    gone = {"root": doomed.select(F.col(key).alias("_gone"))}
+    kept = {"root": root.join(gone["root"], F.col(key) == F.col("_gone"), "left_anti")}
+    for name, table, foreign_key, own_key, parent in children:
         refers = F.col(foreign_key) == F.col("_gone")
-        kept[name] = table.join(gone, refers, "left_anti")
-        gone = table.join(gone, refers, "left_semi").select(F.col(own_key).alias("_gone"))
+        kept[name] = table.join(gone[parent], refers, "left_anti")
+        if own_key is not None:
+            gone[name] = (table.join(gone[parent], refers, "left_semi")
+                          .select(F.col(own_key).alias("_gone")))
     return kept
 
 

@@ -128,7 +128,8 @@ def previous_row(
     laid = ordered_layout(df, [*keys, *order_by], "previous")
     row = F.struct(*[F.col(k).alias(f"k_{k}") for k in keys],
                    *[F.col(c).alias(f"v_{out}") for out, c in columns.items()])
-    lasts = laid.groupBy(PART).agg(F.max_by(row, POS).alias("_row"))
+    ends = laid.groupBy(PART).agg(F.max(POS).alias(POS))
+    lasts = laid.join(ends, [PART, POS]).select(PART, row.alias("_row"))
     seeds = lasts.select(PART, F.lag("_row").over(Window.orderBy(PART)).alias("_seed"))
     inside = Window.partitionBy(PART).orderBy(POS)
     prev = laid.join(seeds, PART).withColumn(
@@ -142,10 +143,11 @@ def previous_row(
 def carry_forward(df: DataFrame, order_by: Sequence[str], marker: str, out: str) -> DataFrame:
     """Add the last non-null ``marker`` at or before each row in ``order_by`` order."""
     laid = ordered_layout(df, order_by, "carry")
-    lasts = laid.groupBy(PART).agg(
-        F.max(F.when(F.col(marker).isNotNull(), F.struct(POS, marker))).alias("_last"))
-    seeds = lasts.select(
-        PART, F.last(f"_last.{marker}", ignorenulls=True).over(_earlier_parts()).alias("_seed"))
+    marks = laid.where(F.col(marker).isNotNull())
+    lasts = marks.groupBy(PART).agg(F.max_by(marker, POS).alias("_last"))
+    parts = laid.groupBy(PART).agg(F.max(POS).alias("_end"))
+    seeds = parts.join(lasts, PART, "left").select(
+        PART, F.last("_last", ignorenulls=True).over(_earlier_parts()).alias("_seed"))
     inside = (Window.partitionBy(PART).orderBy(POS)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return laid.join(seeds, PART).select(

@@ -30,9 +30,11 @@ def keyset_page(df: DataFrame, key: str, limit: int, cursor: Any = None) -> Data
 
 def offset_page(df: DataFrame, order_by: Sequence[Column | str], limit: int, offset: int = 0
                 ) -> DataFrame:
-    """Rows ``offset .. offset + limit`` in the given order, with the ``total`` of the filter."""
+    """Rows ``offset .. offset + limit`` in the given order, with the ``total`` of the filter and
+    whether more rows follow."""
     total = df.agg(F.count("*").alias("n")).scalar()
-    return df.orderBy(*order_by).offset(offset).limit(limit).withColumn("total", total)
+    page = df.orderBy(*order_by).offset(offset).limit(limit).withColumn("total", total)
+    return page.withColumn("has_more", F.col("total") > offset + limit)
 
 
 def log_filter(logs: DataFrame, status: str | None = None, reason_code: str | None = None,

@@ -11,6 +11,7 @@ from swathe.model import CONTACT, ActionSpec
 from swathe.plans.bulk import numbered_outcomes, run_action
 from swathe.operators.paging import keyset_page, log_filter
 from swathe.sources import tables
+from swathe.sources.publish import claimed_before, next_version, publish
 from swathe.sources.seeding import seed
 from swathe.sources.staging import stage, staging_root
 
@@ -132,3 +133,23 @@ def test_deduplicated_update_of_one_account_joins_only_that_account(spark, two_a
     plain = run_action(spark.read.parquet(path), CONTACT, action("x"), AS_OF)
     plan = plain.table._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_publish_and_run_again(spark, two_accounts, tmp_path):
+    root = str(tmp_path / "store")
+    assert claimed_before(spark, root) is None
+    tables.write_version(two_accounts, f"{root}/table", next_version(spark, root))
+
+    def run(version):
+        source = tables.read_version(spark, f"{root}/table", 1)
+        result = run_action(source, CONTACT, action("x", dedup_by="email", batch_size=9), AS_OF,
+                            ledger=claimed_before(spark, root))
+        publish(result, root, version)
+        names = ("outcomes", "batches", "stats", "ledger", "table/version=2")
+        return {n: sorted(map(str, spark.read.parquet(f"{root}/{n}").collect())) for n in names}
+
+    first = run(next_version(spark, root))
+    assert len(first["outcomes"]) == 40 and len(first["stats"]) == 1
+    # The same action delivered again, on the same version: nothing is added or changed.
+    assert run(2) == first
+    assert tables.latest_version(spark, f"{root}/table") == 2
