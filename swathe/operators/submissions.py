@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathe.functions.measures import effective_batch_size
-from swathe.functions.rules import field_error, issue, issues, when_true
+from swathe.functions.rules import coerced, field_error, issue, issues, when_true
 from swathe.functions.text import type_name
 from swathe.model import (
+    DEFAULT_SUBMISSIONS_PER_MINUTE,
     MAX_BATCH_SIZE,
     MAX_DUPLICATE_RATIO,
     MAX_IDEMPOTENCY_KEY_LENGTH,
@@ -22,6 +23,7 @@ from swathe.model import (
 )
 from swathe.operators.actions import all_actions
 from swathe.operators.ordered import mark_first
+from swathe.operators.ratelimit import submission_limit
 from swathe.sources.staging import stage
 
 
@@ -46,7 +48,6 @@ def validate_updates(df: DataFrame, entity: EntitySpec, updates: str = "updates"
 def coerced_updates(df: DataFrame, entity: EntitySpec, updates: str = "updates") -> DataFrame:
     """Payload values in declared types, one column ``new_<field>`` per declared field; null for
     fields that were not sent."""
-    from swathe.functions.rules import coerced
     return df.withColumns({
         f"new_{n}": coerced(F.element_at(F.col(updates), n), rule)
         for n, rule in entity.fields.items()})
@@ -214,30 +215,61 @@ def with_batch_size(submissions: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def accept_submissions(submissions: DataFrame, accounts: DataFrame,
                        existing: DataFrame | None = None, pk: str = "id",
-                       per_minute: int | None = None) -> DataFrame:
-    """Decide a table of requests: adds ``errors``, ``replay_of``, ``decision`` (rejected /
-    replayed / rate_limited / accepted), ``retry_after_seconds``, ``status`` and
-    ``effective_batch_size``.
-
-    Only valid requests that are no replay count against the submission limit.
+                       per_minute: int = DEFAULT_SUBMISSIONS_PER_MINUTE) -> DataFrame:
+    """Decide a table of requests as if they arrived one by one: adds ``errors``, ``replay_of``,
+    ``decision`` (rejected / replayed / rate_limited / accepted), ``retry_after_seconds``,
+    ``status`` and ``effective_batch_size``.
+
+    A request replays the accepted one that holds its key and then costs nothing; a request that
+    was denied holds no key, so the next one with that key tries again. Which requests try depends
+    on who was admitted and the other way round. This starts from "the first of each key is
+    admitted" and repeats until assumption and outcome agree, which is the one-by-one result;
+    usually that is at once, since only denied requests can change it.
     """
-    from swathe.model import DEFAULT_SUBMISSIONS_PER_MINUTE
-    from swathe.operators.ratelimit import submission_limit
-
-    # Four readers follow, so the checked requests are written once.
+    # Several readers follow, so the checked requests are written once.
     checked = stage(validate_submissions(submissions, accounts), "requests")
-    valid = mark_replays(checked.where(F.size("errors") == 0), existing, pk)
-    fresh = submission_limit(valid.where(F.col("replay_of").isNull()), ["created_at", pk],
-                             "created_at", per_minute=per_minute or DEFAULT_SUBMISSIONS_PER_MINUTE)
-    fresh = with_batch_size(fresh, accounts).select(
-        *valid.columns,
+    rejected = checked.where(F.size("errors") > 0).withColumn("decision", F.lit("rejected"))
+    valid = checked.where(F.size("errors") == 0).withColumns({
+        "_key": F.nullif(F.col("idempotency_key"), F.lit("")),
+        "_at": F.struct("created_at", pk)})
+    replayed = []
+    if existing is not None:
+        stored = existing.where(F.col("idempotency_key") != "").select(
+            "account_id", F.col("idempotency_key").alias("_key"), F.col(pk).alias("replay_of"))
+        known = valid.join(stored, ["account_id", "_key"], "left")
+        replayed.append(known.where(F.col("replay_of").isNotNull()))
+        valid = known.where(F.col("replay_of").isNull()).drop("replay_of")
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        return (rows.where(F.col("_key").isNotNull()).groupBy("account_id", "_key")
+                .agg(F.min("_at").alias("_holder")))
+
+    holders = by_key(valid)
+    while True:
+        keyed = valid.join(holders, ["account_id", "_key"], "left")
+        tries = keyed.where(F.col("_holder").isNull() | (F.col("_at") <= F.col("_holder")))
+        decided = stage(submission_limit(tries.drop("_holder"), ["created_at", pk], "created_at",
+                                         per_minute=per_minute), "decided")
+        denied = decided.where(~F.col("allowed") & F.col("_key").isNotNull())
+        if denied.isEmpty():
+            break
+        admitted = stage(by_key(decided.where("allowed")), "holders")
+        changed = holders.join(admitted.withColumnRenamed("_holder", "_now"),
+                               ["account_id", "_key"], "full")
+        if changed.where(~F.col("_holder").eqNullSafe(F.col("_now"))).isEmpty():
+            break
+        holders = admitted
+
+    replayed.append(keyed.where(F.col("_at") > F.col("_holder")).select(
+        *valid.columns, F.col(f"_holder.{pk}").alias("replay_of")))
+    status = F.when(F.col("scheduled_at").isNull(), "queued").otherwise("scheduled")
+    fresh = with_batch_size(decided, accounts).select(
+        *checked.columns,
         F.when(F.col("allowed"), "accepted").otherwise("rate_limited").alias("decision"),
-        "retry_after_seconds",
-        F.when(F.col("allowed"), F.when(F.col("scheduled_at").isNull(), "queued")
-               .otherwise("scheduled")).alias("status"),
+        "retry_after_seconds", F.when(F.col("allowed"), status).alias("status"),
         F.when(F.col("allowed"), F.col("effective_batch_size")).alias("effective_batch_size"))
-    replayed = valid.where(F.col("replay_of").isNotNull()).withColumn("decision",
-                                                                      F.lit("replayed"))
-    rejected = checked.where(F.size("errors") > 0).withColumn("decision", F.lit("rejected"))
-    return (fresh.unionByName(replayed, allowMissingColumns=True)
-            .unionByName(rejected, allowMissingColumns=True))
+    out = fresh.unionByName(rejected, allowMissingColumns=True)
+    for rows in replayed:
+        rows = rows.select(*checked.columns, "replay_of", F.lit("replayed").alias("decision"))
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
