@@ -17,6 +17,7 @@ from checks.fixtures import (
 )
 from checks.q_admission import DAY_MS, DECISION, EVENT_BUCKET_SQL, decisions
 from checks.registry import query
+from swathe.operators.many import apply_submissions, overlay
 from swathe.sources.staging import staging_path
 from swathe.streaming import admission, apply, progress
 
@@ -130,7 +131,7 @@ _ASKED = """event_id AS action_id, user_id % 25 AS account_id, ts AS created_at,
       CASE WHEN before = new_value THEN 'no_change' ELSE 'updated' END AS reason_code
     FROM hits""")
 def stream_apply(spark, sf):
-    out, _ = _applied(spark, sf)
+    out, _, _ = _applied(spark, sf)
     return spark.read.parquet(out).select("action_id", "entity_id", "new_value", "status",
                                           "reason_code")
 
@@ -143,21 +144,21 @@ def stream_apply(spark, sf):
         ON account_id = s_nationkey AND s_acctbal >= least_balance GROUP BY 1)
       USING (s_suppkey)""")
 def stream_apply_table(spark, sf):
-    from swathe.operators.many import overlay
-    out, suppliers = _applied(spark, sf)
-    return overlay(suppliers, SUPPLIER, "s_name", spark.read.parquet(out)).select(
+    _, state, suppliers = _applied(spark, sf)
+    values = apply.earlier(spark, state, 2**31, newest_only=True)
+    return overlay(suppliers, SUPPLIER, "s_name", values).select(
         "s_suppkey", "s_name", "s_nationkey")
 
 
 def _applied(spark, sf):
     asked = table(spark, sf, "events").selectExpr(*[c.strip() for c in _ASKED.split(",")])
     suppliers = table(spark, sf, "supplier")
-    out = staging_path(spark, "applied")
-    step = apply.apply_step(suppliers, SUPPLIER, "s_name", out,
+    out, state = staging_path(spark, "applied"), staging_path(spark, "state")
+    step = apply.apply_step(suppliers, SUPPLIER, "s_name", out, state,
                             matches=F.col("s_acctbal") >= F.col("least_balance"))
     apply.start(feed(asked, "action_id", "apply"), step, staging_path(spark, "offsets-apply"),
                 once=True).awaitTermination()
-    return out, suppliers
+    return out, state, suppliers
 
 
 @query("many_updates", f"""
@@ -170,7 +171,6 @@ def _applied(spark, sf):
         CASE WHEN before = new_value THEN 'no_change' ELSE 'updated' END AS reason_code FROM hits)
     GROUP BY ALL""")
 def many_updates(spark, sf):
-    from swathe.operators.many import apply_submissions
     asked = table(spark, sf, "events").selectExpr(*[c.strip() for c in _ASKED.split(",")])
     rows = apply_submissions(table(spark, sf, "supplier"), SUPPLIER, asked, "s_name")
     return rows.groupBy("status", "reason_code").agg(F.count("*").alias("n"))

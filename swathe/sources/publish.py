@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathe.plans.bulk import ActionResult, numbered_outcomes
-from swathe.sources.tables import latest_version, replace_outcomes, write_version
+from swathe.sources.tables import latest_version, path_exists, replace_outcomes, write_version
 
 
 def publish(result: ActionResult, root: str, version: int) -> None:
@@ -30,9 +30,8 @@ def publish(result: ActionResult, root: str, version: int) -> None:
 
 def claimed_before(spark, root: str) -> DataFrame | None:
     """Ledger of earlier runs, to be given to :func:`swathe.plans.bulk.run_action`."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/ledger")
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.parquet(f"{root}/ledger") if exists else None
+    path = f"{root}/ledger"
+    return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
 def next_version(spark, root: str) -> int:

@@ -30,6 +30,11 @@ def account(accounts: DataFrame, account_id: Any) -> DataFrame:
     return accounts.where(F.col("account_id") == F.lit(account_id))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def append_outcomes(outcomes: DataFrame, path: str) -> None:
     """Append audit rows, one folder per action."""
     outcomes.write.mode("append").partitionBy("action_id").parquet(path)
@@ -48,13 +53,13 @@ def insert_if_absent(rows: DataFrame, path: str, keys: Sequence[str]) -> DataFra
     the table that is read is not the one being written to.
     """
     spark = rows.sparkSession
-    try:
+    fresh = rows.dropDuplicates(list(keys))
+    if path_exists(spark, path):
+        # First narrow the stored keys down to those asked for: with few new rows the stored table
+        # is scanned once and not shuffled.
         stored = spark.read.parquet(path).select(*keys)
-        fresh = rows.dropDuplicates(list(keys)).join(stored, list(keys), "left_anti")
-    except Exception as exc:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        fresh = rows.dropDuplicates(list(keys))
+        stored = stored.join(fresh.select(*keys), list(keys), "left_semi")
+        fresh = fresh.join(stored, list(keys), "left_anti")
     fresh = stage(fresh.select(*rows.columns), "insert")
     fresh.write.mode("append").parquet(path)
     return fresh

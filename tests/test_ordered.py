@@ -133,3 +133,17 @@ def test_no_single_task_over_all_rows(rows):
     """The only unpartitioned windows see one row per part."""
     plan = ordered.global_rank(rows[1], ["t"])._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_a_hot_key_does_not_end_up_in_one_task(many_parts):
+    from swathe.operators.dedup import mark_duplicates
+    many_parts.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    n = 20_000
+    rows = many_parts.range(n).selectExpr("id", "if(id % 2 = 0, 'hot', concat('k', id)) AS k")
+    out = mark_duplicates(rows, "id", "k", ["id"])
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    many_parts.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == n and max(sizes) < n / 4
+    laid = ordered.ordered_layout(rows, ["k", "id"])
+    sizes = [r["count"] for r in laid.groupBy("_part").count().collect()]
+    assert sum(sizes) == n and max(sizes) < n / 4

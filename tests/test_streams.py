@@ -30,12 +30,12 @@ def test_replayed_trigger_changes_nothing(spark, tmp_path):
 
 
 def test_replayed_apply_trigger(spark, tmp_path):
-    out = str(tmp_path / "out")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
     asked = table(spark, SF, "events").selectExpr(
         "event_id AS action_id", "user_id % 25 AS account_id", "ts AS created_at",
         "event_type AS new_value")
     suppliers = table(spark, SF, "supplier")
-    step = apply.apply_step(suppliers, SUPPLIER, "s_name", out)
+    step = apply.apply_step(suppliers, SUPPLIER, "s_name", out, state)
     for trigger in (0, 1, 1, 2):
         step(asked.where(f"action_id div 400 = {trigger}"), trigger)
     rows = spark.read.parquet(out)
@@ -43,7 +43,7 @@ def test_replayed_apply_trigger(spark, tmp_path):
     assert rows.count() == pairs.count()
     last = {r.s_suppkey: r.v for r in pairs.groupBy("s_suppkey").agg(
         F.max_by("new_value", "created_at").alias("v")).collect()}
-    now = overlay(suppliers, SUPPLIER, "s_name", rows)
+    now = overlay(suppliers, SUPPLIER, "s_name", apply.earlier(spark, state, 3, newest_only=True))
     for r in now.collect():
         old = f"Supplier#{r.s_suppkey:09d}"
         assert r.s_name == last.get(r.s_suppkey, old)
