@@ -32,7 +32,10 @@ def field_error(raw: Column, rule: FieldRule) -> Column:
         if rule.max_length is not None:
             error = error.when(F.char_length(value) > rule.max_length, "too_long")
         if rule.pattern is not None:
-            error = error.when(~value.rlike(rule.pattern), "pattern_mismatch")
+            # (?U): white space in patterns is Unicode white space, as everywhere else here.
+            error = error.when(~value.rlike(f"(?U){rule.pattern}"), "pattern_mismatch")
+    elif rule.type == "timestamp":
+        error = error.when(value.isNull(), "not_a_timestamp")
     elif rule.type in NUMERIC_TYPES:
         error = error.when(value.isNull(), "not_a_number")
         if rule.minimum is not None:

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from datetime import datetime
 from typing import Any
 
 # --- Fixed values (vocabularies, limits and codes that callers rely on) ---------------------
@@ -94,6 +95,11 @@ class FieldRule:
             if self.pattern is not None and not re.search(self.pattern, text):
                 raise ValueError("pattern_mismatch")
             return text
+        if self.type == "timestamp":
+            try:
+                return datetime.fromisoformat(str(value).strip()).isoformat(sep=" ")
+            except ValueError:
+                raise ValueError("not_a_timestamp") from None
         if self.type not in NUMERIC_TYPES:
             return value
         try:
@@ -110,7 +116,9 @@ class FieldRule:
 def _whole(value: Any) -> int:
     if isinstance(value, bool):
         raise ValueError(value)
-    if isinstance(value, float) and not value.is_integer():
+    if isinstance(value, str):
+        value = re.fullmatch(r"\s*([+-]?\d+)(\.0*)?\s*", value)[1]  # "42" and "42.0", not "42.5"
+    elif value != int(value):
         raise ValueError(value)
     return int(value)
 

@@ -69,7 +69,12 @@ def _run_effect(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: i
     else:
         start, value, moves = pieces
     start, stop = start[:-1], start[-1]
-    for now, need, cap in zip(at.tolist(), amount.tolist(), limit.tolist()):
+    for i, (now, need, cap) in enumerate(zip(at.tolist(), amount.tolist(), limit.tolist())):
+        if len(value) == 1 and not moves[0]:
+            # Every start level has led to the same level (the bucket was full once): from here
+            # on it is one ordinary bucket.
+            _, levels = _decide(at[i:], amount[i:], limit[i:], period, int(value[0]), last)
+            return np.array([0, stop]), levels[-1:], moves
         full, need = cap * period, need * period
         refill = 0 if last is None else min(max(now - last, 0), period) * cap
         last = now

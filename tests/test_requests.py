@@ -38,6 +38,7 @@ def spec(**changes):
 
 
 def test_values_are_coerced_and_only_given_fields_return():
+    assert CONTACT.coerce_updates({"age": " 42.0 "}) == {"age": 42}
     assert CONTACT.coerce_updates({"age": "42"}) == {"age": 42}
     assert CONTACT.coerce_updates({"status": "  churned "}) == {"status": "churned"}
     assert CONTACT.coerce_updates({"age": None}) == {"age": None}
@@ -45,6 +46,8 @@ def test_values_are_coerced_and_only_given_fields_return():
 
 @pytest.mark.parametrize(("updates", "error"), [
     ({"age": 900}, {"field": "age", "error": "above_maximum"}),
+    ({"age": "4.5"}, {"field": "age", "error": "not_a_number"}),
+    ({"age": []}, {"field": "age", "error": "not_a_number"}),
     ({"age": 4.5}, {"field": "age", "error": "not_a_number"}),
     ({"email": "not-an-email"}, {"field": "email", "error": "pattern_mismatch"}),
     ({"name": "  "}, {"field": "name", "error": "too_short"}),
@@ -58,6 +61,27 @@ def test_bad_values_are_refused(updates, error):
     assert error in exc.value.errors
 
 
+@pytest.mark.parametrize("value", [
+    "42", " 7.0 ", "-1", "151", "x", "4.5", "", None])
+def test_one_request_and_a_table_of_requests_agree(spark, value):
+    from swathe.functions.rules import field_error
+    rule = CONTACT.fields["age"]
+    try:
+        rule.coerce(value)
+        want = None
+    except ValueError as exc:
+        want = str(exc)
+    df = spark.createDataFrame([(value,)], "v string")
+    assert df.select(field_error(F.col("v"), rule)).first()[0] == want
+
+
+def test_timestamps_are_checked():
+    rule = FieldRule("timestamp")
+    assert rule.coerce("2024-01-01T10:00:00") == "2024-01-01 10:00:00"
+    with pytest.raises(ValueError, match="not_a_timestamp"):
+        rule.coerce("soon")
+
+
 @pytest.mark.parametrize("changes", [
     {"filter": None},
     {"ids": [1]},
