@@ -124,7 +124,8 @@ def deferrals(spark, sf):
     FROM {EVENT_BUCKET_SQL} GROUP BY user_id""")
 def bucket_peek(spark, sf):
     now = F.to_timestamp_ntz(F.lit("2024-01-30 18:00:00"))
-    return rl.peek(event_bucket(spark, sf), "user_id", ["ts", "event_id"], "ts", "cap", now, DAY_MS)
+    return rl.peek(event_bucket(spark, sf), "user_id", ["ts", "event_id"], "ts", "amount", "cap", now,
+                   DAY_MS)
 
 
 @query("admission_timetable", f"""

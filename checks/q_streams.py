@@ -101,6 +101,18 @@ def stream_token_bucket(spark, sf):
     return decisions(drain(spark, decided, "bucket"))
 
 
+@query("stream_bucket_steps", f"SELECT {DECISION} FROM {EVENT_BUCKET_SQL}")
+def stream_bucket_steps(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts").withColumns(
+        {"amount": F.lit(1), "cap": F.lit(3)})
+    out, state = staging_path(spark, "admitted"), staging_path(spark, "levels")
+    step = admission.bucket_step("user_id", ["event_id"], "ts", "amount", "cap", out, state,
+                                 DAY_MS)
+    apply.start(feed(rows, "event_id", "steps"), step, staging_path(spark, "offsets-steps"),
+                once=True).awaitTermination()
+    return decisions(spark.read.parquet(out))
+
+
 @query("stream_dedup", """
     SELECT event_id, user_id || '/' || event_type AS dedup_key, CASE WHEN row_number() OVER (
       PARTITION BY user_id, event_type ORDER BY event_id) = 1 THEN 'unique' ELSE 'duplicate' END

@@ -109,12 +109,15 @@ def token_bucket(
     amount: str,
     limit: str,
     period_ms: int = MINUTE_MS,
+    levels: DataFrame | None = None,
 ) -> DataFrame:
     """Decide every request: adds ``allowed``, ``retry_after_seconds``, ``tokens_remaining`` and
     ``unsatisfiable``.
 
     ``order_by`` fixes the request order within an account (``at``, then an id). Requests for
     nothing are always admitted and requests above the limit never; neither touches the bucket.
+    ``levels`` continues buckets of earlier requests (see :func:`bucket_levels`); an account
+    without a row there starts with a full bucket.
     """
     for reserved in ("_ms", "_need", "_cap"):
         if reserved in requests.columns:
@@ -125,7 +128,7 @@ def token_bucket(
     counted = (F.col("_need") > 0) & (F.col("_need") <= F.col("_cap"))
     laid = ordered_layout(prepared.where(counted), [account, *order_by], "bucket")
 
-    starts = _start_levels(laid, account, period_ms)
+    starts = _start_levels(laid, account, period_ms, levels)
     runs = laid.join(starts, [account, PART], "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
 
@@ -134,9 +137,9 @@ def token_bucket(
         for batch in batches:
             at, need, cap = _columns(batch)
             admitted, left = np.empty(len(at), dtype=bool), np.empty(len(at), dtype=np.int64)
-            for lo, hi, key in _runs(batch, account):
-                if key != run:
-                    run, level, last = key, batch.column("_start")[lo].as_py(), None
+            for lo, hi, here in _runs(batch, account):
+                if here != run:
+                    run, level, last = here, batch.column("_start")[lo].as_py(), None
                 admitted[lo:hi], left[lo:hi] = _decide(at[lo:hi], need[lo:hi], cap[lo:hi],
                                                        period_ms, level, last)
                 level, last = int(left[hi - 1]), int(at[hi - 1])
@@ -160,11 +163,37 @@ def token_bucket(
     return decided.unionByName(untouched)
 
 
-def _start_levels(laid: DataFrame, account: str, period: int) -> DataFrame:
-    """Level at the first request of every run that continues an account of an earlier run."""
+def _touching(decided: DataFrame, amount: str) -> DataFrame:
+    """Decisions that went through the bucket: not those for nothing or beyond the limit."""
+    return decided.where((F.col(amount) > 0) & ~F.col("unsatisfiable"))
+
+
+def bucket_levels(decided: DataFrame, account: str, order_by: Sequence[str], at: str, amount: str,
+                  period_ms: int = MINUTE_MS) -> DataFrame:
+    """State of every bucket after its last decided request: ``(account, level, level_ms)``."""
+    last = _touching(decided, amount).groupBy(account).agg(
+        F.max_by(F.struct("tokens_remaining", at), F.struct(*order_by)).alias("_s"))
+    return last.select(
+        account, F.round(F.col("_s.tokens_remaining") * period_ms).cast("bigint").alias("level"),
+        F.unix_millis(F.col(f"_s.{at}").cast("timestamp")).alias("level_ms"))
+
+
+def _start_levels(laid: DataFrame, account: str, period: int, levels: DataFrame | None
+                  ) -> DataFrame:
+    """Level at the first request of every run whose bucket is not simply full there."""
     parts = laid.groupBy(account, PART).agg(
         F.min_by("_ms", POS).alias("first_ms"), F.max_by("_ms", POS).alias("last_ms"),
         F.min_by("_cap", POS).alias("first_cap"))
+    if levels is None:
+        parts = parts.withColumn("initial", F.lit(None).cast("bigint"))
+    else:
+        elapsed = F.least(F.greatest(F.col("first_ms") - F.col("level_ms"), F.lit(0)),
+                          F.lit(period))
+        refilled = F.col("level") + elapsed * F.col("first_cap")
+        parts = parts.join(levels.select(account, "level", "level_ms"), account, "left").select(
+            account, PART, "first_ms", "last_ms", "first_cap",
+            F.when(F.col("level").isNotNull(), F.least(refilled, F.col("first_cap") * period))
+            .alias("initial"))
     # A part continues an account only if the account's rows fill its beginning, so at most one
     # account per part is concerned.
     heads = laid.where(F.col(POS) == 0).select(account).distinct()
@@ -180,11 +209,11 @@ def _start_levels(laid: DataFrame, account: str, period: int) -> DataFrame:
         run = pieces = last = None
         for batch in batches:
             at, need, cap = _columns(batch)
-            for lo, hi, key in _runs(batch, account):
-                if key != run:
+            for lo, hi, here in _runs(batch, account):
+                if here != run:
                     if run is not None:
                         yield emit(run, pieces)
-                    run, pieces, last = key, None, None
+                    run, pieces, last = here, None, None
                 pieces = _run_effect(at[lo:hi], need[lo:hi], cap[lo:hi], period, pieces, last)
                 last = int(at[hi - 1])
         if run is not None:
@@ -206,11 +235,11 @@ def _start_levels(laid: DataFrame, account: str, period: int) -> DataFrame:
         # One row per run of the account: as many as the account has partitions.
         runs = runs.sort_by(PART)
         begins, level, last = [], None, None
-        for run in runs.select(["first_ms", "last_ms", "first_cap", "start", "value", "moves"]
-                               ).to_pylist():
+        columns = ["first_ms", "last_ms", "first_cap", "initial", "start", "value", "moves"]
+        for run in runs.select(columns).to_pylist():
             full = run["first_cap"] * period
             if level is None:
-                level = full
+                level = full if run["initial"] is None else run["initial"]
             else:
                 elapsed = min(max(run["first_ms"] - last, 0), period)
                 level = min(full, level + elapsed * run["first_cap"])
@@ -221,7 +250,11 @@ def _start_levels(laid: DataFrame, account: str, period: int) -> DataFrame:
                 level = run["value"][i] + (level if run["moves"][i] else 0)
         return pa.table({account: runs[account], PART: runs[PART], "_start": pa.array(begins)})
 
-    return steps.groupBy(account).applyInArrow(chain, f"{key}, {PART} int, _start bigint")
+    chained = steps.groupBy(account).applyInArrow(chain, f"{key}, {PART} int, _start bigint")
+    if levels is None:
+        return chained
+    single = parts.join(wide, account, "left_anti").where(F.col("initial").isNotNull())
+    return chained.unionByName(single.select(account, PART, F.col("initial").alias("_start")))
 
 
 def _in_run_order(rows: DataFrame) -> DataFrame:
@@ -268,11 +301,10 @@ def submission_limit(submissions: DataFrame, order_by: Sequence[str], at: str,
                         ).drop("_one", "_limit")
 
 
-def peek(decided: DataFrame, account: str, order_by: Sequence[str], at: str, limit: str,
-         now: Column, period_ms: int = MINUTE_MS) -> DataFrame:
+def peek(decided: DataFrame, account: str, order_by: Sequence[str], at: str, amount: str,
+         limit: str, now: Column, period_ms: int = MINUTE_MS) -> DataFrame:
     """Tokens each account could use at ``now``, from its last decided request."""
-    touched = decided.where(F.col("tokens_remaining").isNotNull())
-    last = touched.groupBy(account).agg(
+    last = _touching(decided, amount).groupBy(account).agg(
         F.max_by(F.struct("tokens_remaining", at, limit), F.struct(*order_by)).alias("_s"))
     elapsed = F.greatest(F.unix_millis(now.cast("timestamp"))
                          - F.unix_millis(F.col(f"_s.{at}").cast("timestamp")), F.lit(0))

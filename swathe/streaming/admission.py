@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from swathe.model import IDLE_STATE_GRACE_MS
-from swathe.operators.ratelimit import MINUTE_MS, _decide
+from swathe.operators.ratelimit import MINUTE_MS, _decide, bucket_levels, token_bucket
+from swathe.sources.staging import stage
+from swathe.streaming.apply import earlier
 
 
 def limits_join(requests: DataFrame, accounts: DataFrame, account: str = "account_id",
@@ -77,6 +79,33 @@ def token_bucket_stream(requests: DataFrame, account: str, ids: Sequence[str], a
         GroupStateTimeout.EventTimeTimeout)
 
 
+def bucket_step(account: str, ids: Sequence[str], at: str, amount: str, limit: str, out: str,
+                state: str, period_ms: int = MINUTE_MS) -> Callable[[DataFrame, int], None]:
+    """Trigger function deciding requests with the parallel batch form of the bucket.
+
+    The same decisions as :func:`token_bucket_stream`, for streams in which one account may send
+    more per trigger than one task should hold. Levels are kept below ``state``, one folder per
+    trigger (the newest counts; older ones may be removed), decisions below ``out``. Buckets left
+    alone until they are full again are dropped from the state.
+    """
+    order = [at, *ids]
+
+    def run(requests: DataFrame, trigger: int) -> None:
+        before = earlier(requests.sparkSession, state, trigger, newest_only=True)
+        decided = stage(token_bucket(requests, account, order, at, amount, limit, period_ms,
+                                     before), "decided")
+        now = bucket_levels(decided, account, order, at, amount, period_ms)
+        if before is not None:
+            newest = now.agg(F.max("level_ms")).scalar()
+            idle = before.drop("batch").join(now, account, "left_anti").where(
+                F.col("level_ms") + period_ms + IDLE_STATE_GRACE_MS
+                >= F.coalesce(newest, F.col("level_ms")))
+            now = now.unionByName(idle)
+        now.write.mode("overwrite").parquet(f"{state}/batch={trigger}")
+        decided.write.mode("overwrite").parquet(f"{out}/batch={trigger}")
+    return run
+
+
 def idempotent_stream(submissions: DataFrame, keys: Sequence[str], at: str,
                       within: str = "31 days") -> DataFrame:
     """One submission per key; repeats that arrive ``within`` the window are dropped."""
