@@ -144,7 +144,7 @@ _AUDIT = """event_id AS log_id, user_id AS action_id, {div} AS batch_index,
 
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Events read as audit rows: a user is an action, every 16 of its days' events a batch."""
+    """Events read as audit rows: a user is an action, 100 consecutive events share a batch."""
     return spark.sql("SELECT " + _AUDIT.format(div="event_id div 100") + " FROM {e}",
                      e=table(spark, sf, "events"))
 

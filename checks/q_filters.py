@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import (
     ACCOUNTS_SQL,
     AUDIT_SQL,
+    CUSTOMER,
     CUSTOMERS_SQL,
     ID_LIST_SQL,
     ORDERS,
@@ -22,7 +23,6 @@ from checks.fixtures import (
     submissions,
     table,
 )
-from checks.fixtures import CUSTOMER
 from checks.registry import query
 from swathe.functions.predicates import compile_filter
 from swathe.operators.batching import plan_batches
@@ -33,6 +33,7 @@ from swathe.operators.paging import (
     newest_first,
     offset_page,
 )
+from swathe.sources.tables import account
 from swathe.operators.targets import (
     id_range,
     list_entities,
@@ -160,7 +161,6 @@ def accounts_recent(spark, sf):
 @query("account_lookup", f"""
     SELECT account_id, rate_limit_per_minute, name FROM {ACCOUNTS_SQL} WHERE account_id = 42""")
 def account_lookup(spark, sf):
-    from swathe.sources.tables import account
     return account(accounts(spark, sf), 42)
 
 
