@@ -90,6 +90,9 @@ def entity_action_matrix(spark: SparkSession) -> DataFrame:
 def check_spec(entity: EntitySpec, spec: ActionSpec, columns: list[str]) -> Mapping[str, Any]:
     """Refuse a request that must not run; return its parameters in declared types."""
     action = get_action(spec.action, entity.name)
+    absent = [c for c in (entity.pk, entity.account) if c not in columns]
+    if absent:
+        raise RequestError(f"The table has no column {absent}")
     if spec.filter is None and spec.ids is None:
         raise RequestError("Give a filter or ids; an empty filter means the whole account.",
                            [{"field": "filter", "error": "no_target_set"}])
@@ -128,6 +131,9 @@ def _check_update(entity: EntitySpec, params: Mapping[str, Any]) -> Mapping[str,
 @register_action("update", params=("updates",), required=("updates",), check=_check_update,
                  description="Set fields to the same values on every row of the target set.")
 def update(entity: EntitySpec, params: Mapping[str, Any], df: DataFrame) -> Mutation:
+    absent = sorted(set(params["updates"]) - set(df.columns))
+    if absent:
+        raise RequestError(f"The table has no column {absent}")
     assign = {n: F.lit(v).cast(df.schema[n].dataType) for n, v in params["updates"].items()}
     unchanged = reduce(lambda a, b: a & b,
                        (F.col(n).eqNullSafe(v) for n, v in assign.items()))

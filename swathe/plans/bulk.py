@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathe.functions.measures import batch_size_of
-from swathe.model import ActionSpec, EntitySpec
+from swathe.model import ActionSpec, EntitySpec, RequestError
 from swathe.operators.accounting import (
     batch_counts,
     failed_batch_rows,
@@ -60,6 +60,9 @@ class ActionResult:
         params = check_spec(entity, spec, table.columns)
         self._action = get_action(spec.action, entity.name)
         self._mutation = self._action.build(entity, params, table)
+        absent = sorted(set(self._mutation.assign) - set(table.columns))
+        if absent:
+            raise RequestError(f"The table has no column {absent}")
         self._size = batch_size_of(spec.batch_size, spec.rate_limit_per_minute)
         self._stored_plan = plan
         self._claimed = (None if ledger is None

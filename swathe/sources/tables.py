@@ -91,16 +91,27 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(f"{root}/version={version}")
 
 
-def overwrite_account(account_rows: DataFrame, path: str, account_column: str) -> None:
+def overwrite_account(account_rows: DataFrame, path: str, account_column: str,
+                      account_id: Any) -> None:
     """Replace one account's partition of an account-partitioned table.
 
     The rows come from reading the same table, so they are staged before anything is overwritten;
-    other accounts' files are not touched. An account whose rows are all gone needs
-    :func:`write_version`: dynamic overwrite replaces only partitions it has rows for.
+    other accounts' files are not touched. When no row is left, the partition is removed.
     """
     staged = stage(account_rows, "writeback")
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(account_column).parquet(path))
+    if not staged.isEmpty():
+        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(account_column).parquet(path))
+        return
+    spark = account_rows.sparkSession
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    mine = spark.read.parquet(path).where(F.col(account_column) == F.lit(account_id))
+    for row in mine.select(folder.alias("folder")).distinct().collect():   # one folder
+        if f"/{account_column}=" not in row.folder:
+            raise ValueError(f"{path} is not partitioned by {account_column}")
+        uri = spark._jvm.java.net.URI(row.folder)
+        target = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def submission_row(spark: SparkSession, entity: EntitySpec, spec: ActionSpec, batch_size: int,

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from swathe.model import COMPANY, CONTACT, ActionSpec
+from swathe.model import COMPANY, CONTACT, ActionSpec, RequestError
 from swathe.operators.actions import Mutation, register_action
 from swathe.operators.batching import plan_batches, plan_from_ids
 from swathe.operators.dedup import mark_duplicates
@@ -59,6 +59,14 @@ def test_stats_of_duplicates(spark):
     assert stats["skip_breakdown"]["duplicate_email"] == stats["skipped_count"] > 0
 
 
+def test_columns_must_exist(spark):
+    df = contacts(spark, 3)
+    for missing, spec in (("status", update()), ("deleted_at", ActionSpec(
+            "delete", "acct", filter={})), ("account_id", update()), ("id", update())):
+        with pytest.raises(RequestError, match=missing):
+            run_action(df.drop(missing), CONTACT, spec, AS_OF)
+
+
 def test_filter(spark):
     df = contacts(spark, 100)
     active = df.where("status = 'active'").count()

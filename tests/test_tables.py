@@ -66,7 +66,7 @@ def test_write_back_touches_one_account(spark, two_accounts, tmp_path):
     table = spark.read.parquet(path)
     result = run_action(table, CONTACT, action("x", dedup_by="email"), AS_OF)
     winners = result.stats.first().success_count
-    tables.overwrite_account(result.account_rows, path, "account_id")
+    tables.overwrite_account(result.account_rows, path, "account_id", "a")
     result.release()
     after = tables.read_entity(spark, path, CONTACT)
     assert after.count() == 65
@@ -79,6 +79,18 @@ def test_write_back_touches_one_account(spark, two_accounts, tmp_path):
     assert "PartitionFilters: [isnotnull(account_id" in plan
 
 
+def test_write_back_of_an_emptied_account(spark, two_accounts, tmp_path):
+    path = str(tmp_path / "contacts")
+    odd = two_accounts.withColumn(
+        "account_id", F.when(F.col("account_id") == "a", "a b/ü").otherwise("b"))
+    odd.write.partitionBy("account_id").parquet(path)
+    result = run_action(spark.read.parquet(path), CONTACT, ActionSpec(
+        "delete", "a b/ü", filter={}, params={"hard": True}), AS_OF)
+    tables.overwrite_account(result.account_rows, path, "account_id", "a b/ü")
+    left = spark.read.parquet(path)
+    assert left.count() == left.where("account_id = 'b'").count() == 25
+
+
 def test_versions(spark, two_accounts, tmp_path):
     root = str(tmp_path / "versions")
     assert tables.latest_version(spark, root) is None
