@@ -5,13 +5,16 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from checks import catalogue
 from checks.verify import compare
 from tests.conftest import SF
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalogue.QUERIES, catalogue.SQL
 
 
 def test_every_query_has_sql():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == set()
 
