@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from swathe.llm.packing import pack_documents
 from swathe.llm.token_counts import token_counts
+from swathe.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +31,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"))
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    index = write_token_files(table(spark, sf, "documents"))
+    return read_token_files(index).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(table(spark, sf, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")

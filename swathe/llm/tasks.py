@@ -43,3 +43,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of a column, null as empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+def filesystem(uri: str):
+    """File system and path of a folder or file on shared storage, as tasks see it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def seekable(uri: str):
+    """A file for random access; memory-mapped where the storage is mounted."""
+    from pyarrow import fs
+
+    files, path = filesystem(uri)
+    return pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else (
+        files.open_input_file(path))
