@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swathe.llm.chat import CONTROLS, chat_digests, format_chats
 from swathe.llm.packing import pack_documents
+from swathe.llm.secrets import BASE, find_secrets
 from swathe.llm.token_counts import token_counts
 from swathe.llm.token_files import read_token_files, write_token_files
+from swathe.llm.warc import normalise_archives, read_records, write_archives
+from swathe.sources.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +49,69 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset")
+
+
+@query("op2_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+         f AS (SELECT *, CASE WHEN payload_bytes >= 100
+                         THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first < page_id THEN first END AS refers_to FROM f""")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    archives = write_archives(table(spark, sf, "pages"))
+    records = read_records(normalise_archives(archives))
+
+    def key(name: str):
+        return F.expr(f"try_cast(substr(rtrim('>', {name}), 13) AS bigint)")  # <urn:record:KEY>
+
+    # A response's figures come from the payload read back, a revisit's from its own header.
+    return records.select(
+        key("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), F.substring_index("payload_digest", ":", -1)).alias(
+            "payload_digest"),
+        "record_type", key("refers_to").alias("refers_to"))
+
+
+@query("op3_secrets")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    def of(*kinds: str) -> str:
+        return f"filter(spans, s -> s.kind IN ({', '.join(map(repr, kinds))}))"
+
+    def joined(spans: str) -> str:
+        return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+
+    return find_secrets(table(spark, sf, "documents")).selectExpr(
+        "doc_id", *(f"cast(size({of(k)}) AS bigint) AS n_{k}" for k in BASE),
+        f"sha2({joined(of(*BASE))}, 256) AS base_sha256", f"{joined('spans')} AS spans")
+
+
+_CONTROL = "|".join("".join(f"\\{c}" if c in "[]" else c for c in w[0]) + r"\\*" + "".join(
+    f"\\{c}" if c in "[]" else c for c in w[1:]) for w in CONTROLS)
+
+
+@query("op10_chat", f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+               FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+               UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+         t AS (SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 15 WHEN 'assistant' THEN 4
+                      ELSE 17 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) END
+                      + length(text) + len(regexp_extract_all(text, '{_CONTROL}')) AS n FROM c)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), ''
+                  ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(sum(CASE role WHEN 'assistant' THEN length(text) ELSE 0 END) AS BIGINT)
+             AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                           FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(3 + sum(n) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    chats = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)],
+                                 "conv_id long, turn long, role string, text string")
+    return chat_digests(stage(format_chats(chats.unionByName(more)), "chats"))
