@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathe.llm.chat import CONTROLS, chat_digests, format_chats
+from swathe.llm.ngram_join import ngram_components
 from swathe.llm.packing import pack_documents
 from swathe.llm.secrets import BASE, find_secrets
 from swathe.llm.token_counts import token_counts
@@ -37,6 +38,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"))
 
 
+@query("op1_ngram_join")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_components(table(spark, sf, "documents"))
+
+
 @query("op5_token_files")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     index = write_token_files(table(spark, sf, "documents"))
