@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathe.llm.chat import CONTROLS, chat_digests, format_chats
+from swathe.llm.decontaminate import contaminated_by
 from swathe.llm.ngram_join import ngram_components
 from swathe.llm.packing import pack_documents
+from swathe.llm.quality import resample
 from swathe.llm.secrets import BASE, find_secrets
 from swathe.llm.token_counts import token_counts
 from swathe.llm.token_files import read_token_files, write_token_files
@@ -121,3 +123,13 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)],
                                  "conv_id long, turn long, role string, text string")
     return chat_digests(stage(format_chats(chats.unionByName(more)), "chats"))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated_by(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
