@@ -202,7 +202,7 @@ def passages(index: Index, table: TermTable, texts: list[str]
         yield text, ids[begin:end], np.flatnonzero(may[k]).tolist()
 
 
-def contaminated_by(docs: DataFrame, items: DataFrame, threshold: float = 0.5,
+def contaminated_by(docs: DataFrame, items: DataFrame, threshold: float = 0.6,
                     overlap: float = 0.5, least_terms: int = 6, shard: int = 20_000,
                     key: str = "doc_id", text: str = "text", item: str = "item_id",
                     item_text: str = "text") -> DataFrame:
