@@ -18,15 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from swathe.llm.tasks import kept, slices, texts_of
-from swathe.llm.tokens import VOCABULARY, ChunkTable, vocabulary_path
-
-
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies: printable
-    Latin-1 bytes stand for themselves, the others follow from code point 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b if b in plain else next(rest)) for b in range(256)]
+from swathe.llm.tokens import (
+    VOCABULARY,
+    ChunkTable,
+    byte_letters,
+    byte_level_words,
+    vocabulary_path,
+)
 
 
 def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -65,9 +63,8 @@ class MergeCounts(ChunkTable):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        kind = (spec["model"]["type"], (spec["pre_tokenizer"] or {}).get("type"))
-        if kind != ("BPE", "ByteLevel") or spec["normalizer"] is not None:
-            raise ValueError(f"not a plain byte-level BPE vocabulary: {kind}")
+        if not byte_level_words(path):
+            raise ValueError(f"not a plain byte-level BPE vocabulary: {path}")
         self.ranks = {tuple(m): r for r, m in enumerate(spec["model"]["merges"])}
         self.letters = byte_letters()
         self.words = regex.compile(public_tokenizers.PATTERN)
