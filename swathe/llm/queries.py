@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swathe.llm.chat import CONTROLS, chat_digests, format_chats
 from swathe.llm.decontaminate import contaminated_by
+from swathe.llm.neighbours import nearest
 from swathe.llm.ngram_join import ngram_components
 from swathe.llm.packing import pack_documents
 from swathe.llm.quality import resample
@@ -133,3 +134,10 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_decontamination")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated_by(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op4_neighbours")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0")).select(
+        F.col("query_id").cast("long").alias("query_id"), "rank", "vec_id", "score")
