@@ -2,13 +2,53 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from swathe.llm.decontaminate import drop_contaminated
+from swathe.llm.ngram_join import keep_first
+from swathe.llm.packing import pack_documents
+from swathe.llm.quality import keep_resampled
+from swathe.llm.secrets import redact_secrets
+from swathe.sources.staging import stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards good, not toxic labelled text keeps."""
+    return keep_resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 0.8 Jaccard similarity of five-word shingles."""
+    return keep_first(docs, n=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark and n_chars brought up to date."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens, with their ids."""
+    return pack_documents(docs).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates),
+          ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
+
+# Models fitted on labels and tokenizers are beyond SQL; tests hold every stage against a
+# brute-force version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over the documents of ``sf_dir``."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

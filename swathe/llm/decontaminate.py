@@ -202,6 +202,34 @@ def passages(index: Index, table: TermTable, texts: list[str]
         yield text, ids[begin:end], np.flatnonzero(may[k]).tolist()
 
 
+def hits(index: Index, table: TermTable, texts: list[str], overlap: float
+         ) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(text, item position): best passage's score, question and answer overlap."""
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for row, window, blocks in passages(index, table, texts):
+        terms = np.unique(window[window >= 0]).tolist()
+        seen = None
+        for block in blocks:
+            for position, score in wand(index, terms, block).items():
+                seen = seen or sequences_of(window)
+                shares = [len(seqs & seen[n]) / len(seqs) for seqs, n in index.parts[position]]
+                if min(shares) >= overlap:
+                    hit = (score, *shares)
+                    best[row, position] = max(best.get((row, position), hit), hit)
+    return best
+
+
+def index_shards(items: DataFrame, threshold: float, least_terms: int, shard: int, item: str,
+                 item_text: str) -> Iterator:
+    """Broadcast indexes of the benchmark, one per shard."""
+    tests = items.select(items[item].alias("item"), items[item_text].alias("text")).distinct()
+    shards = max(1, -(-tests.count() // shard))
+    for number in range(shards):
+        rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == number).collect()
+        yield items.sparkSession.sparkContext.broadcast(
+            build_index([(r[0], r[1]) for r in rows], threshold, least_terms))
+
+
 def contaminated_by(docs: DataFrame, items: DataFrame, threshold: float = 0.6,
                     overlap: float = 0.5, least_terms: int = 6, shard: int = 20_000,
                     key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -220,50 +248,50 @@ def contaminated_by(docs: DataFrame, items: DataFrame, threshold: float = 0.6,
     indexed and broadcast by itself (some 100 bytes per term), with BM25 statistics of its own;
     more items mean more passes over the texts, not larger broadcasts. No shuffle.
     """
-    spark = docs.sparkSession
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()]
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    tests = items.select(items[item].alias("item"), items[item_text].alias("text")).distinct()
-    schema = (f"key {kinds[0]}, item {kinds[1]}, score double, question_overlap double, "
-              "answer_overlap double")
-    shards = max(1, -(-tests.count() // shard))
     out = None
-    for number in range(shards):
-        rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == number).collect()
-        shared = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], threshold,
-                                                          least_terms))
-
+    for shared in index_shards(items, threshold, least_terms, shard, item, item_text):
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             table = TermTable(index.terms)
             for batch in slices(batches, "text"):
                 keys = batch.column("key").to_pylist()
-                best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for row, window, blocks in passages(index, table, texts_of(batch.column("text"))):
-                    terms = np.unique(window[window >= 0]).tolist()
-                    seen = None
-                    for b in blocks:
-                        for position, score in wand(index, terms, b).items():
-                            seen = seen or sequences_of(window)
-                            shares = [len(seqs & seen[n]) / len(seqs)
-                                      for seqs, n in index.parts[position]]
-                            if min(shares) >= overlap:
-                                hit = (score * threshold, *shares)
-                                best[row, position] = max(best.get((row, position), hit), hit)
-                if best:
-                    yield pa.RecordBatch.from_pylist([
-                        {"key": keys[row], "item": index.keys[position], "score": s,
-                         "question_overlap": q, "answer_overlap": a}
-                        for (row, position), (s, q, a) in best.items()], schema=pa.schema([
-                            ("key", batch.schema.field("key").type),
-                            ("item", pa.array(index.keys).type), ("score", pa.float64()),
-                            ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-
-        found = own.mapInArrow(search, schema)
-        out = found if out is None else out.unionByName(found)
+                found = hits(index, table, texts_of(batch.column("text")), overlap)
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([keys[row] for row, _ in found],
+                                  batch.schema.field("key").type),
+                         pa.array([index.keys[position] for _, position in found]),
+                         *(pa.array(list(c)) for c in zip(
+                             *((s * threshold, q, a) for s, q, a in found.values())))],
+                        ["key", "item", "score", "question_overlap", "answer_overlap"])
+
+        part = own.mapInArrow(search, f"key {kinds[0]}, item {kinds[1]}, score double, "
+                                      "question_overlap double, answer_overlap double")
+        out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"key": key, "item": item})
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6,
+                      overlap: float = 0.5, least_terms: int = 6, shard: int = 20_000,
+                      text: str = "text", item: str = "item_id", item_text: str = "text"
+                      ) -> DataFrame:
+    """The rows of ``docs``, with all columns, in which :func:`contaminated_by` finds nothing."""
+    for shared in index_shards(items, threshold, least_terms, shard, item, item_text):
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            table = TermTable(index.terms)
+            for batch in slices(batches, text):
+                found = hits(index, table, texts_of(batch.column(text)), overlap)
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _ in found]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def sequences_of(window: np.ndarray) -> dict[int, set[tuple[int, ...]]]:
     """The window's term sequences by length 1 to 3."""
     terms = window.tolist()

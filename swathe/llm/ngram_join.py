@@ -373,3 +373,16 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str =
             .select(F.col("key").alias(key), F.col("size").alias("n_shingles"),
                     F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key"))
                     .alias("component_id")))
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
+               text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of near copies: the one of the smallest key.
+
+    Rows that repeat a kept key stay with it, as the key names the document. Rows without a key
+    stay, unless all of them are copies of documents that have one.
+    """
+    found = ngram_components(docs, n, percent, key, text)
+    kept_keys = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(
+        F.col(key).alias("_kept")).distinct()
+    return docs.join(kept_keys, docs[key].eqNullSafe(kept_keys["_kept"]), "left_semi")

@@ -176,16 +176,29 @@ def best_cut(weights: list[tuple[float, bool]]) -> float:
     return float(values[at - 1] + values[min(at, len(values) - 1)]) / 2
 
 
-def resample(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, noise: float = NOISE,
-             seed: int = 11, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The kept documents: ``key``, log_weight, sample_key, rank.
+def _weights(texts: list[str], ratios: np.ndarray) -> np.ndarray:
+    """Sum of the log ratios of every text's n-grams; the same for a text in any company."""
+    at, counts = features(texts)
+    out = np.zeros(len(texts))
+    filled = counts > 0
+    if filled.any():
+        starts = (np.cumsum(counts) - counts)[filled]
+        out[filled] = np.add.reduceat(ratios[at].astype(np.float64), starts)
+    return np.round(out, 6)
 
-    One row per kept row of ``docs``. Null and empty texts have weight 0; rows with a null or
-    repeated key are weighed each by itself; without usable labels all are kept; an empty table
-    gives no rows. Copies of a row draw the same noise and stand or fall together but for the last
-    rank. Two passes over the texts; what is shuffled is one table of counts per task and a narrow
-    row per document.
-    """
+
+def _sample_keys(keys: list, texts: list[str], weights: np.ndarray, noise: float, seed: int
+                 ) -> np.ndarray:
+    """Weights plus Gumbel noise drawn from a hash of key and text."""
+    draws = np.array([xxhash.xxh3_64_intdigest(f"{k}\n{t}", seed=seed)
+                      for k, t in zip(keys, texts)], np.uint64)
+    uniform = ((draws >> np.uint64(11)).astype(np.float64) + 0.5) / 2 ** 53
+    return weights - noise * np.log(-np.log(uniform))
+
+
+def _ranked(docs: DataFrame, labels: DataFrame, limit: int, noise: float, seed: int, key: str,
+            text: str):
+    """All rows with weight, sample key and rank; the number to keep; the ratios."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
@@ -195,29 +208,62 @@ def resample(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, noise: f
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sample.value
         for batch in slices(batches, "text"):
-            texts = texts_of(batch.column("text"))
-            at, counts = features(texts)
-            sums = np.concatenate(([0.0], np.cumsum(ratios.value[at], dtype=np.float64)))
-            ends = np.cumsum(counts)
-            weight = np.round(sums[ends] - sums[ends - counts], 6)
-            keys = batch.column("key").to_pylist()
-            draws = np.array([xxhash.xxh3_64_intdigest(f"{k}\n{t}", seed=seed)
-                              for k, t in zip(keys, texts)], np.uint64)
-            uniform = ((draws >> np.uint64(11)).astype(np.float64) + 0.5) / 2 ** 53
+            keys, texts = batch.column("key").to_pylist(), texts_of(batch.column("text"))
+            weights = _weights(texts, ratios.value)
             labels_of = [known.get(k) for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(weight),
-                 pa.array(weight - noise * np.log(-np.log(uniform))),
+                [batch.column("key"), pa.array(weights),
+                 pa.array(_sample_keys(keys, texts, weights, noise, seed)),
                  pa.array([x[0] if x and not x[1] else None for x in labels_of], pa.bool_())],
                 ["key", "log_weight", "sample_key", "good"])
 
     weighed = stage(own.mapInArrow(
         weigh, f"key {kind}, log_weight double, sample_key double, good boolean"), "weights")
-    held = weighed.where("good IS NOT NULL").select("log_weight", "good").collect()  # <= limit keys
-    cut = best_cut([(r[0], r[1]) for r in held])
+    # At most ``limit`` keys; repeated rows count once.
+    held = (weighed.where("good IS NOT NULL").groupBy("key")
+            .agg(F.min("log_weight"), F.min("good")).collect())
+    cut = best_cut([(r[1], r[2]) for r in held])
     k = weighed.where(F.col("log_weight") >= cut).count()
     ranked = global_rank(weighed.select("key", "log_weight", "sample_key",
                                         (-F.col("sample_key")).alias("_order")),
                          ["_order", "key"])
+    return ranked, k, ratios
+
+
+def resample(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, noise: float = NOISE,
+             seed: int = 11, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The kept documents: ``key``, log_weight, sample_key, rank.
+
+    One row per kept row of ``docs``. Null and empty texts have weight 0; rows with a null or
+    repeated key are weighed each by itself; without usable labels all are kept; an empty table
+    gives no rows. Copies of a row draw the same noise and stand or fall together but for the last
+    rank. Two passes over the texts; what is shuffled is one table of counts per task and a narrow
+    row per document.
+    """
+    ranked, k, _ = _ranked(docs, labels, limit, noise, seed, key, text)
     return (ranked.where(F.col("rank") <= k)
             .select(F.col("key").alias(key), "log_weight", "sample_key", "rank"))
+
+
+def keep_resampled(docs: DataFrame, labels: DataFrame, limit: int = LABELLED,
+                   noise: float = NOISE, seed: int = 11, key: str = "doc_id",
+                   text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`resample` keeps, with all their columns.
+
+    Rows are weighed again and compared with the last kept sample key, so the texts are not
+    shuffled and rows without a key can stay; rows that tie with the last one stay too.
+    """
+    ranked, k, ratios = _ranked(docs, labels, limit, noise, seed, key, text)
+    last = ranked.where(F.col("rank") == k).select("sample_key").first() if k else None
+    if last is None:
+        return docs.limit(0)
+    least = last["sample_key"]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            texts = texts_of(batch.column(text))
+            found = _sample_keys(batch.column(key).to_pylist(), texts,
+                                 _weights(texts, ratios.value), noise, seed)
+            yield batch.filter(pa.array(found >= least))
+
+    return docs.mapInArrow(keep, docs.schema)
