@@ -285,9 +285,9 @@ def fail_actions(spark, sf):
 
 @query("attempts", """
     SELECT user_id AS action_id, event_id // 1000 AS batch_index, count(*) AS attempts
-    FROM events WHERE event_type IN ('error', 'view') GROUP BY ALL""")
+    FROM events GROUP BY ALL""")
 def attempts(spark, sf):
-    log = table(spark, sf, "events").where("event_type IN ('error', 'view')").selectExpr(
+    log = table(spark, sf, "events").selectExpr(
         "user_id AS action_id", "event_id div 1000 AS batch_index")
     return acc.attempts(log)
 

@@ -120,8 +120,7 @@ def bulk_stats(spark, sf):
 
 
 @query("bulk_logs", f"""
-    SELECT batch_index * 1048576 + row_number() OVER (
-             PARTITION BY batch_index ORDER BY entity_id, reason_code) AS log_id, entity_id,
+    SELECT row_number() OVER (ORDER BY batch_index, entity_id, reason_code) AS log_id, entity_id,
            status, reason_code FROM {_OUTCOME_SQL}""")
 def bulk_logs(spark, sf):
     return numbered_outcomes(flagship(spark, sf).outcomes).select(

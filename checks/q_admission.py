@@ -121,17 +121,32 @@ def deferrals(spark, sf):
     SELECT user_id, least(CAST(any_value(cap) AS DOUBLE), arg_max(tokens_remaining,
         (ts, event_id)) + greatest(epoch_us(TIMESTAMP '2024-01-30 18:00:00') // 1000
         - epoch_us(max(ts)) // 1000, 0) * CAST(3 AS DOUBLE) / {DAY_MS}) AS tokens_available
-    FROM {EVENT_BUCKET_SQL} GROUP BY user_id""")
+    FROM {EVENT_BUCKET_SQL} GROUP BY user_id
+    UNION ALL SELECT -1 - user_id, CAST(3 AS DOUBLE) FROM {ACCOUNTS_SQL} a(user_id)""")
 def bucket_peek(spark, sf):
     now = F.to_timestamp_ntz(F.lit("2024-01-30 18:00:00"))
+    users = accounts(spark, sf).selectExpr("explode(array(account_id, -1 - account_id)) AS user_id",
+                                           "3 AS cap")
     return rl.peek(event_bucket(spark, sf), "user_id", ["ts", "event_id"], "ts", "amount", "cap", now,
-                   DAY_MS)
+                   DAY_MS, users)
+
+
+@query("admit_unknown_account", f"""
+    SELECT action_id AS account_id, batch_index, action_id % 3 = 0 AS unknown_account
+    FROM {AUDIT_BATCHES_SQL}""")
+def admit_unknown_account(spark, sf):
+    batches = audit_batches(spark, sf).withColumnRenamed("action_id", "account_id").select(
+        "account_id", "batch_index", "entity_count", "finished_at")
+    known = accounts(spark, sf).where("account_id % 3 <> 0")
+    return rl.admit_batches(batches, known, ["finished_at", "batch_index"], "finished_at").select(
+        "account_id", "batch_index", "unknown_account")
 
 
 @query("admission_timetable", f"""
-    SELECT account_id, batch_index, round(greatest((CAST(sum(amount) OVER (PARTITION BY account_id
-      ORDER BY batch_index ROWS UNBOUNDED PRECEDING) AS BIGINT) - cap) / (cap / CAST(60 AS DOUBLE)),
-      0), 6) AS admit_after_seconds FROM {_BATCHES_SQL}""")
+    SELECT account_id, batch_index, CASE WHEN amount <= cap THEN round(greatest((CAST(
+        sum(CASE WHEN amount BETWEEN 1 AND cap THEN amount ELSE 0 END) OVER (
+          PARTITION BY account_id ORDER BY batch_index ROWS UNBOUNDED PRECEDING) AS BIGINT) - cap)
+        / (cap / CAST(60 AS DOUBLE)), 0), 6) END AS admit_after_seconds FROM {_BATCHES_SQL}""")
 def admission_timetable(spark, sf):
     batches = audit_batches(spark, sf).withColumnRenamed("action_id", "account_id").select(
         "account_id", "batch_index", "entity_count")

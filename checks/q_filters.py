@@ -51,6 +51,30 @@ def _filter_query(name, filters, where):
         return df.where(compile_filter(ORDERS_RAW, filters, df)).select(*_COLUMNS.split(", "))
 
 
+@query("filter_big_ints", """
+    SELECT o_orderkey FROM orders WHERE 9007199254740992 + o_orderkey = 9007199254740999
+      OR 9007199254740992 + o_orderkey NOT BETWEEN 9007199254740992 + 11 AND 9007199254741501
+      AND 9007199254740992 + o_orderkey <> 9007199254740993""")
+def filter_big_ints(spark, sf):
+    """Keys beyond 2^53, where neighbours share a double."""
+    base = 2**53
+    df = orders(spark, sf).withColumn("o_custkey", F.lit(base) + F.col("o_orderkey"))
+    spec = {"eq": {"eq": base + 7}, "low": {"lt": base + 11, "ne": base + 1},
+            "high": {"gt": str(base + 509), "not_in": [base + 1]}}
+    eq, low, high = (compile_filter(ORDERS_RAW, {"o_custkey": c}, df) for c in spec.values())
+    return df.where(eq | low | high).select("o_orderkey")
+
+
+@query("filter_zoned_times", f"""
+    SELECT o_orderkey FROM {ORDERS_SQL} WHERE o_orderdate >= TIMESTAMP '1995-12-31 22:00:00'
+      AND o_orderdate < TIMESTAMP '1997-01-01 05:30:00'""")
+def filter_zoned_times(spark, sf):
+    df = orders(spark, sf)
+    return df.where(compile_filter(ORDERS_RAW, {"o_orderdate": {
+        "gte": "1996-01-01T00:00:00+02:00", "lt": "1997-01-01T00:00:00-05:30"}}, df)
+        ).select("o_orderkey")
+
+
 for _name, _filters, _where in [
     ("filter_eq", {"o_orderstatus": {"eq": "P"}}, "o_orderstatus = 'P'"),
     ("filter_shorthand", {"o_orderstatus": "F", "o_custkey": "77"},

@@ -74,13 +74,35 @@ def stream_progress(spark, sf):
     return progress.latest_progress(spark.read.parquet(frames))
 
 
+# Keys of which some are missing, some empty.
+_KEY = ("CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN '' ELSE idempotency_key END")
+
+
 @query("stream_idempotent", f"""
-    SELECT DISTINCT account_id, idempotency_key FROM {SUBMISSIONS_SQL}""")
+    WITH s AS (SELECT id, account_id, {_KEY} AS idempotency_key FROM {SUBMISSIONS_SQL})
+    SELECT id, account_id, idempotency_key FROM s WHERE coalesce(idempotency_key, '') = ''
+    UNION ALL SELECT min(id), account_id, idempotency_key FROM s
+    WHERE idempotency_key <> '' GROUP BY 2, 3""")
 def stream_idempotent(spark, sf):
+    # Every trigger's submissions were created months before those of the trigger before it.
     rows = _utc(submissions(spark, sf), "created_at")
+    width = rows.agg(F.max("id")).first()[0] // SLICES + 1
+    rows = rows.selectExpr("id", "account_id", f"{_KEY} AS idempotency_key",
+                           f"timestamp_millis(id) - make_dt_interval(90 * (id div {width})) AS at")
     firsts = admission.idempotent_stream(feed(rows, "id", "idempotent"),
-                                         ["account_id", "idempotency_key"], "created_at")
-    return drain(spark, firsts, "idempotent").select("account_id", "idempotency_key")
+                                         ["account_id", "idempotency_key"], "at")
+    return drain(spark, firsts, "idempotent").select("id", "account_id", "idempotency_key")
+
+
+@query("stream_late_requests", "SELECT event_id, true AS allowed FROM events")
+def stream_late_requests(spark, sf):
+    """Every request gets its decision, though half of them are months behind."""
+    rows = _utc(table(spark, sf, "events").select("event_id", "user_id", "ts"), "ts").withColumns(
+        {"ts": F.expr("if(event_id % 2 = 0, ts, ts - INTERVAL 90 DAYS)"),
+         "amount": F.lit(1), "cap": F.lit(1_000_000)})
+    decided = admission.token_bucket_stream(feed(rows, "event_id", "late"), "user_id",
+                                            ["event_id"], "ts", "amount", "cap", DAY_MS)
+    return drain(spark, decided, "late").select("event_id", "allowed")
 
 
 @query("stream_limits_join", f"""
@@ -157,7 +179,7 @@ def stream_apply(spark, sf):
       USING (s_suppkey)""")
 def stream_apply_table(spark, sf):
     _, state, suppliers = _applied(spark, sf)
-    values = apply.earlier(spark, state, 2**31, newest_only=True)
+    values = apply.earlier(spark, state, newest_only=True)
     return overlay(suppliers, SUPPLIER, "s_name", values).select(
         "s_suppkey", "s_name", "s_nationkey")
 

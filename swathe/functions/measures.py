@@ -46,12 +46,11 @@ def retry_after_ms(seconds: Column | str) -> Column:
 def effective_batch_size(requested: Column | str, limit_per_minute: Column | str) -> Column:
     """Requested size (0 or null: the default), clamped to the maximum and to what the account's
     limit can ever admit; at least 1."""
-    size = F.coalesce(F.nullif(_col(requested), F.lit(0)), F.lit(DEFAULT_BATCH_SIZE)).cast("bigint")
-    size = F.greatest(F.lit(1), F.least(size, F.lit(MAX_BATCH_SIZE)))
-    return F.greatest(F.lit(1), F.least(size, _col(limit_per_minute))).cast("bigint")
+    size = F.coalesce(F.nullif(_col(requested), F.lit(0)), F.lit(DEFAULT_BATCH_SIZE))
+    return F.greatest(F.lit(1), F.least(size.cast("bigint"), F.lit(MAX_BATCH_SIZE),
+                                        _col(limit_per_minute))).cast("bigint")
 
 
 def batch_size_of(requested: int | None, limit_per_minute: int) -> int:
     """:func:`effective_batch_size` for one request."""
-    size = max(1, min(requested or DEFAULT_BATCH_SIZE, MAX_BATCH_SIZE))
-    return max(1, min(size, limit_per_minute))
+    return max(1, min(requested or DEFAULT_BATCH_SIZE, MAX_BATCH_SIZE, limit_per_minute))

@@ -8,7 +8,8 @@ comparisons to the Parquet scan.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import UTC, datetime
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -24,6 +25,7 @@ _COMPARISONS = {
     "lt": lambda c, v: c < v,
     "lte": lambda c, v: c <= v,
 }
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 OPERATORS = ("eq", "ne", *_COMPARISONS, "in", "not_in", "contains", "is_null")
 
 
@@ -82,22 +84,35 @@ def _literal(name: str, dtype: T.DataType, value: Any) -> Column:
         if value is None:
             pass
         elif isinstance(dtype, T.IntegralType):
-            number = int(value) if isinstance(value, str) else value
-            if isinstance(number, bool):
+            if isinstance(value, bool):
                 raise ValueError(value)
-            if float(number) != int(number):
-                return F.lit(float(number))  # age < 29.5 must keep 29: no cast to the column type
-            value = int(number)
-        elif isinstance(dtype, (T.FractionalType, T.DecimalType)):
+            if isinstance(value, float) and not value.is_integer():
+                if value != value or value in (float("inf"), float("-inf")):
+                    raise ValueError(value)
+                return F.lit(value)  # age < 29.5 must keep 29: no cast to the column type
+            value = int(value)
+            if value.bit_length() > _BITS[type(dtype)] - 1 and value != -(
+                    1 << _BITS[type(dtype)] - 1):
+                raise ValueError(value)
+        elif isinstance(dtype, T.DecimalType):
+            # Compared as a decimal of its own scale: a cast to the column's would round it.
+            number = Decimal(str(value))
+            if isinstance(value, bool) or not number.is_finite():
+                raise ValueError(value)
+            return F.lit(number)
+        elif isinstance(dtype, T.FractionalType):
             value = float(value)
         elif isinstance(dtype, T.BooleanType):
             if not isinstance(value, bool):
                 raise ValueError(value)
         elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            value = str(datetime.fromisoformat(str(value)))
+            moment = datetime.fromisoformat(str(value))
+            if moment.tzinfo is not None:  # zone-less columns hold UTC
+                moment = moment.astimezone(UTC).replace(tzinfo=None)
+            value = f"{moment}Z" if isinstance(dtype, T.TimestampType) else str(moment)
         elif not isinstance(value, str):
             raise ValueError(value)
-    except (TypeError, ValueError):
+    except (ArithmeticError, TypeError, ValueError):
         raise RequestError(f"value {value!r} does not fit {name!r} "
                            f"({dtype.simpleString()})") from None
     return F.lit(value).cast(dtype)

@@ -11,7 +11,7 @@ import json
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import UTC, datetime
 from typing import Any
 
 # --- Fixed values (vocabularies, limits and codes that callers rely on) ---------------------
@@ -97,9 +97,12 @@ class FieldRule:
             return text
         if self.type == "timestamp":
             try:
-                return datetime.fromisoformat(str(value).strip()).isoformat(sep=" ")
+                moment = datetime.fromisoformat(str(value).strip())
             except ValueError:
                 raise ValueError("not_a_timestamp") from None
+            if moment.tzinfo is not None:  # zone-less values are UTC
+                moment = moment.astimezone(UTC).replace(tzinfo=None)
+            return moment.isoformat(sep=" ")
         if self.type not in NUMERIC_TYPES:
             return value
         try:
@@ -139,10 +142,7 @@ class EntitySpec:
     @property
     def columns(self) -> list[str]:
         """Columns an action reads: key, declared fields, soft-delete marker."""
-        names = [self.pk, *self.fields]
-        if self.soft_delete and self.soft_delete not in names:
-            names.append(self.soft_delete)
-        return names
+        return [c for c in dict.fromkeys((self.pk, *self.fields, self.soft_delete)) if c]
 
     def filterable(self, table_columns: list[str]) -> list[str]:
         """Names a filter may use: filterable declared fields plus the common control columns,

@@ -280,15 +280,21 @@ def _runs(batch: pa.RecordBatch, account: str) -> Iterator[tuple[int, int, tuple
 
 def with_limits(requests: DataFrame, accounts: DataFrame, account: str = "account_id",
                 limit: str = "rate_limit_per_minute") -> DataFrame:
-    """Requests with their account's limit (requests of unknown accounts drop out)."""
-    return requests.join(accounts.select(account, limit), account)
+    """Requests with their account's limit; null for accounts that are not known."""
+    return requests.join(accounts.select(account, limit), account, "left")
 
 
 def admit_batches(batches: DataFrame, accounts: DataFrame, order_by: Sequence[str], at: str
                   ) -> DataFrame:
-    """Entities-per-minute gate in front of batches: each asks for its entity count."""
-    return token_bucket(with_limits(batches, accounts), "account_id", order_by, at,
-                        "entity_count", "rate_limit_per_minute")
+    """Entities-per-minute gate in front of batches: each asks for its entity count.
+
+    ``unknown_account`` marks batches whose account has no limit; they are not admitted and never
+    can be.
+    """
+    limited = with_limits(batches, accounts).withColumn(
+        "unknown_account", F.col("rate_limit_per_minute").isNull())
+    return token_bucket(limited, "account_id", order_by, at, "entity_count",
+                        "rate_limit_per_minute")
 
 
 def submission_limit(submissions: DataFrame, order_by: Sequence[str], at: str,
@@ -302,15 +308,23 @@ def submission_limit(submissions: DataFrame, order_by: Sequence[str], at: str,
 
 
 def peek(decided: DataFrame, account: str, order_by: Sequence[str], at: str, amount: str,
-         limit: str, now: Column, period_ms: int = MINUTE_MS) -> DataFrame:
-    """Tokens each account could use at ``now``, from its last decided request."""
+         limit: str, now: Column, period_ms: int = MINUTE_MS,
+         accounts: DataFrame | None = None) -> DataFrame:
+    """Tokens each account could use at ``now``, from its last decided request. With
+    ``accounts(account, limit)`` all of these are listed: one that has asked for nothing yet has
+    its full limit."""
     last = _touching(decided, amount).groupBy(account).agg(
         F.max_by(F.struct("tokens_remaining", at, limit), F.struct(*order_by)).alias("_s"))
     elapsed = F.greatest(F.unix_millis(now.cast("timestamp"))
                          - F.unix_millis(F.col(f"_s.{at}").cast("timestamp")), F.lit(0))
     cap = F.col(f"_s.{limit}").cast("double")
     level = F.col("_s.tokens_remaining") + elapsed * cap / F.lit(period_ms)
-    return last.select(account, F.least(cap, level).alias("tokens_available"))
+    levels = last.select(account, F.least(cap, level).alias("tokens_available"))
+    if accounts is None:
+        return levels
+    full = accounts.select(account, F.col(limit).cast("double").alias("_full"))
+    return full.join(levels, account, "left").select(
+        account, F.coalesce("tokens_available", "_full").alias("tokens_available"))
 
 
 def deferrals(decided: DataFrame, at: str) -> DataFrame:
@@ -325,10 +339,15 @@ def deferrals(decided: DataFrame, at: str) -> DataFrame:
 def admission_timetable(requests: DataFrame, account: str, order_by: Sequence[str], amount: str,
                         limit: str) -> DataFrame:
     """Seconds until each request of a backlog is admitted when all wait in line, strictly in
-    order. (The live gate lets a later, smaller request overtake; this timetable does not.)"""
-    summed = running_sum(requests, [account], order_by, {"_ahead": F.col(amount).cast("bigint")})
+    order. (The live gate lets a later, smaller request overtake; this timetable does not.)
+    Requests above the limit are never admitted: they have no time and nobody waits for them.
+    Requests for nothing take none."""
+    takes = F.when((F.col(amount) > 0) & (F.col(amount) <= F.col(limit)), F.col(amount))
+    summed = running_sum(requests, [account], order_by,
+                         {"_ahead": F.coalesce(takes, F.lit(0)).cast("bigint")})
     wait = (F.col("_ahead") - F.col(limit)) / (F.col(limit) / F.lit(60.0))
-    return summed.withColumn("admit_after_seconds", F.greatest(wait, F.lit(0.0))).drop("_ahead")
+    return summed.withColumn("admit_after_seconds", F.when(
+        F.col(amount) <= F.col(limit), F.greatest(wait, F.lit(0.0)))).drop("_ahead")
 
 
 def idle_timeout_ms(limit: Column, period_ms: int = MINUTE_MS) -> Column:

@@ -207,9 +207,10 @@ def due(actions: DataFrame, as_of: Column) -> DataFrame:
 
 
 def with_batch_size(submissions: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Batch size each submission will really use, given its account's limit."""
+    """Batch size each submission will really use, given its account's limit (of an account that
+    is not known: the requested size, clamped to the maximum)."""
     limits = accounts.select("account_id", "rate_limit_per_minute")
-    return submissions.join(limits, "account_id").withColumn(
+    return submissions.join(limits, "account_id", "left").withColumn(
         "effective_batch_size", effective_batch_size("batch_size", "rate_limit_per_minute"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathe.functions.measures import batch_size_of
@@ -27,6 +27,7 @@ from swathe.operators.batching import (
 from swathe.operators.dedup import DUPLICATE, UNIQUE, claimed_keys, mark_duplicates
 from swathe.operators.mutate import account_slice, mutate, mutate_keys
 from swathe.operators.targets import ids_frame, in_scope, target_predicate
+from swathe.operators.ordered import global_rank
 from swathe.sources.staging import release, stage
 
 MESSAGES = {
@@ -345,14 +346,13 @@ def _batch_rows(summary: DataFrame, outcomes: DataFrame, spec: ActionSpec,
 
 
 def numbered_outcomes(outcomes: DataFrame) -> DataFrame:
-    """Add ``log_id``, a stable running number within each action for keyset paging.
+    """Add ``log_id``, the row's place in (action, batch, entity, reason) order, for keyset paging.
 
-    The number is the batch index in the high bits and the position in its batch in the low ones,
-    so it needs no global order: a batch is at most a few ten thousand rows.
+    Batches may grow without bound after planning, so the number is a global rank and not packed
+    from batch and place.
     """
-    place = Window.partitionBy("action_id", "batch_index").orderBy("entity_id", "reason_code")
-    return outcomes.withColumn(
-        "log_id", F.shiftleft("batch_index", 20) + F.row_number().over(place))
+    return global_rank(outcomes, ["action_id", "batch_index", "entity_id", "reason_code"],
+                       "log_id")
 
 
 __all__ = ["MESSAGES", "ActionResult", "numbered_outcomes", "run_action"]

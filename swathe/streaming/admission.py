@@ -19,25 +19,25 @@ from swathe.streaming.apply import earlier
 
 def limits_join(requests: DataFrame, accounts: DataFrame, account: str = "account_id",
                 limit: str = "rate_limit_per_minute") -> DataFrame:
-    """Stream-static lookup of each request's account limit."""
-    return requests.join(accounts.select(account, limit), account)
+    """Stream-static lookup of each request's account limit; null for unknown accounts."""
+    return requests.join(accounts.select(account, limit), account, "left")
 
 
 def token_bucket_stream(requests: DataFrame, account: str, ids: Sequence[str], at: str,
-                        amount: str, limit: str, period_ms: int = MINUTE_MS,
-                        lateness: str = "1 hour") -> DataFrame:
+                        amount: str, limit: str, period_ms: int = MINUTE_MS) -> DataFrame:
     """:func:`swathe.operators.ratelimit.token_bucket` on a stream; ``at`` is a timestamp.
 
-    State per account is the bucket's level and time. A bucket left alone until it would be full
-    again (plus a grace period of event time) is forgotten, which changes no decision. Rows are
-    decided in ``(at, *ids)`` order within a trigger and in arrival order between triggers; a
-    trigger's size (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds the rows of one
-    account held at a time.
+    Every request gets a decision, however late it comes: time never runs backwards in a bucket,
+    so a late one adds no tokens. State per account is the bucket's level and time, a row that is
+    kept for good: requests may come late by any time. (:func:`bucket_step` forgets idle buckets.)
+    A request without a limit (unknown account) is ``unsatisfiable``. Rows are decided in ``(at, *ids)`` order within a trigger and in arrival
+    order between triggers; a trigger's size (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``)
+    bounds the rows of one account held at a time.
     """
-    prepared = (requests.withWatermark(at, lateness).select(
+    prepared = requests.select(
         F.col(account), *[F.col(c) for c in ids], F.col(at),
         F.unix_millis(at).alias("_ms"), F.col(amount).cast("bigint").alias("_need"),
-        F.col(limit).cast("bigint").alias("_cap")))
+        F.col(limit).cast("bigint").alias("_cap"))
     kinds = {f.name: f.dataType.simpleString() for f in prepared.schema}
     schema = ", ".join([
         *[f"`{c}` {kinds[c]}" for c in (account, *ids)],
@@ -46,37 +46,31 @@ def token_bucket_stream(requests: DataFrame, account: str, ids: Sequence[str], a
 
     def decide(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState
                ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         pdf = pd.concat(list(rows), ignore_index=True).sort_values([at, *ids])
-        level, last, cap = state.get if state.exists else (None, None, None)
+        level, last, _ = state.get if state.exists else (None, None, None)
         counted = ((pdf["_need"] > 0) & (pdf["_need"] <= pdf["_cap"])).to_numpy()
         out = pdf[[account, *ids]].copy()
         nothing = (pdf["_need"] <= 0).to_numpy()
         out["allowed"] = nothing
         out["retry_after_seconds"] = np.where(nothing, 0.0, np.nan)
         out["tokens_remaining"] = np.where(nothing, pdf["_cap"].to_numpy(float), np.nan)
-        out["unsatisfiable"] = (pdf["_need"] > pdf["_cap"]).to_numpy()
+        out["unsatisfiable"] = ~(counted | nothing)
         if counted.any():
             used = pdf[counted]
-            need, caps, ms = (used[c].to_numpy() for c in ("_need", "_cap", "_ms"))
+            need, caps, ms = (used[c].to_numpy("int64") for c in ("_need", "_cap", "_ms"))
             admitted, levels = _decide(ms, need, caps, period_ms, level, last)
             out.loc[counted, "allowed"] = admitted
             wait = (need * period_ms - levels) / caps / 1000.0
             wait[admitted] = 0.0
             out.loc[counted, "retry_after_seconds"] = wait
             out.loc[counted, "tokens_remaining"] = levels / period_ms
-            level, last, cap = int(levels[-1]), int(ms[-1]), int(caps[-1])
-            state.update((level, last, cap))
-        if state.exists:
-            forget = last + period_ms + IDLE_STATE_GRACE_MS
-            state.setTimeoutTimestamp(max(forget, state.getCurrentWatermarkMs() + 1))
+            last = max(int(ms.max()), last) if last is not None else int(ms.max())
+            state.update((int(levels[-1]), last, int(caps[-1])))
         yield out
 
     return prepared.groupBy(account).applyInPandasWithState(
         decide, schema, "level bigint, last bigint, cap bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
+        GroupStateTimeout.NoTimeout)
 
 
 def bucket_step(account: str, ids: Sequence[str], at: str, amount: str, limit: str, out: str,
@@ -106,7 +100,27 @@ def bucket_step(account: str, ids: Sequence[str], at: str, amount: str, limit: s
     return run
 
 
-def idempotent_stream(submissions: DataFrame, keys: Sequence[str], at: str,
-                      within: str = "31 days") -> DataFrame:
-    """One submission per key; repeats that arrive ``within`` the window are dropped."""
-    return submissions.withWatermark(at, within).dropDuplicatesWithinWatermark(list(keys))
+def idempotent_stream(submissions: DataFrame, keys: Sequence[str], at: str, pk: str = "id"
+                      ) -> DataFrame:
+    """The submissions that are not repeats: the first of every key, by ``(at, pk)`` within a
+    trigger and by arrival between triggers, however long ago that was.
+
+    The last of ``keys`` is the idempotency key; submissions in which it is null or empty are
+    never repeats. One flag per key is kept for good.
+    """
+    keyed = (F.col(keys[-1]) != "") & F.col(keys[-1]).isNotNull()
+
+    def first(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState
+              ) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in rows:
+            least = pdf.sort_values([at, pk]).head(1)
+            best = least if best is None else pd.concat([best, least]).sort_values(
+                [at, pk]).head(1)
+        if best is not None and not state.exists:
+            state.update((True,))
+            yield best
+
+    firsts = submissions.where(keyed).groupBy(*keys).applyInPandasWithState(
+        first, submissions.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return firsts.unionByName(submissions.where(~keyed | F.col(keys[-1]).isNull()))
