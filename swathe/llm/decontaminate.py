@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from swathe.llm.tasks import slices, texts_of
 
@@ -250,6 +251,7 @@ def contaminated_by(docs: DataFrame, items: DataFrame, threshold: float = 0.6,
     """
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()]
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    item_type = to_arrow_type(items.schema[item].dataType)
     out = None
     for shared in index_shards(items, threshold, least_terms, shard, item, item_text):
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -262,7 +264,7 @@ def contaminated_by(docs: DataFrame, items: DataFrame, threshold: float = 0.6,
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([keys[row] for row, _ in found],
                                   batch.schema.field("key").type),
-                         pa.array([index.keys[position] for _, position in found]),
+                         pa.array([index.keys[position] for _, position in found], item_type),
                          *(pa.array(list(c)) for c in zip(
                              *((s * threshold, q, a) for s, q, a in found.values())))],
                         ["key", "item", "score", "question_overlap", "answer_overlap"])
