@@ -4,7 +4,8 @@ On a bounded sample the exact neighbour graph is cut into balanced partitions wi
 between them. A small softmax classifier learns to tell a vector's partition, from soft targets:
 the shares of the partitions among the vector's graph neighbours. Every vector is filed under its
 most probable partition; a query goes to the several most probable ones and all vectors there are
-compared exactly.
+compared exactly. The sample rows among them already tell how good a result must be at least, so
+blocks return only rows that reach it.
 
 Vectors and queries of a partition meet in blocks of bounded size, whatever a partition holds, so
 a third of all vectors may be copies of one. Nearest rows of the blocks are merged by rank.
@@ -122,6 +123,21 @@ def probes_for(x: np.ndarray, held: np.ndarray, w: np.ndarray, b: np.ndarray, k:
     return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1
 
 
+def least_scores(queries: np.ndarray, visited: np.ndarray, x: np.ndarray, part: np.ndarray,
+                 k: int) -> np.ndarray:
+    """Per query the k-th largest score of the sample rows in the partitions that it visits.
+
+    These rows are candidates, so no result scores less; -inf where there are fewer than k.
+    """
+    out = np.full(len(queries), -np.inf)
+    if len(x) >= k:
+        for begin in range(0, len(queries), 256):
+            scores = queries[begin:begin + 256] @ x.T
+            scores[~visited[begin:begin + 256][:, part]] = -np.inf
+            out[begin:begin + 256] = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
+    return out
+
+
 def usable(column: str, width: int):
     """Vectors that take part: as long as the others, all components finite, not all zero."""
     finite = f"forall({column}, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('inf'))"
@@ -178,6 +194,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     else:
         w, b, probes = np.zeros((width, 1)), np.zeros(1), 1
     router = spark.sparkContext.broadcast((w / norm, b))
+    known = spark.sparkContext.broadcast((x, (x @ w / norm + b).argmax(axis=1)))
 
     def file_under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, offsets = router.value
@@ -207,12 +224,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             before = reached - sizes[order]
             goes = (np.arange(parts) < probes) | (before < k + repeats)
             query, place = np.nonzero(goes & (sizes[order] > 0))
+            visited = np.zeros((len(order), parts), bool)
+            visited[query, order[query, place]] = True
+            bound = least_scores(matrix(batch.column("v"), width), visited, *known.value,
+                                 k + repeats)
             taken = batch.take(pa.array(query))
             yield pa.RecordBatch.from_arrays(
                 [taken.column("key"), taken.column("v"),
-                 pa.array(order[query, place].astype(np.int32))], ["key", "v", "part"])
+                 pa.array(order[query, place].astype(np.int32)), pa.array(bound[query])],
+                ["key", "v", "part", "bound"])
 
-    routed = stage(asked.mapInArrow(route, f"key {kind}, v array<double>, part int"), "routed")
+    routed = stage(asked.mapInArrow(
+        route, f"key {kind}, v array<double>, part int, bound double"), "routed")
     sent = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
 
     def blocks(counts: list[int], size: int):
@@ -226,7 +249,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     q_blocks = blocks([sent.get(p, 0) for p in range(parts)], QUERIES)
     stored = filed.select("part", "key", "v", F.pmod("draw", v_blocks).alias("v_block"),
                           every(q_blocks).alias("q_block"))
-    sought = routed.select("part", "key", "v", F.pmod(F.xxhash64("key", "v"), q_blocks)
+    sought = routed.select("part", "key", "v", "bound", F.pmod(F.xxhash64("key", "v"), q_blocks)
                            .cast("int").alias("q_block"), every(v_blocks).alias("v_block"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -238,13 +261,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         lv = matrix(left.column("v").combine_chunks(), width)
         rv = matrix(right.column("v").combine_chunks(), width)
         lk, rk = (np.array(t.column("key").to_pylist()) for t in (left, right))
+        bounds = right.column("bound").to_numpy()
         queries_of, keys, scores = [], [], []
         for begin in range(0, len(rv), 256):
             product = rv[begin:begin + 256] @ lv.T
-            for q, row, s in zip(rk[begin:begin + 256], rv[begin:begin + 256], product):
+            for q, row, bound, s in zip(*(c[begin:begin + 256] for c in (rk, rv, bounds)),
+                                        product):
                 s[lk == q] = -np.inf
                 n = min(k, len(s))
-                least = np.partition(s, len(s) - n)[len(s) - n]
+                least = max(bound, np.partition(s, len(s) - n)[len(s) - n])
                 at = np.flatnonzero((s >= least - 1e-9 * (1 + abs(least))) & (s > -np.inf))
                 # The same sum for every row, so that copies tie exactly.
                 exact = (lv[at] * row).sum(axis=1)
