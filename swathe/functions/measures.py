@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from swathe.model import DEFAULT_BATCH_SIZE, MAX_BATCH_SIZE, RETRY_CUSHION_MS
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -22,7 +25,11 @@ def progress_percent(processed: Column | str, total: Column | str,
 
 def duration_seconds(started: Column | str, finished: Column | str, now: Column | None = None) -> Column:
     """Seconds from start to finish (or ``now`` while running), never negative; null when not
-    started."""
+    started. Zone-less times are UTC; another session zone would read them differently and is
+    refused."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") not in UTC_NAMES:
+        raise ValueError("set spark.sql.session.timeZone to UTC")
     end = _col(finished) if now is None else F.coalesce(_col(finished), now)
     micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(_col(started).cast("timestamp"))
     return F.greatest(micros / F.lit(1e6), F.when(micros.isNotNull(), F.lit(0.0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -13,6 +13,10 @@ from swathe.functions.text import normalise_key
 UNIQUE, DUPLICATE, MISSING = "unique", "duplicate", "missing_key"
 
 
+def _hash(key: str | Column) -> Column:
+    return F.unhex(F.md5(key))
+
+
 def mark_duplicates(rows: DataFrame, pk: str, field: str, order_by: Sequence[str],
                     ledger: DataFrame | None = None) -> DataFrame:
     """Add ``dedup_key`` and ``dedup_class`` (unique / duplicate / missing_key).
@@ -23,7 +27,7 @@ def mark_duplicates(rows: DataFrame, pk: str, field: str, order_by: Sequence[str
 
     The winner per key is a combined ``min`` and comes back over the unique row key, so one
     de-duplication key held by a large share of the rows is neither sorted nor joined in a single
-    task.
+    task. Keys are grouped and joined by a 128-bit hash, so long ones are not shuffled.
     """
     order = [*(c for c in order_by if c != pk), pk]
     numeric = isinstance(rows.schema[field].dataType, NumericType)
@@ -32,17 +36,17 @@ def mark_duplicates(rows: DataFrame, pk: str, field: str, order_by: Sequence[str
     # min over one number aggregates in place; a struct is only needed for a composite order.
     first = F.min(pk) if order == [pk] else F.min(F.struct(*order))[pk]
     winners = (keyed.where(F.col("dedup_key").isNotNull())
-               .groupBy(F.col("dedup_key").alias("_key")).agg(first.alias("_winner")))
+               .groupBy(_hash("dedup_key").alias("_key")).agg(first.alias("_winner")))
     won = F.col(pk) == F.col("_winner")
     if ledger is None:
         winners = winners.select("_winner")
     else:
-        claimed = ledger.select(F.col("dedup_key").alias("_claimed_key"),
+        claimed = ledger.select(_hash("dedup_key").alias("_claimed_key"),
                                 F.col("winner_pk").alias("_claimed_by"))
         winners = (winners.join(claimed, F.col("_key") == F.col("_claimed_key"), "left")
                    .select("_key", F.coalesce("_claimed_by", "_winner").alias("_winner")))
         # A claim may name a row that carries another key by now.
-        won = won & (F.col("dedup_key") == F.col("_key"))
+        won = won & (_hash("dedup_key") == F.col("_key"))
     return keyed.join(winners, won, "left").select(
         *keyed.columns,
         F.when(F.col("dedup_key").isNull(), MISSING)
@@ -63,4 +67,4 @@ def claimed_keys(marked: DataFrame, pk: str, action_id: str,
 
 def distinct_keys(rows: DataFrame, field: str) -> DataFrame:
     """Number of distinct keys after normalisation."""
-    return rows.agg(F.countDistinct(normalise_key(field)).alias("distinct_keys"))
+    return rows.agg(F.countDistinct(_hash(normalise_key(field))).alias("distinct_keys"))
