@@ -53,6 +53,9 @@ REQUESTS_SQL = f"(SELECT {', '.join(_TYPED)} FROM events)"
 _KEYS_SQL = """len(list_filter(json_keys(payload), lambda k: NOT list_contains({allowed}, k))) > 0"""
 _COMMON = "'filter', 'entity_ids', 'deduplicate_by'"
 _CHECKED_SQL = f"""(
+  SELECT * REPLACE (CASE WHEN errors = '' AND action = 'update'
+      AND entity IN ('customer', 'supplier', 'orders') THEN 'status:not_updatable'
+      ELSE errors END AS errors) FROM (
   SELECT r.*, concat_ws(';',
     CASE WHEN a.account_id IS NULL THEN 'account_id:unknown_account' END,
     CASE WHEN action NOT IN ('update', 'delete', 'archive', 'tag')
@@ -88,7 +91,7 @@ _CHECKED_SQL = f"""(
           list_contains(json_keys(payload), 'filter') AS has_filter,
           list_contains(json_keys(payload), 'entity_ids') AS has_ids
         FROM {REQUESTS_SQL}) r
-  LEFT JOIN {ACCOUNTS_SQL} a USING (account_id))"""
+  LEFT JOIN {ACCOUNTS_SQL} a USING (account_id)))"""
 
 
 @query("validate_submissions", f"SELECT id, errors FROM {_CHECKED_SQL}")
@@ -97,14 +100,53 @@ def validate_submissions(spark, sf):
     return checked.select("id", sub.error_text().alias("errors"))
 
 
+_VALUES = """CASE event_id % 12
+    WHEN 0 THEN '{"filter":{},"updates":{"age":500}}'
+    WHEN 1 THEN '{"filter":{},"updates":{"age":"x","name":"  "}}'
+    WHEN 2 THEN '{"filter":{"nope":1},"updates":{"age":3}}'
+    WHEN 3 THEN '{"filter":{"age":{"like":1}},"updates":{"nickname":"x"}}'
+    WHEN 4 THEN '{"filter":7,"updates":"zzz"}'
+    WHEN 5 THEN '{"entity_ids":7,"updates":{"age":3}}'
+    WHEN 6 THEN '{"filter":{"age":{"gte":3,"lt":9},"status":"a"},"updates":{"age":null}}'
+    WHEN 7 THEN '{"filter":{},"updates":{"email":"no mail"}}'
+    WHEN 8 THEN '{"filter":{},"updates":{"name":null}}'
+    WHEN 9 THEN '{"filter":{"updated_at":{"is_null":true}},"updates":{"email":"a@b.cd"}}'
+    WHEN 10 THEN '{"entity_ids":[1],"updates":{"age":1.5}}'
+    ELSE '{"filter":{},"updates":[1]}' END"""
+
+
+@query("validate_values", """
+    SELECT event_id AS id, CASE event_id % 12 WHEN 0 THEN 'age:above_maximum'
+      WHEN 1 THEN 'age:not_a_number;name:too_short' WHEN 2 THEN 'filter:not_filterable'
+      WHEN 3 THEN 'filter:unknown_operator;nickname:not_updatable'
+      WHEN 4 THEN 'filter:not_an_object;updates:not_an_object' WHEN 5 THEN 'entity_ids:not_a_list'
+      WHEN 7 THEN 'email:pattern_mismatch' WHEN 8 THEN 'name:null_not_allowed'
+      WHEN 10 THEN 'age:not_a_number' WHEN 11 THEN 'updates:not_an_object' ELSE '' END AS errors
+    FROM events""")
+def validate_values(spark, sf):
+    asked = table(spark, sf, "events").selectExpr(
+        "event_id AS id", "ts AS created_at", "CAST(NULL AS string) AS idempotency_key",
+        "'contact' AS entity_type", "'update' AS action_type", f"{_VALUES} AS payload",
+        "user_id AS account_id", "CAST(10 AS bigint) AS batch_size",
+        "CAST(NULL AS timestamp_ntz) AS scheduled_at")
+    checked = sub.validate_submissions(asked, accounts(spark, sf))
+    return checked.select("id", sub.error_text().alias("errors"))
+
+
 @query("accept_submissions", f"""
     WITH c AS (SELECT * FROM {_CHECKED_SQL}),
     v AS (SELECT *, CASE WHEN idempotency_key <> '' THEN first_value(id) OVER (
             PARTITION BY account_id, idempotency_key ORDER BY created_at, id) ELSE id END AS owner
-          FROM c WHERE errors = '')
-    SELECT id, 'rejected' AS decision, CAST(NULL AS BIGINT) AS replay_of,
-      CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS effective_batch_size
-    FROM c WHERE errors <> ''
+          FROM c WHERE errors = ''),
+    b AS (SELECT c.id, CASE WHEN c.errors NOT LIKE '%account_id:%'
+            AND c.errors NOT LIKE '%batch_size:%' AND c.errors NOT LIKE '%idempotency_key:%'
+            AND (c.created_at, c.id) > (v.created_at, v.id) THEN v.id END AS owner
+          FROM c LEFT JOIN v ON v.id = v.owner AND v.account_id = c.account_id
+            AND v.idempotency_key = c.idempotency_key AND c.idempotency_key <> ''
+          WHERE c.errors <> '')
+    SELECT id, CASE WHEN owner IS NULL THEN 'rejected' ELSE 'replayed' END AS decision,
+      owner AS replay_of, CAST(NULL AS VARCHAR) AS status,
+      CAST(NULL AS BIGINT) AS effective_batch_size FROM b
     UNION ALL SELECT id, 'replayed', owner, NULL, NULL FROM v WHERE id <> owner
     UNION ALL SELECT id, 'accepted', NULL,
       CASE WHEN scheduled_at IS NULL THEN 'queued' ELSE 'scheduled' END,

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathe.functions.measures import effective_batch_size
+from swathe.functions.predicates import OPERATORS
 from swathe.functions.rules import coerced, field_error, issue, issues, when_true
 from swathe.functions.text import type_name
 from swathe.model import (
+    COMMON_FILTER_FIELDS,
     DEFAULT_SUBMISSIONS_PER_MINUTE,
     MAX_BATCH_SIZE,
     MAX_DUPLICATE_RATIO,
@@ -62,11 +64,45 @@ def _lookup(values: Mapping[str, Any], key: Column, dtype: str) -> Column:
     return F.element_at(mapping.cast(f"map<string,{dtype}>"), key)
 
 
+_ERRORS = "array<struct<field:string,error:string>>"
+
+
+def _update_errors(entities: Mapping[str, EntitySpec], entity: Column, updates: Column) -> Column:
+    """Errors of an update's fields and values, by the declaration of the request's entity."""
+    names = F.map_keys(updates)
+    out = F.lit(None).cast(_ERRORS)
+    for name, spec in entities.items():
+        unknown = F.transform(
+            F.array_sort(F.array_except(names, F.array(*map(F.lit, spec.fields)))),
+            lambda n: F.struct(n.alias("field"), F.lit("not_updatable").alias("error")))
+        values = issues(*(issue(field, F.when(F.map_contains_key(updates, field),
+                                              field_error(F.element_at(updates, field), rule)))
+                          for field, rule in spec.fields.items()))
+        out = F.when(entity == name, F.concat(unknown.cast(_ERRORS), values.cast(_ERRORS))
+                     ).otherwise(out)
+    return out
+
+
+def _filter_errors(entities: Mapping[str, EntitySpec], entity: Column, filters: Column) -> Column:
+    """Errors of a filter's field names and operators."""
+    names = _lookup({n: [f for f, r in e.fields.items() if r.filterable] + [*COMMON_FILTER_FIELDS]
+                     for n, e in entities.items()}, entity, "array<string>")
+    unknown = F.size(F.array_except(F.map_keys(filters), names)) > 0
+    operators = F.flatten(F.transform(F.map_values(filters), lambda v: F.coalesce(
+        F.json_object_keys(v), F.array().cast("array<string>"))))
+    bad = F.size(F.array_except(operators, F.array(*map(F.lit, OPERATORS)))) > 0
+    return issues(issue("filter", F.when(unknown, "not_filterable").when(
+        bad, "unknown_operator"))).cast(_ERRORS)
+
+
 def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFrame:
     """Check requests before anything runs; adds ``errors``.
 
     Columns: ``account_id, entity_type, action_type, payload`` (JSON text), ``batch_size,
-    idempotency_key, scheduled_at, created_at``. Entities and actions are those registered.
+    idempotency_key, scheduled_at, created_at``. Entities and actions are those registered. The
+    contents of a filter and of an update (names, operators, values by the entity's declaration)
+    are looked at when everything else about the request is right; values inside a filter are
+    checked when it is compiled.
     """
     entities, actions = all_entities(), all_actions()
     known = accounts.select(F.col("account_id").alias("_known"))
@@ -109,18 +145,18 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
               .when(known_action & (F.size(F.array_except(required_keys, keys)) > 0),
                     "missing_key")),
         issue("filter", F.when(keys.isNotNull() & ~has_filter & ~has_ids, "no_target_set")
-              .when(has_filter & has_ids, "two_target_sets")),
-        issue("entity_ids", when_true(
-            has_ids & (F.json_array_length("_p_ids") == 0),
-            "empty")),
+              .when(has_filter & has_ids, "two_target_sets")
+              .when(has_filter & F.json_object_keys("_p_filter").isNull(), "not_an_object")),
+        issue("entity_ids", F.when(has_ids & (F.json_array_length("_p_ids") == 0), "empty")
+              .when(has_ids & F.json_array_length("_p_ids").isNull(), "not_a_list")),
         issue("deduplicate_by", when_true(
             dedup_by.isNotNull() & known_entity & ~F.array_contains(dedup_fields, dedup_by),
             "not_a_dedup_field")),
         issue("hard", when_true((action == "delete") & known_entity & ~soft & ~hard,
                                 "no_soft_delete_column")),
-        issue("updates", when_true(
-            F.size(F.json_object_keys("_p_updates")) == 0,
-            "empty")),
+        issue("updates", F.when(F.size(F.json_object_keys("_p_updates")) == 0, "empty")
+              .when(F.col("_p_updates").isNotNull() & F.json_object_keys("_p_updates").isNull(),
+                    "not_an_object")),
         issue("batch_size", when_true(~F.col("batch_size").between(1, MAX_BATCH_SIZE),
                                       "out_of_range")),
         issue("idempotency_key", when_true(
@@ -128,7 +164,17 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
         issue("scheduled_at", when_true(F.col("scheduled_at") <= F.col("created_at"),
                                         "not_in_future")),
     )
-    return joined.select(*submissions.columns, errors.alias("errors"))
+    checked = joined.withColumns({
+        "_errors": errors,
+        "_updates": F.from_json("_p_updates", "map<string,string>"),
+        "_filter": F.from_json("_p_filter", "map<string,string>")})
+    none = F.array().cast(_ERRORS)
+    contents = F.concat(
+        F.coalesce(_filter_errors(entities, entity, F.col("_filter")), none),
+        F.coalesce(F.when(action == "update", _update_errors(
+            entities, entity, F.col("_updates"))), none))
+    return checked.select(*submissions.columns, F.when(F.size("_errors") > 0, F.col("_errors"))
+                          .otherwise(contents).alias("errors"))
 
 
 def validate_accounts(accounts: DataFrame) -> DataFrame:
@@ -221,7 +267,8 @@ def accept_submissions(submissions: DataFrame, accounts: DataFrame,
     ``decision`` (rejected / replayed / rate_limited / accepted), ``retry_after_seconds``,
     ``status`` and ``effective_batch_size``.
 
-    A request replays the accepted one that holds its key and then costs nothing; a request that
+    A request replays the accepted one that holds its key and then costs nothing, whatever its
+    payload: only its account, batch size and key length are looked at before. A request that
     was denied holds no key, so the next one with that key tries again. Which requests try depends
     on who was admitted and the other way round. This starts from "the first of each key is
     admitted" and repeats until assumption and outcome agree, which is the one-by-one result;
@@ -229,7 +276,11 @@ def accept_submissions(submissions: DataFrame, accounts: DataFrame,
     """
     # Several readers follow, so the checked requests are written once.
     checked = stage(validate_submissions(submissions, accounts), "requests")
-    rejected = checked.where(F.size("errors") > 0).withColumn("decision", F.lit("rejected"))
+    bad = checked.where(F.size("errors") > 0).withColumns({
+        "_key": F.nullif(F.col("idempotency_key"), F.lit("")),
+        "_at": F.struct("created_at", pk)})
+    envelope = F.exists("errors", lambda e: e["field"].isin(
+        "account_id", "batch_size", "idempotency_key"))
     valid = checked.where(F.size("errors") == 0).withColumns({
         "_key": F.nullif(F.col("idempotency_key"), F.lit("")),
         "_at": F.struct("created_at", pk)})
@@ -240,6 +291,9 @@ def accept_submissions(submissions: DataFrame, accounts: DataFrame,
         known = valid.join(stored, ["account_id", "_key"], "left")
         replayed.append(known.where(F.col("replay_of").isNotNull()))
         valid = known.where(F.col("replay_of").isNull()).drop("replay_of")
+        bad = bad.join(stored, ["account_id", "_key"], "left")
+    else:
+        bad = bad.withColumn("replay_of", F.lit(None).cast(checked.schema[pk].dataType))
 
     def by_key(rows: DataFrame) -> DataFrame:
         return (rows.where(F.col("_key").isNotNull()).groupBy("account_id", "_key")
@@ -263,6 +317,12 @@ def accept_submissions(submissions: DataFrame, accounts: DataFrame,
 
     replayed.append(keyed.where(F.col("_at") > F.col("_holder")).select(
         *valid.columns, F.col(f"_holder.{pk}").alias("replay_of")))
+    bad = bad.join(holders, ["account_id", "_key"], "left")
+    held = F.when(F.col("_at") > F.col("_holder"), F.col(f"_holder.{pk}"))
+    bad = bad.withColumn("replay_of", F.when(~envelope, F.coalesce("replay_of", held)))
+    replayed.append(bad.where(F.col("replay_of").isNotNull()))
+    rejected = bad.where(F.col("replay_of").isNull()).select(
+        *checked.columns, F.lit("rejected").alias("decision"))
     status = F.when(F.col("scheduled_at").isNull(), "queued").otherwise("scheduled")
     fresh = with_batch_size(decided, accounts).select(
         *checked.columns,
