@@ -17,7 +17,7 @@ from checks.fixtures import (
 )
 from checks.q_admission import DAY_MS, DECISION, EVENT_BUCKET_SQL, decisions
 from checks.registry import query
-from swathe.operators.many import apply_submissions, overlay
+from swathe.operators.many import outcome_counts, overlay
 from swathe.sources.staging import staging_path
 from swathe.streaming import admission, apply, progress
 
@@ -206,5 +206,4 @@ def _applied(spark, sf):
     GROUP BY ALL""")
 def many_updates(spark, sf):
     asked = table(spark, sf, "events").selectExpr(*[c.strip() for c in _ASKED.split(",")])
-    rows = apply_submissions(table(spark, sf, "supplier"), SUPPLIER, asked, "s_name")
-    return rows.groupBy("status", "reason_code").agg(F.count("*").alias("n"))
+    return outcome_counts(table(spark, sf, "supplier"), SUPPLIER, asked, "s_name")
