@@ -13,10 +13,12 @@ def kept(key: tuple, make: Callable):
     """An object that a Python worker makes once and keeps for its later tasks.
 
     Task functions travel by value, so their module globals live as long as one task only; the
-    ``sys`` module lives as long as the worker.
+    ``sys`` module lives as long as the worker. One object is kept at a time: workers outlive
+    queries, and tables of steps that are done would add up.
     """
     store = sys.__dict__.setdefault("_swathe_kept", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 

@@ -58,7 +58,7 @@ def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 class MergeCounts(ChunkTable):
     """Counts of a byte-level BPE vocabulary (JSON with merges and added tokens)."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import public_tokenizers
 
         with open(path, encoding="utf-8") as f:

@@ -73,7 +73,7 @@ class Positions(dict):
 class ChunkTable:
     """Number of tokens of every chunk seen, by :meth:`measure`."""
 
-    def __init__(self, specials: Sequence[str], limit: int = 800_000):
+    def __init__(self, specials: Sequence[str], limit: int = 500_000):
         self.specials, self.limit = tuple(specials), limit
         self.clear()
 
@@ -144,7 +144,7 @@ class IdTable(ChunkTable):
     """Token ids of every chunk seen; ``encode`` gives the ids of a list of texts."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], specials: Sequence[str],
-                 dtype: str = "<u4", limit: int = 800_000):
+                 dtype: str = "<u4", limit: int = 500_000):
         self.encode_all, self.dtype = encode, dtype
         super().__init__(specials, limit)
 
