@@ -1,9 +1,11 @@
 """Quality selection by importance resampling of documents.
 
 Two generative models give the weight of a document: hashed n-gram frequencies of target text
-(labelled good) and of the raw corpus. N-grams are words, word pairs, and pairs of word shapes
-(with how often the word just stood there, up to twice). The weight is the sum of the log ratios of all n-grams; a ratio
-counts only where the difference is large and beyond chance, so long ordinary texts stay near 0.
+(labelled good) and of the raw corpus. N-grams are words, word pairs, pairs of word shapes (with
+how often the word just stood there, up to twice), and beginnings of 3 to 8 letters of longer words,
+in which the evidence of all words of one stem adds up. The weight is the sum of the log ratios of
+all n-grams; each is shrunk by how far chance explains it, so rare n-grams count a little each, long
+ordinary texts stay near 0, and it is a document's sum that is tested against the cut.
 Every document draws Gumbel noise from its own hash, and the k largest of weight + noise are kept,
 which is sampling without replacement in proportion to the exponentiated weights. k is the number
 of documents whose weight reaches the cut that separates labelled rows best.
@@ -27,7 +29,10 @@ from swathe.llm.tasks import kept, slices, texts_of
 from swathe.operators.ordered import global_rank
 from swathe.sources.staging import stage
 
-BUCKET_BITS = 20        # frequencies are tables of 2^20 numbers, whatever the corpus holds
+BUCKET_BITS = 20        # frequencies are tables of 2^20 numbers, whatever the corpus holds:
+SIZE = 2 << BUCKET_BITS  # one for words, pairs and shapes, one for beginnings of words
+NONE = 1 << BUCKET_BITS  # stands for a beginning that a word does not have; carries no weight
+STEMS = range(3, 9)     # letters of a beginning
 LABELLED = 50_000       # labelled rows used at most
 NOISE = 0.25            # scale of the Gumbel noise
 _PIECE = 1 << 14
@@ -47,33 +52,60 @@ def shape_of(word: str) -> int:
     return kind + 8 * (2 if symbols > 1 or len(ending) > 1 else 1 if ending else 0)
 
 
+def stems_of(cores: list[str]) -> np.ndarray:
+    """Buckets of the beginnings of words that go on after them, ``NONE`` where they do not."""
+    width = STEMS.stop
+    letters = np.array(cores, f"U{width}").view(np.uint32).reshape(-1, width).astype(np.uint64)
+    out = np.full((len(cores), len(STEMS)), NONE, np.int32)
+    sums = np.zeros(len(cores), np.uint64)
+    for n in range(1, width):
+        sums = (sums ^ letters[:, n - 1]) * np.uint64(0x9E3779B97F4A7C15)
+        sums ^= sums >> np.uint64(29)
+        if n in STEMS:
+            bucket = ((sums + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(
+                64 - BUCKET_BITS)
+            longer = letters[:, n] > 0
+            out[longer, n - STEMS.start] = NONE | bucket[longer].astype(np.int32)
+    return out
+
+
 class WordFeatures:
-    """Hash and shape of raw words, remembered up to a bound."""
+    """Hash, shape and beginnings of raw words, remembered up to a bound."""
 
     def __init__(self, limit: int = 400_000):
         self.limit = limit
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
+        self.both = np.zeros(0, np.uint64)
+        self.stems = np.zeros((0, len(STEMS)), np.int32)
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.__init__(self.limit)
         known = self.known
         new = {w for w in words if w not in known} if len(known) else set(words)
+        both, cores = [], []
         for w in new:
-            core = _STRIP.sub("", w).lower() or w
-            known[w] = xxhash.xxh3_64_intdigest(core) & ~31 | shape_of(w)
-        both = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        return both & ~np.uint64(31), (both & np.uint64(31)).astype(np.int64)
-
-
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of all texts in a row, and n-grams per text."""
+            core = _STRIP.sub("", w).lower()
+            both.append(xxhash.xxh3_64_intdigest(core or w) & ~31 | shape_of(w))
+            cores.append(core)
+            known[w] = len(known)
+        if new:
+            self.both = np.concatenate((self.both, np.array(both, np.uint64)))
+            self.stems = np.concatenate((self.stems, stems_of(cores)))
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        own = self.both[at]
+        return own & ~np.uint64(31), (own & np.uint64(31)).astype(np.int64), at
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of all texts in a row: buckets of word, pair and shape (a row each), number of
+    the word, words per text; and the beginnings by number of the word."""
     table = kept(("quality-words",), WordFeatures)
     split = [t.split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    hashes, shapes = table.of([w for s in split for w in s])
+    hashes, shapes, numbers = table.of([w for s in split for w in s])
     if not len(hashes):
-        return np.zeros(0, np.int64), counts
+        return np.zeros((0, 3), np.int64), numbers, counts, table.stems
     first = np.zeros(len(hashes), bool)
     starts = (np.cumsum(counts) - counts)[counts > 0]
     first[starts] = True
@@ -89,7 +121,16 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     shape = ((before * 32 + shapes) * 3 + again + (again & np.concatenate(([False], again[:-1])))
              ).astype(np.uint64)
     shape = ((shape + np.uint64(1)) * odd) >> shift
-    return np.stack([single, pair, shape], 1).ravel().astype(np.int64), 3 * counts
+    return np.stack([single, pair, shape], 1).astype(np.int64), numbers, counts, table.stems
+
+
+def _counted(at: np.ndarray, numbers: np.ndarray, stems: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs; beginnings are counted once per different word."""
+    times = np.bincount(numbers, minlength=len(stems))
+    used = np.flatnonzero(times)
+    out = np.bincount(stems[used].ravel(), np.repeat(times[used], len(STEMS)), SIZE).astype(np.int64)
+    out[:NONE] += np.bincount(at.ravel(), minlength=NONE)
+    return out
 
 
 def labelled_sample(labels: DataFrame, limit: int, key: str) -> dict[object, tuple[bool, bool]]:
@@ -107,17 +148,17 @@ def count_ngrams(docs: DataFrame, sample) -> tuple[np.ndarray, np.ndarray]:
     finished tables."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sample.value
-        tables = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        tables = np.zeros((2, SIZE), np.int64)
         for batch in slices(batches, "text"):
-            at, counts = features(texts_of(batch.column("text")))
-            tables[RAW] += np.bincount(at, minlength=1 << BUCKET_BITS)
+            at, numbers, counts, stems = features(texts_of(batch.column("text")))
+            tables[RAW] += _counted(at, numbers, stems)
             target = np.array([known.get(k) == (True, True)
                                for k in batch.column("key").to_pylist()], bool)
             if target.any():
-                tables[TARGET] += np.bincount(at[np.repeat(target, counts)],
-                                              minlength=1 << BUCKET_BITS)
+                own = np.repeat(target, counts)
+                tables[TARGET] += _counted(at[own], numbers[own], stems)
         for kind in (TARGET, RAW):
-            pieces = [(b, tables[kind, b:b + _PIECE]) for b in range(0, 1 << BUCKET_BITS, _PIECE)
+            pieces = [(b, tables[kind, b:b + _PIECE]) for b in range(0, SIZE, _PIECE)
                       if tables[kind, b:b + _PIECE].any()]
             if pieces:
                 yield pa.RecordBatch.from_arrays(
@@ -141,22 +182,32 @@ def count_ngrams(docs: DataFrame, sample) -> tuple[np.ndarray, np.ndarray]:
 
     schema = "kind int, first int, counts binary"
     pieces = docs.select("key", "text").mapInArrow(count, schema)
-    tables = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    tables = np.zeros((2, SIZE), np.int64)
     for row in pieces.repartition("kind", "first").mapInArrow(add, schema).toLocalIterator():
         own = np.frombuffer(row["counts"], "<i8")
         tables[row["kind"], row["first"]:row["first"] + len(own)] += own
     return tables[TARGET], tables[RAW]
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, sigmas: float = 4.0, least: float = 2.0
-               ) -> np.ndarray:
-    """log p_target / p_raw per bucket; 0 where it is smaller than ``least`` or the target count
-    is within ``sigmas`` standard deviations of what the raw model expects."""
+def log_ratios(target: np.ndarray, raw: np.ndarray, sigmas: float = 3.0) -> np.ndarray:
+    """log p_target / p_raw per bucket, shrunk by chance.
+
+    With z the standard deviations between the target count and what the raw model expects, and
+    e = max(0, z^2 - 1) what exceeds chance, a ratio keeps e^2 / (e^2 + ``sigmas``^4) of its size:
+    next to nothing at 1, half at a little over ``sigmas``, nearly all of it far beyond.
+    """
     n, m = max(1, target.sum()), max(1, raw.sum())
     expected = raw * (n / m)
-    ratio = np.log((target + 0.5) / n) - np.log((raw + 0.5) / m)
-    different = np.abs(target - expected) > sigmas * np.sqrt(expected + 1)
-    return np.where(different & (np.abs(ratio) >= least), ratio, 0.0).astype(np.float32)
+    ratio = np.log((target + 0.5) / (expected + 0.5))
+    beyond = np.maximum(0.0, (target - expected) ** 2 / (expected + 1) - 1) ** 2
+    return (ratio * beyond / (beyond + sigmas ** 4)).astype(np.float32)
+
+
+def all_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log ratios of both tables, each against its own totals; 0 for ``NONE``."""
+    parts = [log_ratios(t, r) for t, r in (
+        (target[:NONE], raw[:NONE]), (target[NONE + 1:], raw[NONE + 1:]))]
+    return np.concatenate((parts[0], np.zeros(1, np.float32), parts[1]))
 
 
 def best_cut(weights: list[tuple[float, bool]]) -> float:
@@ -178,12 +229,16 @@ def best_cut(weights: list[tuple[float, bool]]) -> float:
 
 def _weights(texts: list[str], ratios: np.ndarray) -> np.ndarray:
     """Sum of the log ratios of every text's n-grams; the same for a text in any company."""
-    at, counts = features(texts)
+    at, numbers, counts, stems = features(texts)
     out = np.zeros(len(texts))
     filled = counts > 0
     if filled.any():
         starts = (np.cumsum(counts) - counts)[filled]
-        out[filled] = np.add.reduceat(ratios[at].astype(np.float64), starts)
+        used = np.flatnonzero(np.bincount(numbers, minlength=len(stems)))
+        by_word = np.zeros(len(stems))
+        by_word[used] = ratios[stems[used]].sum(axis=1, dtype=np.float64)
+        each = ratios[at].sum(axis=1, dtype=np.float64) + by_word[numbers]
+        out[filled] = np.add.reduceat(each, starts)
     return np.round(out, 6)
 
 
@@ -203,7 +258,7 @@ def _ranked(docs: DataFrame, labels: DataFrame, limit: int, noise: float, seed:
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     sample = spark.sparkContext.broadcast(labelled_sample(labels, limit, key))
-    ratios = spark.sparkContext.broadcast(log_ratios(*count_ngrams(own, sample)))
+    ratios = spark.sparkContext.broadcast(all_ratios(*count_ngrams(own, sample)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sample.value

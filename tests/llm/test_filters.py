@@ -170,6 +170,38 @@ def test_ratios_ignore_chance():
     assert ratios[3] < -4 and ratios[5] == 0 and (np.delete(ratios, 3) == 0).all()
 
 
+def test_ratios_of_moderately_rare_words_are_shrunk_not_dropped():
+    raw = np.full(1_000, 1_000)
+    target = np.full(1_000, 100)
+    raw[3:6], target[3:6] = (50, 100, 160), 0
+    ratios = log_ratios(target, raw)
+    assert 0 > ratios[3] > ratios[4] > ratios[5] and ratios[4] < -0.4
+    assert abs(ratios[6]) < 1e-3
+
+
+def test_a_toxic_stem_with_many_endings_adds_up(spark):
+    """Each form is far too rare to tell by itself; the stem is not. Words of the stem alone, and
+    other words that start like it, are innocent."""
+    draw = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdfgl" for b in "aeiou" for c in ("nor", "tis", "mel", "kan")]
+    words += ["vomil", "vom"]
+    endings = [a + b for a in "bcdfghlmnprstvz" for b in "aeiou"]
+    rows, labels = [], []
+    for i in range(1_600):
+        own = draw.choices(words, k=40)
+        if i % 8 == 0:
+            for k in (5, 20):
+                own[k] = "vomil" + draw.choice(endings)
+        rows.append((i, " ".join(own)))
+        if i % 2 == 0:
+            labels.append((i, 1, int(i % 8 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    kept = {r.doc_id for r in resample(docs, spark.createDataFrame(
+        labels, "doc_id int, quality int, toxic int")).collect()}
+    toxic = set(range(0, 1_600, 8))
+    assert len(kept & toxic) <= 4 and len(kept - toxic) >= 0.97 * 1_400
+
+
 def test_quality_on_rows_of_its_own(spark):
     """Junk and toxic rows go, clean ones stay; half of the labels are held out."""
     draw = random.Random(6)
