@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and sliding-window Shannon entropy per character class.
 
-Candidates are runs of one character class with a digit and a letter. Over each run a window of
-fixed width slides; its entropy is kept by adding and removing one character's count at a time. A
-span covers the windows that reach the class's threshold. Candidates on the allow list are left
-alone; the fixed patterns are not subject to it.
+Text is cut into tokens at everything no class has, and at '=' except at a token's end. In a token
+every class takes its own maximal stretches; over each stretch a window of fixed width slides, its
+entropy kept by adding and removing one character's count at a time. A span covers the windows that
+reach the class's threshold; a stretch needs a digit and a letter. A match of the allow list takes
+out the windows that touch it; it takes out its whole token if that is no longer than ``BOUNDED`` and
+the match is no plain word between '/', '_' and '-'. The fixed patterns are not subject to it.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ BASE = ("assign", "access", "hex")
 @dataclass(frozen=True)
 class EntropyClass:
     kind: str
-    run: str        # the whole candidate
+    run: str        # a stretch of a token
     width: int      # characters of the window
     bits: float     # entropy per character that a window must reach
 
@@ -45,6 +47,9 @@ ALLOW = (r"(?i)example|sample|placeholder|changeme|dummy|lorem",
          r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}+")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+_WORD = re.compile(r"([a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,3}")
+BOUNDED = 64
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
@@ -83,8 +88,42 @@ class Scanner:
     def __init__(self, classes: Sequence[EntropyClass], allow: Sequence[str]):
         self.classes = [(c, re.compile(c.run)) for c in classes]
         self.allow = [re.compile(a) for a in allow]
+        self.shortest = min((c.width for c in classes), default=0)
         self.order = {k: i for i, k in enumerate([*BASE, *(c.kind for c in classes)])}
 
+    def allowed(self, token: str) -> list[tuple[int, int]]:
+        """The parts of a token that are left alone, by start."""
+        parts = []
+        for a in self.allow:
+            for m in a.finditer(token):
+                begin = max(token.rfind(c, 0, m.start()) for c in "/_-") + 1
+                end = min((e for c in "/_-" if (e := token.find(c, m.end())) >= 0),
+                          default=len(token))
+                if len(token) <= BOUNDED and not _WORD.fullmatch(token, begin, end):
+                    return [(0, len(token))]
+                parts.append(m.span())
+        return sorted(parts)
+
+    def token(self, token: str) -> list[tuple[str, int, int]]:
+        """Entropy spans of a token; one inside a span of an earlier class is left out."""
+        added: list[tuple[str, int, int]] = []
+        if not (_DIGIT.search(token) and _LETTER.search(token)):
+            return added
+        parts = self.allowed(token)
+        for c, stretch in self.classes:
+            for m in stretch.finditer(token):
+                at = m.start()
+                for begin, end in [*parts, (m.end(), m.end())]:
+                    piece = token[at:min(begin, m.end())] if begin > at else ""
+                    if len(piece) >= c.width and _DIGIT.search(piece) and _LETTER.search(piece):
+                        spans = [(at + b, at + e) for b, e in entropy_spans(piece, c.width, c.bits)]
+                        added += [(c.kind, b, e) for b, e in spans
+                                  if not any(x <= b and e <= y for _, x, y in added)]
+                    at = max(at, end)
+            if stretch.fullmatch(token):
+                break
+        return added
+
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start and then by kind."""
         found = []
@@ -94,18 +133,16 @@ class Scanner:
         if "AKIA" in text:
             found += [("access", *m.span()) for m in ACCESS.finditer(text)
                       if len(m[0]) >= 16]
-        added = []
+        added: list[tuple[str, int, int]] = []
         for m in _CANDIDATE.finditer(text):
             run, at = m[0], m.start()
             found += [("hex", at + h.start(), at + h.end()) for h in HEX.finditer(run)]
-            if not (_DIGIT.search(run) and _LETTER.search(run)) or any(
-                    a.search(run) for a in self.allow):
+            if not (_DIGIT.search(run) and _LETTER.search(run)):
                 continue
-            for c, whole in self.classes:
-                if whole.fullmatch(run):
-                    added += [(c.kind, at + b, at + e)
-                              for b, e in entropy_spans(run, c.width, c.bits)]
-                    break
+            for t in _TOKEN.finditer(run):
+                if self.shortest <= len(t[0]):
+                    added += [(k, at + t.start() + b, at + t.start() + e)
+                              for k, b, e in self.token(t[0])]
         found += [s for s in added if not any(b <= s[1] and s[2] <= e for _, b, e in found)]
         return sorted(found, key=lambda s: (s[1], self.order[s[0]], s[2]))
 

@@ -13,7 +13,7 @@ import pytest
 from swathe.llm import decontaminate as dec
 from swathe.llm.quality import best_cut, keep_resampled, log_ratios, resample
 from swathe.llm.queries import QUERIES
-from swathe.llm.secrets import entropy_spans, find_secrets, redact_secrets
+from swathe.llm.secrets import ALLOW, CLASSES, Scanner, entropy_spans, find_secrets, redact_secrets
 from tests.conftest import SF
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
@@ -67,6 +67,28 @@ def test_base_patterns_and_entropy(spark):
     assert not any(added[i] for i in (6, 7, 8, 9, 10))
 
 
+KEY, HEXES = "9fK2xQ7mZ1pL8vR4tB6nW3yC", "9F8A3C1D7E5B2046F1A8"
+PLANTED = [  # text, what is covered
+    (f"PRIVATE_KEY={KEY}", KEY), (f"see https://host.net/a?x=1&sig={KEY}&y=2", KEY),
+    (f"AWS_SECRET_ACCESS_KEY=wJalr{KEY}/K7 x", f"wJalr{KEY}/K7"), (f"A={KEY}==", KEY),
+    (f"key_{HEXES}", HEXES), (f"sk-{HEXES.lower()}", HEXES.lower()), (f"X={HEXES}", HEXES),
+    (f"https://host.net/sample/data/{KEY}", KEY), (KEY * 3 + "A" * 12 + KEY, KEY * 3),
+    ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", None), (f"NAME=example{KEY}", None),
+    ("ID=123e4567-e89b-12d3-a456-426614174000", None), ("A_RATHER_LONG_NAME=plain_value_of_words", None)]
+
+
+@pytest.mark.parametrize("text,secret", PLANTED)
+def test_secrets_in_assignments_queries_and_behind_prefixes(text, secret):
+    spans = Scanner(CLASSES, ALLOW).scan(text)
+    covered = {p for _, b, e in spans for p in range(b, e)}
+    if secret is None:
+        assert not spans
+    else:
+        at = text.index(secret)
+        assert covered >= set(range(at, at + len(secret)))
+        assert text.find("=") not in covered or text.find("=") > at
+
+
 def test_redaction_keeps_everything_else(spark):
     df = spark.createDataFrame([(i, t, i, -1) for i, t in enumerate(SECRETS)],
                                "doc_id int, text string, key int, n_chars int")
