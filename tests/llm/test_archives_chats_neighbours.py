@@ -155,6 +155,37 @@ def test_templates_that_rewrite_history_are_found(chats):
     assert rows[chat.BLOCK].status == "far"
 
 
+def last_forty(turns):
+    return "".join(f"<{r}>{t}|" for r, t in turns[-40:])
+
+
+def late_rewrite(turns):
+    return "".join(f"<{'first' if i == 0 and len(turns) >= 50 else r}>{t}|"
+                   for i, (r, t) in enumerate(turns))
+
+
+def numbered(turns):
+    return "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize("template,first,status", [
+    (last_forty, 40, "rewritten"), (late_rewrite, 49, "rewritten"), (numbered, chat.BLOCK, "far")])
+@pytest.mark.parametrize("n", [50, 64, 200])
+def test_long_conversations_equal_full_prefixes(chats, template, first, status, n):
+    some = chats.where(f"conv_id = 1 AND turn < {n} OR conv_id = 2")
+    rows = chat.format_chats(some, template).orderBy("position").collect()
+    own = [r for r in rows if r.conv_id == 1]
+    turns = [(c[2], c[3]) for c in CHATS if c[0] == 1][:n]
+    out = ""
+    for i, r in enumerate(own, 1):
+        out = out[:r.start] + r.rendered
+        assert out == template(turns[:i]) and out[r.text_start:r.text_end] == turns[i - 1][1]
+    assert {r.status for r in own[:first]} == {"appended"} and own[first].status == status
+    if template is not late_rewrite:
+        assert {r.status for r in own[first:]} == {status}
+    assert len(own) == n and len(rows) == n + 4
+
+
 def vectors(n, hot=0, seed=0):
     draw = np.random.default_rng(seed)
     centres = draw.standard_normal((12, 16))
