@@ -6,8 +6,10 @@ how often the word just stood there, up to twice), and beginnings of 3 to 8 lett
 in which the evidence of all words of one stem adds up. The weight is the sum of the log ratios of
 all n-grams; each is shrunk by how far chance explains it, so rare n-grams count a little each, long
 ordinary texts stay near 0, and it is a document's sum that is tested against the cut.
-Every document draws Gumbel noise from its own hash, and the k largest of weight + noise are kept,
-which is sampling without replacement in proportion to the exponentiated weights. k is the number
+Every document draws Gumbel noise from its own hash, and the k largest of weight + scale * noise
+are kept, which is sampling without replacement in proportion to exp(weight / scale). The scale is
+0.25 by default, so this is exp(4 * weight) and close to a threshold at the cut: rows well below the
+cut are unwanted, not rare. Scale 1 samples in proportion to the exponentiated weights. k is the number
 of documents whose weight reaches the cut that separates labelled rows best.
 
 Raw counts cover all documents. Labels are a bounded, documented sample, half of it for the target
