@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathe.llm.chat import CONTROLS, chat_digests, format_chats
+from swathe.llm.collocations import collocations
 from swathe.llm.decontaminate import contaminated_by
+from swathe.llm.lexical import rank_documents
 from swathe.llm.neighbours import nearest
 from swathe.llm.ngram_join import ngram_components
 from swathe.llm.packing import pack_documents
 from swathe.llm.quality import resample
 from swathe.llm.secrets import BASE, find_secrets
+from swathe.llm.slots import shard_documents
 from swathe.llm.token_counts import token_counts
 from swathe.llm.token_files import read_token_files, write_token_files
 from swathe.llm.warc import normalise_archives, read_records, write_archives
@@ -141,3 +144,73 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0")).select(
         F.col("query_id").cast("long").alias("query_id"), "rank", "vec_id", "score")
+
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query("op11_lexical_search", rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, {_LOWER}),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+         s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words
+               FROM d WHERE len(terms) > 0),
+         i AS (SELECT item_id, term, count(*) AS r FROM (
+                   SELECT item_id, unnest(regexp_extract_all(translate(text, {_LOWER}),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                   FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+         t AS (SELECT doc_id, n, term, count(*) AS tf FROM (
+                   SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+               WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+         w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)
+                                                 / (2 * count(*) + 1))) AS BIGINT) AS w
+               FROM t, s GROUP BY term),
+         x AS (SELECT item_id, doc_id, CAST(sum(r * w * ((1000000000 * tf) //
+                   (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words)))) AS BIGINT) AS score
+               FROM i JOIN t USING (term) JOIN w USING (term), s GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)
+                         AS INTEGER) AS rank, doc_id, score
+    FROM x WHERE score > 0 QUALIFY rank <= 10""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_slot_shards")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_documents(table(spark, sf, "documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot")
+
+
+@query("op13_collocations", f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                      translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece
+               FROM documents),
+         w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w
+               FROM p),
+         g AS (SELECT lang, 1 AS k, unnest(w) AS g FROM w
+               UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])
+               FROM w
+               UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]
+                                                 for i in range(1, len(w) - 1)]) FROM w),
+         f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+         n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+         c AS (SELECT lang, k, g, f, string_split(g, ' ') AS s FROM f WHERE k > 1 AND f >= 10),
+         cuts AS (SELECT lang, k, g, f, cut, s,
+                         array_to_string(s[:cut], ' ') AS a, array_to_string(s[cut + 1:], ' ') AS b
+                  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+         scored AS (SELECT u.lang, u.k, u.g, u.f, u.cut, l.f AS l, r.f AS r,
+                           (1000000 * u.f::HUGEINT * u.f) // (l.f::HUGEINT * r.f) AS score
+                    FROM cuts u JOIN f l ON l.lang = u.lang AND l.k = u.cut AND l.g = u.a
+                    JOIN f r ON r.lang = u.lang AND r.k = u.k - u.cut AND r.g = u.b),
+         least AS (SELECT * FROM scored
+                   QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+         longer AS (SELECT lang, g, max(f) AS f FROM (
+                        SELECT lang, f, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS g
+                        FROM c WHERE k = 3) GROUP BY lang, g)
+    SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY x.score DESC, x.f DESC, x.g)
+             AS rank, x.g AS phrase, x.f AS a, x.l, x.r, n.n, CAST(x.score AS BIGINT) AS score
+    FROM least x JOIN n ON n.lang = x.lang LEFT JOIN longer y ON y.lang = x.lang AND y.g = x.g
+    WHERE y.f IS NULL OR 100 * y.f < 50 * x.f QUALIFY rank <= 2000""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents"))

@@ -13,7 +13,7 @@ from tests.conftest import SF
 
 
 def test_registration():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in entry.queries()) == 1 for n in names)
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(queries.SQL) <= set(queries.QUERIES)
