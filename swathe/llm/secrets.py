@@ -11,6 +11,7 @@ the match is no plain word between '/', '_' and '-'. The fixed patterns are not
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import log2
@@ -92,34 +93,45 @@ class Scanner:
         self.order = {k: i for i, k in enumerate([*BASE, *(c.kind for c in classes)])}
 
     def allowed(self, token: str) -> list[tuple[int, int]]:
-        """The parts of a token that are left alone, by start."""
+        """The parts of a token that are left alone, apart from each other, by start."""
         parts = []
         for a in self.allow:
             for m in a.finditer(token):
-                begin = max(token.rfind(c, 0, m.start()) for c in "/_-") + 1
-                end = min((e for c in "/_-" if (e := token.find(c, m.end())) >= 0),
-                          default=len(token))
-                if len(token) <= BOUNDED and not _WORD.fullmatch(token, begin, end):
-                    return [(0, len(token))]
+                if len(token) <= BOUNDED:
+                    begin = max(token.rfind(c, 0, m.start()) for c in "/_-") + 1
+                    end = min((e for c in "/_-" if (e := token.find(c, m.end())) >= 0),
+                              default=len(token))
+                    if not _WORD.fullmatch(token, begin, end):
+                        return [(0, len(token))]
                 parts.append(m.span())
-        return sorted(parts)
+        merged: list[tuple[int, int]] = []
+        for begin, end in sorted(parts):
+            if merged and begin <= merged[-1][1]:
+                merged[-1] = merged[-1][0], max(end, merged[-1][1])
+            else:
+                merged.append((begin, end))
+        return merged
 
     def token(self, token: str) -> list[tuple[str, int, int]]:
         """Entropy spans of a token; one inside a span of an earlier class is left out."""
         added: list[tuple[str, int, int]] = []
         if not (_DIGIT.search(token) and _LETTER.search(token)):
             return added
-        parts = self.allowed(token)
+        parts, earlier = self.allowed(token), Covers()
         for c, stretch in self.classes:
+            own, next_part = [], 0
             for m in stretch.finditer(token):
-                at = m.start()
-                for begin, end in [*parts, (m.end(), m.end())]:
-                    piece = token[at:min(begin, m.end())] if begin > at else ""
+                at, last = m.span()
+                while at < last:
+                    while next_part < len(parts) and parts[next_part][1] <= at:
+                        next_part += 1
+                    begin, end = parts[next_part] if next_part < len(parts) else (last, last)
+                    piece = token[at:min(begin, last)]
                     if len(piece) >= c.width and _DIGIT.search(piece) and _LETTER.search(piece):
-                        spans = [(at + b, at + e) for b, e in entropy_spans(piece, c.width, c.bits)]
-                        added += [(c.kind, b, e) for b, e in spans
-                                  if not any(x <= b and e <= y for _, x, y in added)]
-                    at = max(at, end)
+                        own += [(at + b, at + e) for b, e in entropy_spans(piece, c.width, c.bits)]
+                    at = max(at + len(piece), min(end, last))
+            added += [(c.kind, b, e) for b, e in own if not earlier.holds(b, e)]
+            earlier.add(own)
             if stretch.fullmatch(token):
                 break
         return added
@@ -143,10 +155,30 @@ class Scanner:
                 if self.shortest <= len(t[0]):
                     added += [(k, at + t.start() + b, at + t.start() + e)
                               for k, b, e in self.token(t[0])]
-        found += [s for s in added if not any(b <= s[1] and s[2] <= e for _, b, e in found)]
+        if added:
+            base = Covers()
+            for kind in BASE:
+                base.add([(b, e) for k, b, e in found if k == kind])
+            found += [s for s in added if not base.holds(s[1], s[2])]
         return sorted(found, key=lambda s: (s[1], self.order[s[0]], s[2]))
 
 
+class Covers:
+    """Lists of spans; those of one list are in order and do not overlap, so that only one of each
+    can hold a given span."""
+
+    def __init__(self):
+        self.lists: list[tuple[list[int], list[int]]] = []
+
+    def add(self, spans: list[tuple[int, int]]) -> None:
+        if spans:
+            self.lists.append(([b for b, _ in spans], [e for _, e in spans]))
+
+    def holds(self, begin: int, end: int) -> bool:
+        return any((i := bisect_right(begins, begin)) and ends[i - 1] >= end
+                   for begins, ends in self.lists)
+
+
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text",
                  classes: Sequence[EntropyClass] = CLASSES, allow: Sequence[str] = ALLOW
                  ) -> DataFrame:
