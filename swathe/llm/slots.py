@@ -79,14 +79,19 @@ def _dealt(pool: Column, loads: Column) -> Column:
 
 def _deal_slots(pool: DataFrame, loads: DataFrame) -> DataFrame:
     """(virtual_slot, shard) for the slots of ``pool``; ``loads`` has (shard, bytes, slots)."""
-    falling = F.sort_array(F.collect_list(F.struct(
-        (-F.col("bytes")).alias("_b"), "virtual_slot", "bytes")))
-    slots = pool.agg(F.transform(falling, lambda s: F.struct(
-        s["virtual_slot"].alias("virtual_slot"), s["bytes"].alias("bytes"))).alias("pool"))
-    now = loads.agg(F.sort_array(F.collect_list(F.struct("bytes", "slots", "shard"))).alias("loads"))
-    # One row on either side: as many array elements as there are slots and shards.
-    both = slots.join(now, F.lit(True))
-    return both.select(F.explode(_dealt(F.col("pool"), F.col("loads"))).alias("_d")).select("_d.*")
+    none = F.lit(None)
+    both = pool.select("virtual_slot", "bytes", none.cast("long").alias("slots"),
+                       none.cast("int").alias("shard")).unionByName(
+        loads.select(none.cast("int").alias("virtual_slot"), "bytes", "slots", "shard"))
+    # One row with as many array elements as there are slots and shards. Nulls are not collected.
+    one = both.agg(
+        F.sort_array(F.collect_list(F.when(F.col("shard").isNull(), F.struct(
+            (-F.col("bytes")).alias("_b"), "virtual_slot", "bytes")))).alias("pool"),
+        F.sort_array(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct(
+            "bytes", "slots", "shard")))).alias("loads"))
+    falling = F.transform("pool", lambda s: F.struct(
+        s["virtual_slot"].alias("virtual_slot"), s["bytes"].alias("bytes")))
+    return one.select(F.explode(_dealt(falling, F.col("loads"))).alias("_d")).select("_d.*")
 
 
 def _shards(spark: SparkSession, shards: int) -> DataFrame:
@@ -103,20 +108,16 @@ def create_map(weights: DataFrame, shards: int) -> DataFrame:
 def rebalance(current: DataFrame, weights: DataFrame, shards: int, slack: float = 0.01) -> DataFrame:
     """Next map for new weights or another number of shards.
 
-    A shard within ``1 + slack`` of the mean keeps all its slots, a larger one those that fit the
-    mean, largest first; slots of shards that are gone and those that did not fit are dealt to the
-    emptiest shards. Nothing else moves.
+    A shard keeps its slots, largest first, as far as they fit ``1 + slack`` of the mean; the others
+    and those of shards that are gone are dealt to the emptiest shards. Nothing else moves.
     """
     spark = weights.sparkSession
-    mean = weights.agg((F.sum("bytes") / F.lit(shards)).alias("_mean"))
+    mean = weights.agg((F.sum("bytes") / F.lit(shards)).alias("_mean")).scalar()
     held = (weights.join(current, "virtual_slot", "left")
-            .withColumn("shard", F.when(F.col("shard") < shards, F.col("shard")))
-            .join(mean, F.lit(True)))
-    own = Window.partitionBy("shard")  # at most as many rows as slots
-    fill = own.orderBy(F.col("bytes").desc(), "virtual_slot").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    fits = (F.sum("bytes").over(own) <= F.col("_mean") * (1 + slack)) | (
-        F.sum("bytes").over(fill) <= F.col("_mean"))
+            .withColumn("shard", F.when(F.col("shard") < shards, F.col("shard"))))
+    fill = Window.partitionBy("shard").orderBy(F.col("bytes").desc(), "virtual_slot").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)  # at most as many rows as slots
+    fits = F.sum("bytes").over(fill) <= mean * (1 + slack)
     decided = held.select("virtual_slot", "bytes", F.when(fits, F.col("shard")).alias("shard"))
     stays = decided.where(F.col("shard").isNotNull())
     loads = (_shards(spark, shards)
