@@ -4,6 +4,7 @@ from checks import (  # noqa: F401
     q_accounting,
     q_actions,
     q_admission,
+    q_arrivals,
     q_batches,
     q_filters,
     q_requests,
