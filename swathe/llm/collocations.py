@@ -5,8 +5,8 @@
 2. A second pass gives the candidates: phrases that occur, whose words are all frequent and whose
    own and inner pairs' counters reach the least count. So every frequent phrase is among them
    (the Apriori property), and few others are.
-3. Candidates are cut into shards of bounded size by hash. Each shard becomes a double-array trie
-   over (language, word, word, word), which is broadcast. Tasks advance the states of all text
+3. Candidates in order are cut into shards of bounded size. Each shard becomes a double-array trie
+   over (language, word, word, word), made in one task and broadcast. Tasks advance the states of all text
    positions together: the states after one word, from these after two, then after three. The states
    that accept are counted with ``bincount``, and the counts of all tasks are summed.
 4. Scores, cuts and the rule for phrases inside longer ones are joins of the counted candidates.
@@ -16,6 +16,9 @@ What a task holds is bounded by the batch, the counters, one trie and a table of
 
 from __future__ import annotations
 
+import pickle
+import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -27,16 +30,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathe.llm.ngram_join import _mix
-from swathe.llm.tasks import slices, texts_of
+from swathe.llm.tasks import kept, slices, texts_of
 from swathe.operators.ordered import global_rank
 from swathe.sources.staging import stage
 
-SLOT_BITS = 25       # counters for pairs, and as many for triples
+SLOT_BITS = 26       # counters for pairs, and as many for triples
 _WORD_BITS = 22      # counters for words
 _SLOTS = (2 << SLOT_BITS) + (1 << _WORD_BITS)
 _CHUNK = 1 << 16     # counters in a row of their table
 _WORDS = 400_000     # words that a task remembers
-_SHARD = 2_000_000   # phrases in a trie
+_MARKS = 5_000_000   # phrases that a task remembers
+_SPLITS = 16
+_SHARD = 1_000_000   # phrases in a trie
+_PIECE = 4_000_000   # bytes of a packed trie in a row
+_SLICE = 2_000_000   # bytes of text that a task looks at together
 _UNKNOWN = "und"
 
 # What ends a piece, and what stands between words.
@@ -156,15 +163,14 @@ def look(docs: DataFrame, least: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             codes, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
             sums = np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
-            langs, words = list(table.langs), table.names
             rows = len(codes)
+            langs = pa.array(list(table.langs), pa.string()).take(pa.array(codes >> 40))
+            words = pa.array(table.names, pa.binary()).take(pa.array(codes & (1 << 40) - 1))
             return pa.RecordBatch.from_arrays(
-                [pa.array([langs[c] for c in (codes >> 40).tolist()], pa.string()),
-                 pa.array([words[c].decode() for c in (codes & (1 << 40) - 1).tolist()],
-                          pa.string()),
-                 pa.array(sums), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+                [langs, words.cast(pa.string()), pa.array(sums), pa.nulls(rows, pa.int32()),
+                 pa.nulls(rows, pa.binary())], names)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             text, langs = Text(texts_of(batch.column("text"))), _languages(batch)
             if not text.words:
                 continue
@@ -174,7 +180,7 @@ def look(docs: DataFrame, least: int) -> DataFrame:
             found = phrase_slots(table.hashes[ids], _salts(langs)[text.owner], text.run)
             slots, n = np.unique(np.concatenate([s for _, s in found]), return_counts=True)
             counters[slots] = np.minimum(counters[slots] + np.minimum(n, most), most)
-            if sum(len(c) for c, _ in held) > 2 * _WORDS or len(table.names) > _WORDS:
+            if sum(len(c) for c, _ in held) > _WORDS or len(table.names) > _WORDS:
                 yield flush()
                 held.clear()
                 table.clear()
@@ -190,7 +196,7 @@ def look(docs: DataFrame, least: int) -> DataFrame:
 
 
 def safe_slots(seen: DataFrame, least: int) -> np.ndarray:
-    """One bit per counter: it reaches ``least``. 9 MB, whatever the input's size."""
+    """One bit per counter: it reaches ``least``. 17 MB, whatever the input's size."""
     most = min(least, 15)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +223,9 @@ def safe_slots(seen: DataFrame, least: int) -> np.ndarray:
 def candidates(docs: DataFrame, bits) -> DataFrame:
     """Distinct (lang, phrase, words) of pairs and triples that may be frequent.
 
-    A task gives a phrase once as long as it remembers the phrase's 64-bit hash.
+    A task gives a phrase once as long as it remembers the phrase's 64-bit hash. Frequent phrases
+    occur in every task, so several splits of the input, up to ``_SPLITS``, are one task here as long
+    as every core has work.
     """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         safe, table, seen = bits.value, WordTable(), np.zeros(0, np.uint64)
@@ -225,7 +233,7 @@ def candidates(docs: DataFrame, bits) -> DataFrame:
         def holds(slots: np.ndarray) -> np.ndarray:
             return safe[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1 == 1
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             text, langs = Text(texts_of(batch.column("text"))), _languages(batch)
             if not text.words:
                 continue
@@ -243,8 +251,11 @@ def candidates(docs: DataFrame, bits) -> DataFrame:
                 for k in range(1, length):
                     mark = _mix(mark + np.uint64(length) + _mix(hashes[at + k]))
                 mark, first = np.unique(mark, return_index=True)
-                new = ~np.isin(mark, seen, assume_unique=True)
-                seen = mark if len(seen) > 4 * _WORDS else np.concatenate((seen, mark[new]))
+                place = np.minimum(np.searchsorted(seen, mark), max(0, len(seen) - 1))
+                new = seen[place] != mark if len(seen) else np.ones(len(mark), bool)
+                # Both are in order, so that the stable sort merges them.
+                seen = mark if len(seen) > _MARKS else np.sort(
+                    np.concatenate((seen, mark[new])), kind="stable")
                 begin = at[first[new]].tolist()
                 if begin:
                     words = text.words
@@ -255,7 +266,10 @@ def candidates(docs: DataFrame, bits) -> DataFrame:
                          pa.array(np.full(len(begin), length, np.int32))],
                         ["lang", "phrase", "words"])
 
-    return docs.mapInArrow(find, "lang string, phrase string, words int").distinct()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, -(-docs.rdd.getNumPartitions() // _SPLITS))
+    return docs.coalesce(tasks).mapInArrow(
+        find, "lang string, phrase string, words int").distinct()
 
 
 class Trie:
@@ -270,7 +284,7 @@ class Trie:
         self.words = {w.encode(): i for i, w in enumerate(coded.dictionary.to_pylist())}
         self.bits = max(1, (len(self.words).bit_length() + 1) // 2)
         symbols = 1 << self.bits
-        ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = coded.indices.to_numpy(zero_copy_only=False)
         begins = split.offsets.to_numpy()[:-1].astype(np.int64)
         begins -= begins[0] if len(begins) else 0
         lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False)
@@ -284,22 +298,30 @@ class Trie:
             word = ids[begins[live] + k]
             for symbol in (word >> self.bits, word & symbols - 1):
                 code, node = np.unique(at[live] << self.bits | symbol, return_inverse=True)
-                parents.append(code >> self.bits)
-                own.append(code & symbols - 1)
+                parents.append((code >> self.bits).astype(np.int32))
+                own.append((code & symbols - 1).astype(np.int32))
                 at[live] = count + node
                 count += len(code)
-        none = np.zeros(0, np.int64)
-        places = self._lay(np.concatenate([*parents, none]), np.concatenate([*own, none]),
+        none = np.zeros(0, np.int32)
+        places = self._lay(np.concatenate([none, *parents]), np.concatenate([none, *own]),
                            len(self.langs), symbols)
         self.size = len(phrases)
         self.accept = np.full(len(self.check), -1, np.int32)
         self.accept[places[at]] = np.arange(self.size, dtype=np.int32)
 
+    def pack(self) -> bytes:
+        """All of a trie; :meth:`unpack` makes it again."""
+        arrays = [getattr(self, n).tobytes() for n in ("base", "check", "accept")]
+        return zlib.compress(pickle.dumps((list(self.langs), list(self.words), self.bits,
+                                           self.roots, self.size, arrays)), 1)
+
     @staticmethod
-    def of(state: dict) -> Trie:
-        """A trie from its arrays and tables, which travel without the class."""
+    def unpack(data: bytes) -> Trie:
         trie = Trie.__new__(Trie)
-        trie.__dict__.update(state)
+        langs, words, trie.bits, trie.roots, trie.size, arrays = pickle.loads(zlib.decompress(data))
+        trie.langs = {v: i for i, v in enumerate(langs)}
+        trie.words = {w: i for i, w in enumerate(words)}
+        trie.base, trie.check, trie.accept = (np.frombuffer(a, np.int32) for a in arrays)
         return trie
 
     def _lay(self, parent: np.ndarray, symbol: np.ndarray, roots: int, symbols: int
@@ -374,39 +396,65 @@ class Trie:
                 totals += np.bincount(found, minlength=self.size)
 
 
+def make_tries(numbered: DataFrame) -> DataFrame:
+    """Staged pieces of a packed trie per shard (shard, piece, data), each made in one task."""
+    def make(table: pa.Table) -> pa.Table:
+        table = table.sort_by("number").combine_chunks()
+        columns = [table.column(c).combine_chunks() for c in ("lang", "phrase")]
+        shard = table.column("shard")[0].as_py()
+        del table
+        data = Trie(*columns).pack()
+        pieces = [data[i:i + _PIECE] for i in range(0, len(data), _PIECE)]
+        return pa.table({"shard": pa.array([shard] * len(pieces), pa.int64()),
+                         "piece": pa.array(range(len(pieces)), pa.int32()),
+                         "data": pa.array(pieces, pa.binary())})
+
+    return stage(numbered.select("shard", "number", "lang", "phrase").groupBy("shard")
+                 .applyInArrow(make, "shard long, piece int, data binary"), "tries")
+
+
 def count_phrases(docs: DataFrame, wanted: DataFrame, shard: int = _SHARD) -> DataFrame:
     """(lang, phrase, words, f) for the distinct ``wanted`` (lang, phrase, words), each counted
-    over all texts. A pass per ``shard`` phrases, whose trie the driver makes and broadcasts."""
+    over all texts of its language. The driver passes on one trie of ``shard`` phrases at a time;
+    each takes a pass over the texts."""
     spark = docs.sparkSession
-    numbered = global_rank(wanted, ["lang", "phrase"], "number").select(
-        "lang", "phrase", "words", (F.col("number") - 1).alias("number"))
-    counted = numbered.where("false").select("lang", "phrase", "words", F.lit(0).cast("long").alias("f"))
-    for begin in range(0, wanted.count(), shard):
-        mine = numbered.where((F.col("number") >= begin) & (F.col("number") < begin + shard))
-        rows = mine.select("number", "lang", "phrase").toArrow().sort_by("number").combine_chunks()
-        trie = Trie(rows.column("lang").combine_chunks(), rows.column("phrase").combine_chunks())
-        shared = spark.sparkContext.broadcast(vars(trie))
-        del rows, trie
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared, begin=begin
-                  ) -> Iterator[pa.RecordBatch]:
-            trie, totals = Trie.of(shared.value), None
-            for batch in slices(batches, "text"):
-                totals = np.zeros(trie.size, np.int64) if totals is None else totals
-                trie.count(Text(texts_of(batch.column("text"))), _languages(batch), totals)
-            for at in range(0, 0 if totals is None else trie.size, _CHUNK):
-                own = totals[at:at + _CHUNK]
-                if own.any():
+    numbered = global_rank(wanted, ["lang", "phrase"], "rank").select(
+        "lang", "phrase", "words", (F.col("rank") - 1).alias("number"),
+        F.expr(f"(rank - 1) div {int(shard)}").alias("shard"))
+    tries = make_tries(numbered)
+    counts = None
+    for s in range(-(-wanted.count() // shard)):
+        pieces = sorted((r["piece"], r["data"]) for r in tries.where(F.col("shard") == s)
+                        .select("piece", "data").toLocalIterator())
+        shared = spark.sparkContext.broadcast(b"".join(d for _, d in pieces))
+        del pieces
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared, begin=s * shard,
+                  own=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            trie, totals = None, None
+            for batch in slices(batches, "text", _SLICE):
+                if trie is None:
+                    trie = kept(("trie", own), lambda: Trie.unpack(shared.value))
+                    totals = np.zeros(trie.size, np.int64)
+                langs = _languages(batch)
+                mine = [i for i, v in enumerate(langs) if v in trie.langs]
+                if mine:
+                    texts = texts_of(batch.column("text").take(pa.array(mine)))
+                    trie.count(Text(texts), [langs[i] for i in mine], totals)
+            for at in range(0, 0 if trie is None else trie.size, _CHUNK):
+                some = totals[at:at + _CHUNK]
+                if some.any():
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([begin + at], pa.int64()), pa.array([own.tobytes()], pa.binary())],
+                        [pa.array([begin + at], pa.int64()), pa.array([some.tobytes()], pa.binary())],
                         ["begin", "data"])
 
-        parts = stage(docs.mapInArrow(count, "begin long, data binary"), "phrase-counts")
+        found = stage(docs.mapInArrow(count, "begin long, data binary"), "phrase-counts")
         shared.destroy()
-        sums = parts.repartition("begin").mapInArrow(sum_counts, "number long, f long")
-        counted = counted.unionByName(
-            mine.join(sums, "number").select("lang", "phrase", "words", "f"))
-    return counted
+        counts = found if counts is None else counts.unionByName(found)
+    if counts is None:
+        return wanted.where("false").withColumn("f", F.lit(0).cast("long"))
+    sums = counts.repartition("begin").mapInArrow(sum_counts, "number long, f long")
+    return numbered.join(sums, "number").select("lang", "phrase", "words", "f")
 
 
 def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
