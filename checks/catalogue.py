@@ -8,6 +8,7 @@ from checks import (  # noqa: F401
     q_batches,
     q_filters,
     q_requests,
+    q_store,
     q_streams,
 )
 from checks.registry import QUERIES, SQL
