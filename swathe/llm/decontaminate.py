@@ -10,7 +10,9 @@ open block the pivot rule skips items, and the rest is scored in full. A hit cou
 word sequences of both the item's question and its answer stand in the passage.
 
 Passages are windows of twice the longest item that advance by the longest item, so any stretch
-as long as an item lies in one of them whole.
+as long as an item lies in one of them whole. Where a script has no spaces between words every
+character is a term. Items of a few terms have no score to speak of: they are found where all their
+terms stand in a row.
 """
 
 from __future__ import annotations
@@ -26,10 +28,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from swathe.llm.tasks import slices, texts_of
+from swathe.sources.staging import stage
 
 K1, B = 1.2, 0.75
 _PLAIN = re.compile(r"[\W_]+")
-_SENTENCES = re.compile(r"(?<=[.!?])\s+")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*")
+# Fixed: blocks of Thai, Lao, Tibetan, Myanmar, Khmer, Kana and Han characters.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf"
+                       "\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f]")
+
+
+def words_of(text: str) -> list[str]:
+    """What stands between white space; characters of unspaced scripts one by one."""
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.split()
 
 
 def term_of(word: str) -> str:
@@ -38,7 +51,7 @@ def term_of(word: str) -> str:
 
 
 def terms_of(text: str) -> list[str]:
-    return [t for t in map(term_of, text.split()) if t]
+    return [t for t in map(term_of, words_of(text)) if t]
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -69,13 +82,20 @@ class Index:
     ceiling: np.ndarray   # per block: most that common terms can add
     parts: list           # per item: (question sequences, answer sequences, their length)
     longest: int          # terms of the longest item
+    threshold: float
+    short: dict           # by length: {sequence of terms: positions in keys}
 
 
-def build_index(items: list[tuple[object, str]], threshold: float, least_terms: int) -> Index:
-    """Index of (key, text) items with at least ``least_terms`` terms, in key order."""
+def build_index(items: list[tuple[object, str]], threshold: float, least_terms: int,
+                statistics: tuple[int, float, dict[str, int]] | None = None, least_short: int = 3
+                ) -> Index:
+    """Index of (key, text) items, in key order. ``statistics`` are those of all items with at
+    least ``least_terms`` terms: how many, their mean length, and how many have a term."""
     parsed = [(k, terms_of(t or ""), t or "") for k, t in items]
-    parsed = sorted((p for p in parsed if len(p[1]) >= least_terms and p[0] is not None),
+    parsed = sorted((p for p in parsed if len(p[1]) >= least_short and p[0] is not None),
                     key=lambda p: (p[0], p[2]))
+    few = [p for p in parsed if len(p[1]) < least_terms]
+    parsed = [p for p in parsed if len(p[1]) >= least_terms]
     vocabulary: dict[str, int] = {}
     counts: list[dict[int, int]] = []
     for _, terms, _ in parsed:
@@ -88,8 +108,12 @@ def build_index(items: list[tuple[object, str]], threshold: float, least_terms:
     frequency = np.zeros(v)
     for own in counts:
         frequency[list(own)] += 1
-    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-    mean = sum(len(t) for _, t, _ in parsed) / max(1, n)
+    if statistics is None:
+        everyone, mean, held = n, sum(len(t) for _, t, _ in parsed) / max(1, n), frequency
+    else:
+        everyone, mean, held = statistics[0], statistics[1], np.array(
+            [statistics[2][t] for t in vocabulary], float)
+    idf = np.log1p((everyone - held + 0.5) / (held + 0.5))
     block = max(8, -(-n // 64))
     maxima = np.zeros((v, -(-n // block) if n else 0), np.float32)
     common = frequency > max(8, n / 20)
@@ -111,8 +135,14 @@ def build_index(items: list[tuple[object, str]], threshold: float, least_terms:
         question, answer = question_and_answer(text)
         ids = [[vocabulary[t] for t in side] for side in (question, answer)]
         parts.append(tuple((sequences(side), min(3, len(side))) for side in ids))
-    return Index([k for k, _, _ in parsed], vocabulary, postings, block, maxima, common, ceiling,
-                 parts, max((len(t) for _, t, _ in parsed), default=0))
+    short: dict[int, dict[tuple, list[int]]] = {}
+    for i, (_, terms, _) in enumerate(few, n):
+        ids = tuple(vocabulary.setdefault(t, len(vocabulary)) for t in terms)
+        short.setdefault(len(ids), {}).setdefault(ids, []).append(i)
+    more = len(vocabulary) - v  # terms of short items only: they add nothing to a score
+    return Index([k for k, _, _ in parsed + few], vocabulary, postings + [([], [])] * more, block,
+                 np.pad(maxima, ((0, more), (0, 0))), np.pad(common, (0, more)), ceiling, parts,
+                 max((len(t) for _, t, _ in parsed), default=0), threshold, short)
 
 
 def wand(index: Index, terms: list[int], block: int) -> dict[int, float]:
@@ -167,20 +197,24 @@ class TermTable(dict):
         return found
 
 
-def passages(index: Index, table: TermTable, texts: list[str]
-             ) -> Iterator[tuple[int, np.ndarray, list[int]]]:
-    """(text, terms of the window, blocks to open) of windows in which a block may reach 1."""
-    stride = max(32, index.longest)
-    split = [t.split() for t in texts]
+def terms_in(table: TermTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of all texts in a row, and the text of each."""
+    split = [words_of(t) for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
     ids = np.fromiter(map(table.__getitem__, (w for s in split for w in s)), np.int64,
                       int(counts.sum()))
     owner = np.repeat(np.arange(len(texts)), counts)
     real = ids > -2
-    ids, owner = ids[real], owner[real]
-    if not len(ids) or not len(index.keys):
+    return ids[real], owner[real]
+
+
+def passages(index: Index, ids: np.ndarray, owner: np.ndarray, texts: int
+             ) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """(text, terms of the window, blocks to open) of windows in which a block may reach 1."""
+    stride = max(32, index.longest)
+    if not len(ids) or not index.parts:
         return
-    counts = np.bincount(owner, minlength=len(texts))
+    counts = np.bincount(owner, minlength=texts)
     starts = np.cumsum(counts) - counts
     cells = -(-counts // stride)            # a text's windows: cells k and k + 1
     base = np.cumsum(cells) - cells
@@ -191,7 +225,7 @@ def passages(index: Index, table: TermTable, texts: list[str]
     if len(own_ids):
         heads = np.flatnonzero(np.concatenate(([True], own_cells[1:] != own_cells[:-1])))
         sums[own_cells[heads]] = np.add.reduceat(index.maxima[own_ids], heads, axis=0)
-    lead = np.repeat(np.arange(len(texts)), cells)
+    lead = np.repeat(np.arange(texts), cells)
     two = sums[:-1].copy()
     follows = np.concatenate((lead[1:] == lead[:-1], [False]))
     two[follows] += sums[1:][follows]
@@ -203,11 +237,36 @@ def passages(index: Index, table: TermTable, texts: list[str]
         yield text, ids[begin:end], np.flatnonzero(may[k]).tolist()
 
 
+def short_items(index: Index, ids: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(text, item position) where all terms of a short item stand in a row."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    for length, items in index.short.items():
+        rows = len(ids) - length + 1
+        if rows <= 0:
+            continue
+
+        def mark(terms: np.ndarray) -> np.ndarray:
+            """A number per column of ``length`` rows of terms; equal ones share it."""
+            total = np.zeros(terms.shape[1], np.uint64)
+            for row in terms:
+                total = (total + row.astype(np.uint64) + np.uint64(1)) * odd
+                total ^= total >> np.uint64(29)
+            return total
+
+        windows = np.stack([ids[k:k + rows] for k in range(length)])
+        wanted = mark(np.array(list(items), np.int64).T)
+        inside = (windows >= 0).all(axis=0) & (owner[:rows] == owner[length - 1:])
+        for at in np.flatnonzero(inside & np.isin(mark(windows), wanted)).tolist():
+            for position in items.get(tuple(windows[:, at].tolist()), ()):
+                yield int(owner[at]), position
+
+
 def hits(index: Index, table: TermTable, texts: list[str], overlap: float
          ) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(text, item position): best passage's score, question and answer overlap."""
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for row, window, blocks in passages(index, table, texts):
+    ids, owner = terms_in(table, texts)
+    for row, window, blocks in passages(index, ids, owner, len(texts)):
         terms = np.unique(window[window >= 0]).tolist()
         seen = None
         for block in blocks:
@@ -217,18 +276,34 @@ def hits(index: Index, table: TermTable, texts: list[str], overlap: float
                 if min(shares) >= overlap:
                     hit = (score, *shares)
                     best[row, position] = max(best.get((row, position), hit), hit)
+    for row, position in short_items(index, ids, owner):
+        best[row, position] = (1 / index.threshold, 1.0, 1.0)
     return best
 
 
 def index_shards(items: DataFrame, threshold: float, least_terms: int, shard: int, item: str,
                  item_text: str) -> Iterator:
-    """Broadcast indexes of the benchmark, one per shard."""
+    """Broadcast indexes of the benchmark, one per shard; statistics are those of all items."""
+    kind = items.schema[item].dataType.simpleString()
     tests = items.select(items[item].alias("item"), items[item_text].alias("text")).distinct()
-    shards = max(1, -(-tests.count() // shard))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = pa.array(map(terms_of, texts_of(batch.column("text"))), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, terms], ["item", "text", "terms"])
+
+    rows = stage(tests.mapInArrow(split, f"item {kind}, text string, terms array<string>"), "items")
+    scored = rows.where(F.col("item").isNotNull() & (F.size("terms") >= least_terms))
+    held = scored.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
+    everyone, mean = scored.agg(F.count("*"), F.avg(F.size("terms"))).first()
+    shards = max(1, -(-rows.count() // shard))
     for number in range(shards):
-        rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == number).collect()
-        yield items.sparkSession.sparkContext.broadcast(
-            build_index([(r[0], r[1]) for r in rows], threshold, least_terms))
+        mine = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == number)
+        own = mine.select(F.explode("terms").alias("term")).distinct()
+        found = {r["term"]: r["count"] for r in held.join(own, "term").collect()}
+        yield items.sparkSession.sparkContext.broadcast(build_index(
+            [(r["item"], r["text"]) for r in mine.select("item", "text").collect()], threshold,
+            least_terms, (everyone, mean or 0.0, found)))
 
 
 def contaminated_by(docs: DataFrame, items: DataFrame, threshold: float = 0.6,
@@ -239,15 +314,16 @@ def contaminated_by(docs: DataFrame, items: DataFrame, threshold: float = 0.6,
 
     score is the best passage's BM25 score as a share of the item's own; the overlaps are the
     shares of the question's and the answer's three-term sequences that stand in that passage,
-    both at least ``overlap``. Items with fewer than ``least_terms`` terms cannot be told from
-    ordinary text and are not searched. Null texts hold nothing; null and repeated document keys
+    both at least ``overlap``. An item of 3 to ``least_terms`` - 1 terms counts where all its terms
+    stand in a row (score and overlaps 1); one or two terms cannot be told from ordinary text and
+    are not searched. Null texts hold nothing; null and repeated document keys
     are reported by themselves, one row per row and item; null items are not searched, items that
     repeat are reported once for each distinct text. Empty tables give no rows. Other columns are
     not read.
 
     The benchmark is a stated query set. It is cut into shards of about ``shard`` items, each
-    indexed and broadcast by itself (some 100 bytes per term), with BM25 statistics of its own;
-    more items mean more passes over the texts, not larger broadcasts. No shuffle.
+    indexed and broadcast by itself (some 100 bytes per term), with BM25 statistics of all items;
+    more items mean more passes over the texts, not larger broadcasts. Texts are not shuffled.
     """
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()]
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"))

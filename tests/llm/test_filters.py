@@ -147,7 +147,7 @@ def test_wand_retrieves_all_above_the_threshold(items):
         texts.append(" ".join(w for p in parts for w in draw.sample(p, len(p) * 2 // 3)))
     stride = max(32, index.longest)
     got, want = set(), set()
-    for row, window, blocks in dec.passages(index, table, texts):
+    for row, window, blocks in dec.passages(index, *dec.terms_in(table, texts), len(texts)):
         terms = np.unique(window[window >= 0]).tolist()
         for b in blocks:
             got |= {(row, p) for p in dec.wand(index, terms, b)}
@@ -179,6 +179,35 @@ def test_contaminated_documents(spark, items):
     assert dec.contaminated_by(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_unspaced_scripts(spark, items):
+    question = "\u6c34\u5728\u4ec0\u4e48\u6e29\u5ea6\u6cb8\u817e\uff1f\u4e00\u767e\u6444\u6c0f\u5ea6\u3002"
+    thai = "\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e\u0e2d\u0e22\u0e39\u0e48\u0e17\u0e35\u0e48\u0e44\u0e2b\u0e19"
+    bench = spark.createDataFrame([*items, (601, "what is two plus? Four."), (602, question), (603, thai),
+                                   (604, "three blind mice"), (605, "\u6c34\u6cb8"), (606, "two words")],
+                                  "item_id int, text string")
+    filler = " ".join(f"clean{i % 97}" for i in range(80))
+    texts = [f"{filler} What is two -- plus? FOUR! {filler}", f"what is two plus {filler} four",
+             f"{filler}{question}{filler}", "\u5929\u6c14\u5f88\u597d" + question + "\u3002\u5929\u6c14",
+             "\u6c34\u5728\u4ec0\u4e48\u6e29\u5ea6\u7ed3\u51b0\uff1f", f"{filler} {thai}", "three blind white mice",
+             "blind mice, three", "so: three blind mice", f"two words {filler} \u6c34\u6cb8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = dec.contaminated_by(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 601), (2, 602), (3, 602), (5, 603), (8, 604)}
+    assert all(r.score == r.question_overlap == r.answer_overlap == 1 for r in found if r.item_id in (601, 604))
+    kept = {r.doc_id for r in dec.drop_contaminated(docs, bench).collect()}
+    assert kept == {1, 4, 6, 7, 9}
+
+
+def test_scores_do_not_depend_on_the_shards(spark, items):
+    docs = spark.createDataFrame([(i, f"clean words {t} more words") for i, t in items],
+                                 "doc_id int, text string")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    whole, parts = ({(r.doc_id, r.item_id): r.score for r in dec.contaminated_by(
+        docs, bench, shard=shard).collect()} for shard in (20_000, 25))
+    assert set(whole) == set(parts) and len(whole) >= len(items)
+    assert all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
+
+
 def test_best_cut():
     assert best_cut([(1.0, True), (2.0, True)]) == float("-inf")
     assert best_cut([(-5.0, False), (-3.0, False), (0.0, True), (1.0, True)]) == -1.5
