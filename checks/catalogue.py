@@ -7,6 +7,7 @@ from checks import (  # noqa: F401
     q_arrivals,
     q_batches,
     q_filters,
+    q_histories,
     q_requests,
     q_store,
     q_streams,

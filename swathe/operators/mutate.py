@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from swathe.model import EntitySpec
 from swathe.operators.actions import Mutation
+from swathe.sources.staging import stage
 
 
 def mutate(df: DataFrame, entity: EntitySpec, mutation: Mutation, chosen: Column,
@@ -50,25 +53,78 @@ def account_slice(slice_: DataFrame, entity: EntitySpec, mutation: Mutation, key
     return mutate(joined, entity, mutation, F.col("_hit").isNotNull(), as_of).drop("_hit")
 
 
+@dataclass(frozen=True)
+class Reference:
+    """``child.column`` holds the key of a row of ``parent``; removing that row removes the child's
+    row, or with ``clear`` empties the column."""
+
+    child: str
+    column: str
+    parent: str
+    clear: bool = False
+
+
+def cascade(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
+            references: Sequence[Reference], doomed: Mapping[str, DataFrame]
+            ) -> dict[str, DataFrame]:
+    """Remove ``doomed`` rows (a one-column table of keys per table name) and all that hangs on them.
+
+    A table may have several parents, be its own parent and stand in cycles: removed keys spread
+    from the parents that lost rows in the step before until no table loses more. Keys are found and
+    written once, when their row is first removed. ``keys`` names the key column of the tables
+    that others refer to. Null references hang on nothing.
+    """
+    parents = {r.parent for r in references}
+    gone: dict[str, list[DataFrame]] = {name: [] for name in tables}
+    fresh = {name: rows.select(F.col(rows.columns[0]).alias("_gone")).where(
+        "_gone IS NOT NULL").distinct() for name, rows in doomed.items()}
+    while fresh:
+        for name, rows in fresh.items():
+            gone[name].append(stage(rows, f"gone-{name}"))
+        last = {name: gone[name][-1] for name in fresh if name in parents}
+        found: dict[str, DataFrame] = {}
+        for r in references:
+            if r.parent in last and r.child in parents and not r.clear:
+                hit = tables[r.child].join(last[r.parent], F.col(r.column) == F.col("_gone"),
+                                           "left_semi").select(F.col(keys[r.child]).alias("_gone"))
+                found[r.child] = found[r.child].unionByName(hit) if r.child in found else hit
+        fresh = {}
+        for name, rows in found.items():
+            new = rows.where("_gone IS NOT NULL").distinct()
+            for known in gone[name]:
+                new = new.join(known, "_gone", "left_anti")
+            new = stage(new, f"gone-{name}")
+            if not new.isEmpty():
+                fresh[name] = new
+    out = {}
+    for name, table in tables.items():
+        for rows in gone[name]:
+            table = table.join(rows, F.col(keys[name]) == F.col("_gone"), "left_anti")
+        for r in (r for r in references if r.child == name and gone[r.parent]):
+            removed = reduce(DataFrame.unionByName, gone[r.parent])
+            hangs = F.col(r.column) == F.col("_gone")
+            if r.clear:
+                table = table.join(removed, hangs, "left").withColumn(
+                    r.column, F.when(F.col("_gone").isNull(), F.col(r.column))).drop("_gone")
+            elif name not in parents:  # of others the rows are known by their keys
+                table = table.join(removed, hangs, "left_anti")
+        out[name] = table
+    return out
+
+
 def cascade_delete(root: DataFrame, key: str, doomed: DataFrame,
                    children: Sequence[tuple[str, DataFrame, str, str | None, str]]
                    ) -> Mapping[str, DataFrame]:
-    """Remove ``doomed(key)`` from ``root`` and, level by level, the rows that refer to removed
-    rows.
-
-    ``children`` lists ``(name, table, foreign_key, own_key, parent)``, parents before their
-    children, with ``"root"`` naming the root; ``own_key`` is None for tables nothing refers to.
-    Returns the remaining tables by name.
-    """
-    gone = {"root": doomed.select(F.col(key).alias("_gone"))}
-    kept = {"root": root.join(gone["root"], F.col(key) == F.col("_gone"), "left_anti")}
-    for name, table, foreign_key, own_key, parent in children:
-        refers = F.col(foreign_key) == F.col("_gone")
-        kept[name] = table.join(gone[parent], refers, "left_anti")
+    """:func:`cascade` from one table: ``children`` lists ``(name, table, foreign_key, own_key,
+    parent)``, a table once per parent, with ``"root"`` naming the root; ``own_key`` is None for
+    tables nothing refers to. Returns the remaining tables by name."""
+    tables, keys = {"root": root}, {"root": key}
+    for name, table, _, own_key, _ in children:
+        tables[name] = table
         if own_key is not None:
-            gone[name] = (table.join(gone[parent], refers, "left_semi")
-                          .select(F.col(own_key).alias("_gone")))
-    return kept
+            keys[name] = own_key
+    return cascade(tables, keys, [Reference(name, column, parent)
+                                  for name, _, column, _, parent in children], {"root": doomed})
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, key: str,

@@ -1,4 +1,5 @@
-"""Pages of sorted rows. Each page is one top-k over the filtered scan."""
+"""Pages of sorted rows: near the beginning one top-k over the filtered scan, at any depth by a
+directory of ranks."""
 
 from __future__ import annotations
 
@@ -8,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swathe.sources.staging import release, stage
+
 
 def keyset_page(df: DataFrame, key: str, limit: int, cursor: Any = None) -> DataFrame:
     """Rows after ``cursor`` in key order, at most ``limit``, with ``has_more`` and
@@ -37,6 +40,41 @@ def offset_page(df: DataFrame, order_by: Sequence[Column | str], limit: int, off
     return page.withColumn("has_more", F.col("total") > offset + limit)
 
 
+class Pages:
+    """Pages of one order at any depth.
+
+    The rows are sorted once over all tasks and written with their place; a directory holds how many
+    rows each part has. A page reads the parts that the directory names, and of these the rows of
+    the page alone: no task sorts or skips what comes before it.
+    """
+
+    def __init__(self, df: DataFrame, order_by: Sequence[Column | str]) -> None:
+        """``order_by`` is a total order (add the key as the last column)."""
+        laid = (df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+                .withColumn("_mid", F.monotonically_increasing_id()))
+        self._rows = stage(laid, "pages")
+        part = F.shiftright("_mid", 33)
+        found = self._rows.groupBy(part.alias("part")).agg(
+            F.count("*").alias("n")).orderBy("part").collect()  # a row per part
+        self._parts = [(r["part"] << 33, r["n"]) for r in found]
+        self.total = sum(n for _, n in self._parts)
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows ``offset .. offset + limit`` in order, with ``total`` and ``has_more``."""
+        wanted, before = F.lit(False), 0
+        for first, n in self._parts:
+            low, high = max(0, offset - before), min(n, offset + limit - before)
+            if low < high:
+                wanted = wanted | F.col("_mid").between(first + low, first + high - 1)
+            before += n
+        return self._rows.where(wanted).orderBy("_mid").drop("_mid").withColumns({
+            "total": F.lit(self.total).cast("long"),
+            "has_more": F.lit(self.total > offset + limit)})
+
+    def release(self) -> None:
+        release(self._rows)
+
+
 def log_filter(logs: DataFrame, status: str | None = None, reason_code: str | None = None,
                entity_id: Any = None, action_id: Any = None) -> DataFrame:
     """Audit rows of an action by status, reason and entity."""
