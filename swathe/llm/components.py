@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathe.sources.staging import stage
+from swathe.sources.staging import release, stage
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -35,8 +35,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = (_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .distinct())
         small = _with_least(large)
-        edges = stage(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, stage(
+            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(last)
         before, state = state, _state(edges)
         if state == before:
             break

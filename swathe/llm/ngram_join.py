@@ -9,8 +9,10 @@ and the counts are summed per pair.
    from sorted, pre-aggregated pieces. The outcome is a table of fixed size with the frequency
    level of every slot of the n-gram space. It only decides the order, so n-grams that share a
    slot cost work, not links. Level 0 is certain: these n-grams occur once.
-2. Documents with equal sets form a class; from here on a class stands for its documents. A second
-   pass gives the rare end of each set (prefix): two sets that link share an n-gram there.
+2. Documents with equal sets form a class; from here on a class stands for its documents, whatever
+   their keys. A second pass gives the rare end of each set (prefix): two sets that link share an
+   n-gram there. For sets whose prefix holds an n-gram that may occur elsewhere the same pass gives
+   the fragments, so no text is read or moved again.
 3. Every class is paired with the most typical class of each n-gram that it shares, which is
    linear in the input however large a group of copies is. Overlaps of these pairs are counted by
    fragment. Links give components.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from swathe.llm.components import components
 from swathe.llm.tasks import kept, slices, texts_of
-from swathe.sources.staging import stage
+from swathe.sources.staging import release, stage
 
 SLOT_BITS = 25      # slots of the frequency table: 32 MB, whatever the input's size
 _KEPT_BYTES = 5     # leading bytes of an n-gram's hash that are counted
@@ -192,64 +194,88 @@ class Order:
         return grams[order], levels[order]
 
 
-def prefix_grams(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """(gram, cid, size, pos) for the prefix of every set, without n-grams that occur once. cid is
-    the set's digest; sets seen twice in a task are given once."""
-    def rare_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in slices(batches, "text"):
-            grams, cids, sizes, places = [], [], [], []
-            for s in gram_sets(texts_of(batch.column("text")), n):
-                digest = digest_of(s)
-                if not len(s) or digest in seen:
-                    continue
-                seen.add(digest)
-                ordered, levels = order.value.arrange(s)
-                length = len(s) - -(-percent * len(s) // 100) + 1
-                at = np.flatnonzero(levels[:length])
-                grams.append(ordered[at])
-                cids += [digest] * len(at)
-                sizes.append(np.full(len(at), len(s)))
-                places.append(at)
-            if cids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams).view(np.int64)), pa.array(cids, pa.binary()),
-                     pa.array(np.concatenate(sizes).astype(np.int32)),
-                     pa.array(np.concatenate(places).astype(np.int32))],
-                    ["gram", "cid", "size", "pos"])
+FRAGMENTS = (9, 17, 33, 256)  # upper levels of the order's fragments; each is cut in two by hash
+_SIGNATURE_BITS = 4096        # of the largest sets; about one per element below
 
-    return docs.select("text").mapInArrow(
-        rare_end, "gram long, cid binary, size int, pos int")
 
+def signature(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of the set's hashes by slot, as 64-bit words, and the same for half as many slots.
 
-FRAGMENTS = (9, 17, 33, 256)  # upper levels of the order's fragments; each is cut in two by hash
+    Two signatures of one length differ in no more places than the sets have elements of their own.
+    """
+    slots = 64
+    while slots < min(len(grams), _SIGNATURE_BITS):
+        slots *= 2
 
+    def parity(slots: int) -> np.ndarray:
+        odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def fragment_sets(docs: DataFrame, order, n: int) -> DataFrame:
-    """(cid, fragment, grams): every set cut along the global order. N-grams that occur once are
-    left out, as they overlap with nothing."""
+    return parity(slots), parity(max(64, slots // 2))
+
+
+def rare_ends(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
+    """Staged rows of three kinds, for sets with an n-gram in their prefix that may occur in others:
+    (cid, gram, size, pos) per such n-gram, (cid, fragment, grams) per fragment of the global order,
+    (cid, sig, low). cid is the set's digest; n-grams that occur once are left out, as they overlap
+    with nothing. Sets that a task sees twice are given once."""
     uppers = np.array(FRAGMENTS)
+    names = ["cid", "gram", "size", "pos", "fragment", "grams", "sig", "low"]
+
+    def lists(arrays: list[np.ndarray], rows: int, before: int) -> pa.Array:
+        """``arrays`` as the rows from ``before`` on, nulls elsewhere."""
+        offsets = np.zeros(rows + 1, np.int32)
+        ends = np.cumsum([len(a) for a in arrays])
+        offsets[before + 1:before + 1 + len(arrays)] = ends
+        offsets[before + 1 + len(arrays):] = ends[-1] if len(ends) else 0
+        valid = np.zeros(rows, bool)
+        valid[before:before + len(arrays)] = True
+        values = np.concatenate([np.zeros(0, np.int64), *arrays])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~valid))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in slices(batches, "text"):
-            rows = []
+            own, grams, sizes, places = [], [], [], []
+            cut, numbers, parts, signed, sigs, lows = [], [], [], [], [], []
             for s in gram_sets(texts_of(batch.column("text")), n):
+                digest = digest_of(s)
+                if not len(s) or digest in seen:
+                    continue
+                seen.add(digest)
                 ordered, levels = order.value.arrange(s)
+                length = len(s) - -(-percent * len(s) // 100) + 1
+                at = np.flatnonzero(levels[:length])
+                if not len(at):
+                    continue
+                own += [digest] * len(at)
+                grams.append(ordered[at].view(np.int64))
+                sizes += [len(s)] * len(at)
+                places += at.tolist()
+                ordered, levels = ordered[levels > 0], levels[levels > 0]
                 place = 2 * np.searchsorted(uppers, levels, side="right") + (
                     ordered >> np.uint64(63)).astype(np.int64)
-                digest = digest_of(s)
-                for f in np.unique(place[levels > 0]).tolist():
-                    own = np.sort(ordered[(place == f) & (levels > 0)].view(np.int64))
-                    rows.append((digest, f, own))
-            if rows:
-                cids, fragments, grams = zip(*rows)
-                offsets = np.concatenate(([0], np.cumsum(list(map(len, grams))))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cids, pa.binary()), pa.array(fragments, pa.int32()),
-                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(grams)))],
-                    ["cid", "fragment", "grams"])
-
-    return docs.select("text").mapInArrow(cut, "cid binary, fragment int, grams array<long>")
+                for f in np.unique(place).tolist():
+                    cut.append(digest)
+                    numbers.append(f)
+                    parts.append(np.sort(ordered[place == f].view(np.int64)))
+                signed.append(digest)
+                sig, low = signature(s)
+                sigs.append(sig)
+                lows.append(low)
+            if own:
+                a, b, rows = len(own), len(own) + len(cut), len(own) + len(cut) + len(signed)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(own + cut + signed, pa.binary()),
+                    pa.concat_arrays([pa.array(np.concatenate(grams)), pa.nulls(rows - a, pa.int64())]),
+                    pa.array(sizes + [None] * (rows - a), pa.int32()),
+                    pa.array(places + [None] * (rows - a), pa.int32()),
+                    pa.array([None] * a + numbers + [None] * (rows - b), pa.int32()),
+                    lists(parts, rows, a), lists(sigs, rows, b), lists(lows, rows, b)], names)
+
+    return stage(docs.select("text").mapInArrow(
+        look, "cid binary, gram long, size int, pos int, fragment int, grams array<long>, "
+              "sig array<long>, low array<long>"), "rare-ends")
 
 
 def _needed(n: Column, m: Column, percent: int) -> Column:
@@ -263,6 +289,19 @@ def _may_link(percent: int) -> Column:
     return room >= _needed(n, m, percent)
 
 
+def _may_overlap(percent: int) -> Column:
+    """Whether the signatures leave room for the overlap of a link."""
+    def like(own: str, other: str, low: str) -> Column:
+        return F.when(F.size(own) > F.size(other), F.col(low)).otherwise(F.col(own))
+
+    differing = F.aggregate(
+        F.zip_with(like("sig", "sig2", "low"), like("sig2", "sig", "low2"),
+                   lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0), lambda total, count: total + count)
+    n, m = F.col("size"), F.col("size2")
+    return F.coalesce(n + m - differing >= 2 * _needed(n, m, percent), F.lit(True))
+
+
 def count_links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, size, size2) that link: partial overlaps by fragment, summed per pair."""
     left = pairs.join(fragments.select(F.col("cid").alias("a"), "fragment",
@@ -289,8 +328,8 @@ def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "size", "size2").distinct())
 
 
-def cross_pairs(shared: DataFrame, known: DataFrame, percent: int, step: float = 1.02
-                ) -> DataFrame:
+def cross_pairs(shared: DataFrame, known: DataFrame, signatures: DataFrame, percent: int,
+                step: float = 1.02) -> DataFrame:
     """Pairs across components that share a prefix n-gram and pass the bounds.
 
     Of two such classes one is outside the n-gram's largest component. Those rows look for
@@ -302,7 +341,8 @@ def cross_pairs(shared: DataFrame, known: DataFrame, percent: int, step: float =
     held = rows.groupBy("gram", "comp").agg(F.count("*").alias("n"))
     major = held.groupBy("gram").agg(
         F.max(F.struct("n", "comp")).alias("_m"), F.count("*").alias("_c")).where("_c > 1")
-    open_rows = rows.join(major.select("gram", F.col("_m.comp").alias("major")), "gram")
+    open_rows = rows.join(major.select("gram", F.col("_m.comp").alias("major")), "gram").join(
+        signatures, "cid")
 
     def size_class(size: Column) -> Column:
         return F.floor(F.log(size.cast("double")) / F.log(F.lit(step))).cast("int")
@@ -315,14 +355,15 @@ def cross_pairs(shared: DataFrame, known: DataFrame, percent: int, step: float =
     partners = open_rows.select(
         F.col("gram").alias("gram2"), F.col("cid").alias("cid2"), F.col("size").alias("size2"),
         F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("major").alias("major2"),
-        size_class(F.col("size")).alias("_class2"))
+        F.col("sig").alias("sig2"), F.col("low").alias("low2"), size_class(F.col("size")).alias("_class2"))
     # Two seekers meet from both sides; one of the two is enough.
     once = (F.col("comp2") == F.col("major2")) | (F.col("cid") < F.col("cid2")) | ~(
         F.floor((F.col("size2") - F.col("pos2")) * (100 + percent) / float(percent)
                 - F.col("size2") + 1e-9) >= F.ceil(percent * F.col("size2") / 100.0 - 1e-9))
     return (seekers.join(partners, (F.col("gram") == F.col("gram2"))
                          & (F.col("_class") == F.col("_class2"))
-                         & (F.col("comp") != F.col("comp2")) & once & _may_link(percent))
+                         & (F.col("comp") != F.col("comp2")) & once & _may_link(percent)
+                         & _may_overlap(percent))
             .select(F.col("cid").alias("a"), F.col("cid2").alias("b"), "size", "size2").distinct())
 
 
@@ -340,29 +381,35 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str =
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     seen = survey(own, n, parts)
-    rows = seen.where("part IS NULL").select("key", "size", "digest")
+    rows = stage(seen.where("part IS NULL").select("key", "size", "digest"), "sets")
     levels = frequency_levels(seen.where("part IS NOT NULL").select("part", "grams", "counts"),
                               parts)
+    release(seen)
     order = spark.sparkContext.broadcast(Order(levels))
 
-    postings = stage(prefix_grams(own, order, n, percent).distinct(), "prefixes")
+    ends = rare_ends(own, order, n, percent)
+    order.destroy()
+    postings = stage(ends.where("gram IS NOT NULL").select("gram", "cid", "size", "pos").distinct(),
+                     "prefixes")
     several = postings.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1")
     shared = stage(postings.join(several.select("gram"), "gram", "left_semi"), "shared-prefixes")
-
-    classes = rows.where("size > 0").groupBy("digest").agg(F.min("key").alias("first"))
-    wanted = classes.join(shared.select(F.col("cid").alias("digest")).distinct(), "digest",
-                          "left_semi")
-    texts = own.join(wanted.select(F.col("first").alias("key")), "key", "left_semi")
-    fragments = stage(fragment_sets(texts, order, n).dropDuplicates(["cid", "fragment"]),
+    release(postings)
+    wanted = shared.select("cid").distinct()
+    fragments = stage(ends.where("fragment IS NOT NULL").join(wanted, "cid", "left_semi")
+                      .select("cid", "fragment", "grams").dropDuplicates(["cid", "fragment"]),
                       "fragments")
+    signatures = stage(ends.where("sig IS NOT NULL").join(wanted, "cid", "left_semi")
+                       .select("cid", "sig", "low").dropDuplicates(["cid"]), "signatures")
+    release(ends)
 
     first = stage(star_pairs(shared, percent), "star-pairs")
     links = stage(count_links(first, fragments, percent), "links")
-    across = cross_pairs(shared, components(links), percent).join(
+    across = cross_pairs(shared, components(links), signatures, percent).join(
         first, ["a", "b"], "left_anti")
     more = stage(count_links(across, fragments, percent), "links")
     found = components(links.unionByName(more))
-    order.unpersist()
+    release(shared, fragments, signatures, first, links, more)
+    classes = rows.where("size > 0").groupBy("digest").agg(F.min("key").alias("first"))
 
     # The smallest key of every class that is joined with others, or has several rows.
     joined = (classes.join(found.withColumnRenamed("node", "digest"), "digest", "left")

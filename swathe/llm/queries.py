@@ -44,7 +44,22 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"))
 
 
-@query("op1_ngram_join")
+@query("op1_ngram_join", """
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'),
+                   lambda x: x <> '') AS w FROM documents),
+         s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4
+                      THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 3], ' ')
+                      for i in range(1, len(w) - 2)]) END AS s FROM d),
+         g AS (SELECT doc_id, unnest(s) AS g FROM s),
+         shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+                    FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+         links AS (SELECT a, b FROM shared x JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
+                   WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+         reach AS (SELECT doc_id AS a, doc_id AS b FROM d
+                   UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+    FROM s JOIN reach r ON r.a = s.doc_id GROUP BY ALL""")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_components(table(spark, sf, "documents"))
 

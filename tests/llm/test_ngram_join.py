@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
+from swathe.llm import ngram_join
 from swathe.llm.components import components
-from swathe.llm.ngram_join import keep_first, ngram_components
+from swathe.llm.ngram_join import keep_first, ngram_components, signature
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -68,9 +70,18 @@ def rows():
     keys = list(range(1, len(texts) + 1))
     draw.shuffle(keys)
     data = list(zip(keys, texts))
+    # Two unlike texts that only one without a key links.
+    bridge = draw.choices(words, k=120)
+    ends = [bridge[:-4] + [f"q{i}" for i in range(4)], [f"p{i}" for i in range(4)] + bridge[4:]]
+    data += [(9001, " ".join(ends[0])), (None, " ".join(bridge)), (9002, " ".join(ends[1]))]
     return data + [(None, texts[0]), (None, "nobody else says this at all"), data[3], data[3]]
 
 
+def test_bridge_without_a_key(rows):
+    found = {k: c for k, _, c in brute_force(rows, 4, 85)}
+    assert found[9002] == found[9001] == 9001  # the test below holds such a case
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
 def test_components_equal_brute_force(spark, rows, n, percent):
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA).repartition(5)
@@ -86,6 +97,42 @@ def test_keep_first_leaves_one_of_each_group(spark, rows):
     assert got == want and keep_first(df).columns == df.columns
 
 
+def test_signatures_bound_the_overlap():
+    """No pair that links is ever ruled out, and most others are."""
+    draw = np.random.default_rng(4)
+    out = 0
+    for _ in range(400):
+        size = int(draw.integers(1, 900))
+        a = np.unique(draw.integers(0, 2 ** 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[draw.random(len(a)) < draw.choice([0.5, 0.8, 0.95, 1.0])],
+                                      draw.integers(0, 2 ** 63, int(size * draw.choice([0, 0.1, 0.5])),
+                                                    dtype=np.uint64))))
+        if not 0.8 <= len(a) / max(1, len(b)) <= 1.25:
+            continue
+        (x, low_x), (y, low_y) = signature(a), signature(b)
+        x, y = (low_x, y) if len(x) > len(y) else (x, low_y) if len(y) > len(x) else (x, y)
+        differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64).tolist())
+        assert differ <= len(np.setxor1d(a, b))
+        out += 100 * (len(a) + len(b) - differ) // 2 < 85 * (len(a) + len(b) + differ) // 2
+    assert out > 60
+
+
+def test_texts_of_shared_passages_make_few_pairs(spark, monkeypatch):
+    """Twice the texts made of a fixed stock of passages, none of which link: no four times the
+    pairs are counted."""
+    draw, counted = random.Random(8), []
+    stock = [" ".join(f"s{p}w{draw.randrange(500)}" for _ in range(40)) for p in range(30)]
+    plain = ngram_join.count_links
+    monkeypatch.setattr(ngram_join, "count_links", lambda pairs, *rest: (
+        counted.append(pairs.count()), plain(pairs, *rest))[1])
+    for n in (150, 300):
+        data = [(i, " ".join(draw.sample(stock, 4)), "x") for i in range(n)]
+        found = ngram_components(spark.createDataFrame(data, SCHEMA)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(
+            brute_force([r[:2] for r in data], 4, 85))
+    assert sum(counted[2:]) <= 3 * 300
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ngram_components(empty).count() == 0 and keep_first(empty).count() == 0
