@@ -114,6 +114,33 @@ _VALUES = """CASE event_id % 12
     WHEN 10 THEN '{"entity_ids":[1],"updates":{"age":1.5}}'
     ELSE '{"filter":{},"updates":[1]}' END"""
 
+# Values of filters on contacts (age is a whole number, name and status are text).
+_FILTERS = [
+    ('{"age":"x"}', "bad_value"), ('{"age":{"gte":3.5,"lt":null}}', ""), ('{"age":{"in":[]}}', "bad_value"),
+    ('{"age":{"in":[1,null,"7"]}}', ""), ('{"age":{"in":[1,"seven"]}}', "bad_value"),
+    ('{"age":{"in":3}}', "bad_value"), ('{"name":7}', "bad_value"), ('{"name":{"contains":"x"}}', ""),
+    ('{"age":{"contains":"1"}}', "bad_value"), ('{"age":true}', "bad_value"), ('{"name":null}', ""),
+    ('{"updated_at":{"gt":"2024-01-01T00:00:00Z"}}', ""), ('{"updated_at":{"gt":"soon"}}', "bad_value"),
+    ('{"age":{"is_null":"yes"}}', "bad_value"), ('{"age":{"eq":99999999999}}', "bad_value"),
+    ('{"status":{"not_in":["a","b"],"ne":null}}', ""), ('{"status":["a"]}', "bad_value"),
+    ('{"age":{"is_null":false},"status":{"eq":"a"}}', "")]
+_FILTER_CASES = "CASE event_id % 18 " + " ".join(
+    f"WHEN {i} THEN '{f}'" for i, (f, _) in enumerate(_FILTERS)) + " END"
+
+
+@query("validate_filter_values", "SELECT event_id AS id, CASE event_id % 18 " + " ".join(
+    f"WHEN {i} THEN '{'filter:' + e if e else ''}'" for i, (_, e) in enumerate(_FILTERS))
+    + " END AS errors FROM events")
+def validate_filter_values(spark, sf):
+    asked = table(spark, sf, "events").selectExpr(
+        "event_id AS id", "ts AS created_at", "CAST(NULL AS string) AS idempotency_key",
+        "'contact' AS entity_type", "'delete' AS action_type",
+        f"concat('{{\"filter\":', {_FILTER_CASES}, '}}') AS payload",
+        "user_id AS account_id", "CAST(10 AS bigint) AS batch_size",
+        "CAST(NULL AS timestamp_ntz) AS scheduled_at")
+    checked = sub.validate_submissions(asked, accounts(spark, sf))
+    return checked.select("id", sub.error_text().alias("errors"))
+
 
 @query("validate_values", """
     SELECT event_id AS id, CASE event_id % 12 WHEN 0 THEN 'age:above_maximum'

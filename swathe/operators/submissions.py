@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swathe.functions.conditions import kind_of, member, members
 from swathe.functions.measures import effective_batch_size
 from swathe.functions.predicates import OPERATORS
 from swathe.functions.rules import coerced, field_error, issue, issues, when_true
@@ -83,16 +84,55 @@ def _update_errors(entities: Mapping[str, EntitySpec], entity: Column, updates:
     return out
 
 
+# Types of the common filter fields where an entity does not declare them itself.
+_COMMON_TYPES = {n: "string" if n == "status" else "timestamp" for n in COMMON_FILTER_FIELDS}
+
+
 def _filter_errors(entities: Mapping[str, EntitySpec], entity: Column, filters: Column) -> Column:
-    """Errors of a filter's field names and operators."""
-    names = _lookup({n: [f for f, r in e.fields.items() if r.filterable] + [*COMMON_FILTER_FIELDS]
-                     for n, e in entities.items()}, entity, "array<string>")
-    unknown = F.size(F.array_except(F.map_keys(filters), names)) > 0
-    operators = F.flatten(F.transform(F.map_values(filters), lambda v: F.coalesce(
-        F.json_object_keys(v), F.array().cast("array<string>"))))
-    bad = F.size(F.array_except(operators, F.array(*map(F.lit, OPERATORS)))) > 0
+    """Errors of a filter's field names, operators and values. ``filters`` has the members as
+    VARIANT by name; a value has to fit the declared type of its field."""
+    types = F.element_at(F.create_map(*[c for n, e in entities.items() for c in (
+        F.lit(n), F.create_map(*[F.lit(x) for pair in {
+            **_COMMON_TYPES, **{f: r.type for f, r in e.fields.items() if r.filterable}}.items()
+            for x in pair]))]), entity)
+    unknown = F.exists(F.map_keys(filters), lambda n: ~F.map_contains_key(types, n))
+    entries = F.transform(F.map_entries(filters), lambda e: F.struct(
+        F.element_at(types, e["key"]).alias("type"), kind_of(e["value"]).alias("kind"),
+        e["value"].alias("value"),
+        F.coalesce(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")),
+                   F.array().cast("array<struct<key:string,value:variant>>")).alias("operators")))
+    operators = F.exists(entries, lambda e: F.exists(
+        e["operators"], lambda o: ~o["key"].isin(*OPERATORS)))
+    bad = F.exists(entries, lambda e: F.when(
+        e["kind"] == "object", F.exists(e["operators"], lambda o: _bad_operand(
+            o["key"], o["value"], e["type"]))).otherwise(_misfit(e["value"], e["type"])))
     return issues(issue("filter", F.when(unknown, "not_filterable").when(
-        bad, "unknown_operator"))).cast(_ERRORS)
+        operators, "unknown_operator").when(bad, "bad_value"))).cast(_ERRORS)
+
+
+def _misfit(value: Column, kind: Column) -> Column:
+    """Whether a scalar (other than null) cannot be compared with a field of the type ``kind``."""
+    is_a, text = kind_of(value), F.try_variant_get(value, "$", "string")
+    number = text.try_cast("decimal(38,9)")
+    whole = F.coalesce(number.between(
+        F.when(kind == "int", F.lit(-2 ** 31)).otherwise(F.lit(-2 ** 63)),
+        F.when(kind == "int", F.lit(2 ** 31 - 1)).otherwise(F.lit(2 ** 63 - 1))), F.lit(False))
+    fits = (F.when(is_a.isin("object", "array", "boolean"), is_a == kind)
+            .when(kind == "string", is_a == "string")
+            .when(kind == "timestamp", (is_a == "string") & text.try_cast("timestamp").isNotNull())
+            .when(kind.isin("int", "bigint"), whole)
+            .otherwise(text.try_cast("double").isNotNull()))
+    return (is_a != "void") & ~fits
+
+
+def _bad_operand(operator: Column, value: Column, kind: Column) -> Column:
+    """Whether the value of an operator does not fit the field or the operator."""
+    items = F.try_variant_get(value, "$", "array<variant>")
+    return (F.when(operator.isin("in", "not_in"), (F.coalesce(F.size(items), F.lit(0)) <= 0)
+                   | F.coalesce(F.exists(items, lambda v: _misfit(v, kind)), F.lit(False)))
+            .when(operator == "is_null", kind_of(value) != "boolean")
+            .when(operator == "contains", (kind != "string") | (kind_of(value) != "string"))
+            .otherwise(_misfit(value, kind)))
 
 
 def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -101,21 +141,28 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
     Columns: ``account_id, entity_type, action_type, payload`` (JSON text), ``batch_size,
     idempotency_key, scheduled_at, created_at``. Entities and actions are those registered. The
     contents of a filter and of an update (names, operators, values by the entity's declaration)
-    are looked at when everything else about the request is right; values inside a filter are
-    checked when it is compiled.
+    are looked at when everything else about the request is right.
     """
     entities, actions = all_entities(), all_actions()
     known = accounts.select(F.col("account_id").alias("_known"))
     joined = submissions.join(known, F.col("account_id") == F.col("_known"), "left")
 
     entity, action = type_name("entity_type"), type_name("action_type")
-    # Each part of the payload is extracted once, in a projection of its own.
-    parts = {"filter": "$.filter", "ids": "$.entity_ids", "dedup": "$.deduplicate_by",
-             "hard": "$.hard", "updates": "$.updates"}
+    # The payload is parsed once; its parts are taken from that in projections of their own.
+    joined = joined.withColumn("_v", F.try_parse_json("payload"))
+    parts = {"filter": "filter", "ids": "entity_ids", "dedup": "deduplicate_by", "hard": "hard",
+             "updates": "updates"}
+    joined = joined.withColumns({"_keys": members("_v"), "_entity": entity, "_action": action,
+                                 **{f"_p_{n}": member("_v", name) for n, name in parts.items()}})
+    joined = joined.withColumns({f"_k_{n}": kind_of(f"_p_{n}") for n in ("filter", "ids", "updates")})
     joined = joined.withColumns({
-        "_keys": F.json_object_keys("payload"),
-        **{f"_p_{n}": F.get_json_object("payload", path) for n, path in parts.items()}})
-    joined = joined.withColumns({"_entity": entity, "_action": action})
+        "_has_filter": F.coalesce(F.col("_k_filter") != "void", F.lit(False)),
+        "_has_ids": F.coalesce(F.col("_k_ids") != "void", F.lit(False)),
+        "_dedup": F.try_variant_get("_p_dedup", "$", "string"),
+        "_hard": F.coalesce(F.try_variant_get("_p_hard", "$", "string") == "true", F.lit(False)),
+        "_ids": F.size(F.try_variant_get("_p_ids", "$", "array<variant>")),
+        "_sent": F.when(F.col("_k_updates") != "void", F.col("_k_updates")),
+        "_sent_names": members("_p_updates")})
     entity, action, keys = F.col("_entity"), F.col("_action"), F.col("_keys")
     allowed_keys = _lookup(
         {n: [*a.params, "filter", "entity_ids", "deduplicate_by"] for n, a in actions.items()},
@@ -128,10 +175,8 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
     dedup_fields = _lookup({n: list(e.dedup_fields) or ["-"] for n, e in entities.items()},
                            entity, "array<string>")
     soft = _lookup({n: e.soft_delete is not None for n, e in entities.items()}, entity, "boolean")
-    has_filter = F.array_contains(keys, "filter") & F.col("_p_filter").isNotNull()
-    has_ids = F.array_contains(keys, "entity_ids") & F.col("_p_ids").isNotNull()
-    dedup_by = F.col("_p_dedup")
-    hard = F.coalesce(F.col("_p_hard") == "true", F.lit(False))
+    has_filter, has_ids = F.col("_has_filter"), F.col("_has_ids")
+    dedup_by, hard = F.col("_dedup"), F.col("_hard")
     known_entity = entity.isin(*entities)
     known_action = action.isin(*actions)
     errors = issues(
@@ -146,17 +191,16 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
                     "missing_key")),
         issue("filter", F.when(keys.isNotNull() & ~has_filter & ~has_ids, "no_target_set")
               .when(has_filter & has_ids, "two_target_sets")
-              .when(has_filter & F.json_object_keys("_p_filter").isNull(), "not_an_object")),
-        issue("entity_ids", F.when(has_ids & (F.json_array_length("_p_ids") == 0), "empty")
-              .when(has_ids & F.json_array_length("_p_ids").isNull(), "not_a_list")),
+              .when(has_filter & (F.col("_k_filter") != "object"), "not_an_object")),
+        issue("entity_ids", F.when(has_ids & (F.col("_k_ids") != "array"), "not_a_list")
+              .when(has_ids & (F.col("_ids") == 0), "empty")),
         issue("deduplicate_by", when_true(
             dedup_by.isNotNull() & known_entity & ~F.array_contains(dedup_fields, dedup_by),
             "not_a_dedup_field")),
         issue("hard", when_true((action == "delete") & known_entity & ~soft & ~hard,
                                 "no_soft_delete_column")),
-        issue("updates", F.when(F.size(F.json_object_keys("_p_updates")) == 0, "empty")
-              .when(F.col("_p_updates").isNotNull() & F.json_object_keys("_p_updates").isNull(),
-                    "not_an_object")),
+        issue("updates", F.when(F.size("_sent_names") == 0, "empty")
+              .when(F.col("_sent") != "object", "not_an_object")),
         issue("batch_size", when_true(~F.col("batch_size").between(1, MAX_BATCH_SIZE),
                                       "out_of_range")),
         issue("idempotency_key", when_true(
@@ -166,8 +210,8 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
     )
     checked = joined.withColumns({
         "_errors": errors,
-        "_updates": F.from_json("_p_updates", "map<string,string>"),
-        "_filter": F.from_json("_p_filter", "map<string,string>")})
+        "_updates": F.try_variant_get("_p_updates", "$", "map<string,string>"),
+        "_filter": F.try_variant_get("_p_filter", "$", "map<string,variant>")})
     none = F.array().cast(_ERRORS)
     contents = F.concat(
         F.coalesce(_filter_errors(entities, entity, F.col("_filter")), none),
