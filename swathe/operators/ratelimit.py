@@ -6,9 +6,15 @@ so refilling for some milliseconds is integer arithmetic and every decision is e
 
 Decisions are sequential within an account, and one account may own a large share of all requests.
 Requests are therefore laid out in (account, time) order and cut into bounded runs. An account
-that spans several runs is solved in three steps: each run is reduced in parallel to its effect on
-an unknown starting level (a short list of pieces, see :func:`_run_effect`), the few effects of an
-account are chained to give every run its starting level, and then all runs decide in parallel.
+that spans several runs is solved in steps, all runs in parallel in each:
+
+1. Between which levels can a run end, whatever level it began with? Two numbers per run, moved from
+   request to request (:func:`_reach`). A busy bucket soon holds less than one request needs, an idle
+   one is full, so the bounds close in on each other. They bound where the next run begins.
+2. What does a run make of the levels that it may begin with? A piecewise function, with few pieces
+   because the range is narrow (:func:`_run_effect`).
+3. The functions of an account are chained, which gives every run its starting level, and all runs
+   decide.
 """
 
 from __future__ import annotations
@@ -51,20 +57,40 @@ def _decide(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: int,
     return admitted, levels
 
 
+def _reach(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: int, low: int,
+           high: int, last: int | None = None) -> tuple[int, int]:
+    """Bounds of the level after a run that begins (at ``last``, or its first request) with a level
+    from ``low`` to ``high``."""
+    for now, need, cap in zip(at.tolist(), amount.tolist(), limit.tolist()):
+        full, need = cap * period, need * period
+        if last is not None:
+            refill = min(max(now - last, 0), period) * cap
+            low, high = min(full, low + refill), min(full, high + refill)
+        last = now
+        if low >= need:
+            low, high = low - need, high - need
+        elif high >= need:  # some levels pay, down to 0, and those below the need stay
+            low, high = 0, max(need - 1, high - need)
+    return low, high
+
+
 def _run_effect(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: int,
-                pieces: tuple | None = None, last: int | None = None):
-    """Level after a run as a function of the level at its first request.
+                pieces: tuple | None = None, last: int | None = None,
+                domain: tuple[int, int] | None = None):
+    """Level after a run as a function of the level at its first request, which lies in ``domain``
+    (any level by default).
 
     The function is piecewise: on ``[start[i], start[i+1])`` it is either the constant
     ``value[i]`` or the start level plus ``value[i]`` (``moves[i]``). Every request refills (levels
     reaching the top become one constant) and then takes its amount from the levels that have it.
     Neighbouring pieces with the same effect are merged, so requests of one size need at most about
-    ``limit / size`` pieces. ``pieces`` continues an effect whose last request was at ``last``.
+    (width of the domain) / size pieces. ``pieces`` continues an effect whose last request was at ``last``.
     """
     if pieces is None:
         # First start level of each piece (the last entry ends the domain), then its constant
         # result or shift.
-        start = np.array([0, int(limit[0]) * period + 1], dtype=np.int64)
+        low, high = (0, int(limit[0]) * period) if domain is None else domain
+        start = np.array([low, high + 1], dtype=np.int64)
         value, moves = np.array([0], dtype=np.int64), np.array([True])
     else:
         start, value, moves = pieces
@@ -74,7 +100,7 @@ def _run_effect(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: i
             # Every start level has led to the same level (the bucket was full once): from here
             # on it is one ordinary bucket.
             _, levels = _decide(at[i:], amount[i:], limit[i:], period, int(value[0]), last)
-            return np.array([0, stop]), levels[-1:], moves
+            return np.array([start[0], stop]), levels[-1:], moves
         full, need = cap * period, need * period
         refill = 0 if last is None else min(max(now - last, 0), period) * cap
         last = now
@@ -159,7 +185,8 @@ def token_bucket(
         *requests.columns, F.coalesce(F.col("_need") <= 0, F.lit(False)).alias("allowed"),
         F.when(F.col("_need") <= 0, 0.0).alias("retry_after_seconds"),
         F.when(F.col("_need") <= 0, F.col("_cap").cast("double")).alias("tokens_remaining"),
-        (F.col("_need") > F.col("_cap")).alias("unsatisfiable"))
+        F.when(F.col("_cap").isNull(), F.col("_need") > 0).otherwise(
+            F.col("_need") > F.col("_cap")).alias("unsatisfiable"))
     return decided.unionByName(untouched)
 
 
@@ -198,13 +225,66 @@ def _start_levels(laid: DataFrame, account: str, period: int, levels: DataFrame
     # account per part is concerned.
     heads = laid.where(F.col(POS) == 0).select(account).distinct()
     wide = (parts.join(heads, account, "left_semi").groupBy(account)
-            .agg(F.count("*").alias("_n"), F.max(PART).alias("_last_part"))
-            .where(F.col("_n") > 1).select(account, "_last_part"))
+            .agg(F.count("*").alias("_n"), F.min(PART).alias("_first_part"),
+                 F.max(PART).alias("_last_part"))
+            .where(F.col("_n") > 1).select(account, "_first_part", "_last_part"))
     long_parts = parts.join(wide, account)
-    long_rows = (laid.join(wide, account).where(F.col(PART) < F.col("_last_part"))
-                 .select(account, PART, POS, "_ms", "_need", "_cap"))
+    full = F.col("first_cap") * period
+    begins = F.coalesce("initial", full)
+    first = F.col(PART) == F.col("_first_part")
+    unknown = long_parts.where(F.col(PART) < F.col("_last_part")).select(
+        account, PART, F.when(first, begins).otherwise(F.lit(0)).alias("_a"),
+        F.when(first, begins).otherwise(full).alias("_b"))
+    rows, kind = laid.select(account, PART, POS, "_ms", "_need", "_cap"), laid.schema[account].dataType
     key = f"`{account}` {laid.schema[account].dataType.simpleString()}"
 
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = bounds = last = None
+        for batch in batches:
+            at, need, cap = _columns(batch)
+            for lo, hi, here in _runs(batch, account):
+                if here != run:
+                    if run is not None:
+                        yield reached(run, bounds)
+                    run, last = here, None
+                    bounds = batch.column("_a")[lo].as_py(), batch.column("_b")[lo].as_py()
+                bounds = _reach(at[lo:hi], need[lo:hi], cap[lo:hi], period, *bounds, last)
+                last = int(at[hi - 1])
+        if run is not None:
+            yield reached(run, bounds)
+
+    def reached(run, bounds) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([run[1]], to_arrow_type(kind)), pa.array([run[0]], pa.int32()),
+             *(pa.array([b], pa.int64()) for b in bounds)], [account, PART, "low", "high"])
+
+    ends = _in_run_order(rows.join(unknown, [account, PART])).mapInArrow(
+        reach, f"{key}, {PART} int, low bigint, high bigint")
+
+    def narrow(runs: pa.Table) -> pa.Table:
+        # One row per run of the account: as many as the account has partitions.
+        runs = runs.sort_by(PART)
+        out, before = [], None
+        for run in runs.select(["first_ms", "last_ms", "first_cap", "initial", "low", "high"]
+                               ).to_pylist():
+            most = run["first_cap"] * period
+            if before is None:
+                level = most if run["initial"] is None else run["initial"]
+                out.append((level, level))
+            else:
+                refill = min(max(run["first_ms"] - before["last_ms"], 0), period) * run["first_cap"]
+                out.append(tuple(min(most, before[side] + refill) for side in ("low", "high")))
+            before = run
+        low, high = zip(*out)
+        return pa.table({account: runs[account], PART: runs[PART], "_a": pa.array(low, pa.int64()),
+                         "_b": pa.array(high, pa.int64())})
+
+    ranges = (long_parts.join(ends, [account, PART], "left").groupBy(account)
+              .applyInArrow(narrow, f"{key}, {PART} int, _a bigint, _b bigint"))
+    known = ranges.join(wide, account).where(F.col(PART) < F.col("_last_part")).select(
+        account, PART, "_a", "_b")
+    long_rows = rows.join(known, [account, PART])
+
     def effect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = pieces = last = None
         for batch in batches:
@@ -214,13 +294,12 @@ def _start_levels(laid: DataFrame, account: str, period: int, levels: DataFrame
                     if run is not None:
                         yield emit(run, pieces)
                     run, pieces, last = here, None, None
-                pieces = _run_effect(at[lo:hi], need[lo:hi], cap[lo:hi], period, pieces, last)
+                    domain = batch.column("_a")[lo].as_py(), batch.column("_b")[lo].as_py()
+                pieces = _run_effect(at[lo:hi], need[lo:hi], cap[lo:hi], period, pieces, last, domain)
                 last = int(at[hi - 1])
         if run is not None:
             yield emit(run, pieces)
 
-    kind = laid.schema[account].dataType
-
     def emit(run, pieces) -> pa.RecordBatch:
         columns = [pa.array([run[1]], to_arrow_type(kind)), pa.array([run[0]], pa.int32()),
                    *[pa.array([piece.tolist()]) for piece in pieces]]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -62,6 +63,36 @@ def test_pieces_stay_few_for_requests_of_one_size():
     assert len(start) <= 15
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 400), st.integers(1, 6)), min_size=1, max_size=60),
+       st.integers(6, 9), st.integers(0, 9_000), st.integers(0, 9_000))
+def test_bounds_hold_and_the_effect_on_a_range_is_exact(steps, cap, a, b):
+    low, high = sorted((min(a, cap * PERIOD), min(b, cap * PERIOD)))
+    at = np.cumsum([gap for gap, _ in steps])
+    amount, limit = np.array([a for _, a in steps]), np.full(len(steps), cap)
+    least, most = rl._reach(at, amount, limit, PERIOD, low, high)
+    start, value, moves = rl._run_effect(at, amount, limit, PERIOD, domain=(low, high))
+    assert start[0] == low and start[-1] == high + 1
+    for level in {low, high, (low + high) // 2, min(high, low + 1)}:
+        end = rl._decide(at, amount, limit, PERIOD, level)[1][-1]
+        assert least <= end <= most
+        i = int(np.searchsorted(start[:-1], level, side="right")) - 1
+        assert value[i] + (level if moves[i] else 0) == end
+
+
+def test_a_busy_bucket_with_a_high_limit_leaves_a_narrow_range():
+    """Requests for 1 at a limit of 10,000: any level would make thousands of pieces; what a busy
+    run can end with makes a handful, and work per request is a few microseconds."""
+    n, cap, period = 60_000, 10_000, rl.MINUTE_MS
+    at = np.arange(n) * 2
+    amount, limit = np.ones(n, np.int64), np.full(n, cap)
+    bounds = rl._reach(at, amount, limit, period, 0, cap * period)
+    assert bounds[1] - bounds[0] <= 2 * period
+    started = time.process_time()
+    start, _, _ = rl._run_effect(at[:5_000], amount[:5_000], limit[:5_000], period, domain=bounds)
+    assert len(start) <= 8 and time.process_time() - started < 5
+
+
 def test_hot_account_over_many_runs(many_parts):
     """One account owns most requests and spans several runs; decisions equal the plain loop."""
     rng = random.Random(11)
