@@ -9,6 +9,7 @@ from checks import (  # noqa: F401
     q_filters,
     q_histories,
     q_requests,
+    q_sinks,
     q_store,
     q_streams,
 )

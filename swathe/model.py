@@ -74,6 +74,7 @@ class FieldRule:
     maximum: float | None = None
     pattern: str | None = None
     description: str = ""
+    sample: str | None = None  # of generated rows, see swathe.sources.seeding
 
     def coerce(self, value: Any) -> Any:
         """Value as the declared type, or raise ``ValueError`` with the violated rule's name.
@@ -229,11 +230,13 @@ CONTACT = register_entity(EntitySpec(
     name="contact",
     label="Contacts",
     fields={
-        "name": FieldRule(min_length=1, max_length=255, description="Full name."),
+        "name": FieldRule(min_length=1, max_length=255, description="Full name.",
+                          sample="{given} {last}"),
         "email": FieldRule(min_length=3, max_length=320, pattern=EMAIL_PATTERN,
-                           description="Mail address; identifies duplicates."),
+                           description="Mail address; identifies duplicates.",
+                           sample="{given:lower}.{row}@{domain}"),
         "age": FieldRule("int", nullable=True, minimum=0, maximum=150),
-        "status": FieldRule(min_length=1, max_length=50),
+        "status": FieldRule(min_length=1, max_length=50, sample="{status}"),
     },
     dedup_fields=("email",),
 ))
@@ -242,12 +245,14 @@ COMPANY = register_entity(EntitySpec(
     name="company",
     label="Companies",
     fields={
-        "name": FieldRule(min_length=1, max_length=255, description="Registered name."),
+        "name": FieldRule(min_length=1, max_length=255, description="Registered name.",
+                          sample="{given} {last}"),
         "domain": FieldRule(nullable=True, min_length=3, max_length=255,
-                            description="Web domain; identifies duplicates."),
-        "industry": FieldRule(nullable=True, min_length=1, max_length=100),
+                            description="Web domain; identifies duplicates.",
+                            sample="company-{row}.{suffix}"),
+        "industry": FieldRule(nullable=True, min_length=1, max_length=100, sample="{industry}"),
         "employee_count": FieldRule("int", nullable=True, minimum=0, maximum=10_000_000),
-        "status": FieldRule(min_length=1, max_length=50),
+        "status": FieldRule(min_length=1, max_length=50, sample="{status}"),
     },
     dedup_fields=("domain",),
 ))

@@ -6,7 +6,7 @@ duplicates, audit rows, counters) is shared, so a new action is one registered f
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -45,6 +45,9 @@ class Action:
     required: tuple[str, ...] = ()
     supports: tuple[str, ...] | str = "*"
     check: Callable[[EntitySpec, Mapping[str, Any]], Mapping[str, Any]] | None = None
+    # The same check over a table of requests: (field, error) columns from the payload (a VARIANT);
+    # an error is null where there is none.
+    column_check: Callable[[Column], Sequence[tuple[str, Column]]] | None = None
     include_deleted: bool = False
     description: str = ""
 
@@ -185,7 +188,15 @@ def _check_tag(entity: EntitySpec, params: Mapping[str, Any]) -> Mapping[str, An
     return {"suffix": suffix, "column": column}
 
 
+def _tag_errors(payload: Column) -> list[tuple[str, Column]]:
+    suffix = F.try_variant_get(payload, "$.suffix", "variant")
+    text = F.when(F.schema_of_variant(suffix) == "STRING", F.try_variant_get(suffix, "$", "string"))
+    fits = F.coalesce(F.char_length(text).between(1, 20), F.lit(False))
+    return [("suffix", F.when(~fits, "length"))]
+
+
 @register_action("tag", params=("suffix", "column"), required=("suffix",), check=_check_tag,
+                 column_check=_tag_errors,
                  description="Append a suffix to the name.")
 def tag(entity: EntitySpec, params: Mapping[str, Any], df: DataFrame) -> Mutation:
     column = params["column"]

@@ -213,8 +213,11 @@ def validate_submissions(submissions: DataFrame, accounts: DataFrame) -> DataFra
         "_updates": F.try_variant_get("_p_updates", "$", "map<string,string>"),
         "_filter": F.try_variant_get("_p_filter", "$", "map<string,variant>")})
     none = F.array().cast(_ERRORS)
+    own = [F.coalesce(F.when(action == name, issues(*(
+        issue(field, error) for field, error in a.column_check(F.col("_v")))).cast(_ERRORS)), none)
+        for name, a in actions.items() if a.column_check]
     contents = F.concat(
-        F.coalesce(_filter_errors(entities, entity, F.col("_filter")), none),
+        *own, F.coalesce(_filter_errors(entities, entity, F.col("_filter")), none),
         F.coalesce(F.when(action == "update", _update_errors(
             entities, entity, F.col("_updates"))), none))
     return checked.select(*submissions.columns, F.when(F.size("_errors") > 0, F.col("_errors"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swathe.model import EntitySpec, FieldRule
+from swathe.model import NUMERIC_TYPES, EntitySpec, FieldRule
 
 # --- The vocabulary of generated rows --------------------------------------------------------
 FIRST_NAMES = ("Amber", "Basil", "Coral", "Dusty", "Ebony", "Flint", "Ginger", "Hazel", "Ivory",
@@ -35,27 +36,37 @@ def pick(values: tuple[str, ...], index: Column, salt: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), at)
 
 
+# What a declaration's ``sample`` may name in braces, besides ``row``.
+WORDS = {"given": FIRST_NAMES, "last": LAST_NAMES, "status": STATUSES, "industry": INDUSTRIES,
+         "domain": MAIL_DOMAINS, "suffix": COMPANY_SUFFIXES}
+
+
+def filled(sample: str, index: Column, salt: str) -> Column:
+    """A text pattern for one row: ``{row}`` is the row's number, ``{list}`` a word drawn from
+    ``WORDS``, ``{list:lower}`` that in lower case; all else stands as it is. The first draw uses
+    ``salt`` itself, later ones also the list's name, so that draws are independent."""
+    parts, drawn = [], 0
+    for number, piece in enumerate(re.split(r"\{(.*?)\}", sample)):
+        if number % 2 == 0:
+            parts.append(F.lit(piece))
+        elif piece == "row":
+            parts.append(index.cast("string"))
+        else:
+            words, _, form = piece.partition(":")
+            word = pick(WORDS[words], index, f"{salt}:{words}" if drawn else salt)
+            parts.append(F.lower(word) if form == "lower" else word)
+            drawn += 1
+    return F.concat(*parts)
+
+
 def seed_value(name: str, rule: FieldRule, index: Column, seed: int) -> Column:
-    """Plausible value of a field: by its name, else by its type."""
-    text = index.cast("string")
+    """A value as the field's declaration describes it: ``sample`` is a text pattern, or for a
+    number its range. Without one, texts are numbered and numbers come from ``INT_RANGE``."""
     salt = f"{seed}:{name}"
-    if name == "email":
-        return F.concat(F.lower(pick(FIRST_NAMES, index, salt)), F.lit("."), text, F.lit("@"),
-                        pick(MAIL_DOMAINS, index, f"{salt}:domain"))
-    if name == "domain":
-        return F.concat(F.lit("company-"), text, F.lit("."),
-                        pick(COMPANY_SUFFIXES, index, salt))
-    if name == "name":
-        return F.concat(pick(FIRST_NAMES, index, salt), F.lit(" "),
-                        pick(LAST_NAMES, index, f"{salt}:last"))
-    if name == "status":
-        return pick(STATUSES, index, salt)
-    if name == "industry":
-        return pick(INDUSTRIES, index, salt)
-    if rule.type in ("int", "bigint"):
-        low, high = INT_RANGE
-        return (draw(index, salt) % (high - low + 1) + low).cast(rule.type)
-    return F.concat(F.lit(f"{name}-"), text)
+    if rule.type in NUMERIC_TYPES:
+        low, high = map(int, rule.sample.split("..")) if rule.sample else INT_RANGE
+        return (low + draw(index, salt) % (high - low + 1)).cast(rule.type)
+    return filled(rule.sample or f"{name}-{{row}}", index, salt)
 
 
 def seed_rows(spine: DataFrame, entity: EntitySpec, account: Any, as_of: Any,

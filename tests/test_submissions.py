@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from swathe.operators.submissions import accept_submissions, error_text, validate_submissions
 from tests.models import sequential_bucket
 
@@ -89,3 +91,26 @@ def test_validation_names_every_problem(spark):
     df = validate_submissions(frame(spark, [c for c, _ in cases]), accounts(spark))
     got = {r.id: r.e for r in df.select("id", error_text().alias("e")).collect()}
     assert got == {c[0]: e for c, e in cases}
+
+
+def test_an_actions_own_check_runs_over_a_table(spark, monkeypatch):
+    """What an action says about its payload becomes an error of the request."""
+    from swathe.operators import actions, submissions
+
+    def errors(payload):
+        level = F.try_variant_get(payload, "$.level", "int")
+        return [("level", F.when(~F.coalesce(level.between(1, 9), F.lit(False)), "not_1_to_9"))]
+
+    grade = actions.Action("grade", lambda *_: None, params=("level",), column_check=errors)
+    monkeypatch.setitem(actions._actions, "grade", grade)
+    rows = [(i, "contact", "grade", p, 1, 10, None, None, None) for i, p in enumerate(
+        ['{"filter":{},"level":3}', '{"filter":{},"level":12}', '{"filter":{}}', '{"level":3}'])]
+    rows.append((9, "contact", "tag", '{"filter":{},"suffix":7}', 1, 10, None, None, None))
+    asked = spark.createDataFrame(rows, "id int, entity_type string, action_type string, payload string, "
+                                  "account_id int, batch_size int, idempotency_key string, "
+                                  "scheduled_at timestamp, created_at timestamp")
+    known = spark.createDataFrame([(1,)], "account_id int")
+    found = {r.id: [(e.field, e.error) for e in r.errors]
+             for r in submissions.validate_submissions(asked, known).collect()}
+    assert found == {0: [], 1: [("level", "not_1_to_9")], 2: [("level", "not_1_to_9")],
+                     3: [("filter", "no_target_set")], 9: [("suffix", "length")]}
