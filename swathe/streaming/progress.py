@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from swathe.functions.measures import progress_percent
 from swathe.model import TERMINAL_STATUSES
 from swathe.operators.accounting import outcome_counts
+from swathe.sources.keyed import KeyedState
 
 
 def outcome_stream(spark: SparkSession, path: str, schema: StructType,
@@ -40,13 +41,15 @@ def progress_stream(outcomes: DataFrame, totals: DataFrame) -> DataFrame:
 
 def start_progress(progress: DataFrame, path: str, checkpoint: str, once: bool = False
                    ) -> StreamingQuery:
-    """Publish progress: every trigger replaces ``path/frame=<n>`` with the actions that changed.
+    """Publish progress: every trigger writes a frame of the actions that changed.
 
-    The folder is named after the trigger, so a trigger that is repeated after a failure rewrites
-    its own frame.
+    Frames are runs of a :class:`swathe.sources.keyed.KeyedState`: a repeated trigger replaces its
+    own, and older ones are merged, so what a reader has to look at does not grow with the triggers.
     """
     def publish(frame: DataFrame, trigger: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{path}/frame={trigger}")
+        frames = KeyedState(frame.sparkSession, path, ["action_id"], version="frame")
+        frames.compact(trigger)
+        frames.write(trigger, frame)
 
     writer = (progress.writeStream.outputMode("update").foreachBatch(publish)
               .option("checkpointLocation", checkpoint))
@@ -55,6 +58,6 @@ def start_progress(progress: DataFrame, path: str, checkpoint: str, once: bool =
 
 def latest_progress(frames: DataFrame) -> DataFrame:
     """Newest published state per action, from the frames written by :func:`start_progress`."""
-    columns = [c for c in frames.columns if c not in ("action_id", "frame")]
+    columns = [c for c in frames.columns if c not in ("action_id", "frame", "run", "bucket")]
     newest = frames.groupBy("action_id").agg(F.max_by(F.struct(*columns), "frame").alias("_f"))
     return newest.select("action_id", "_f.*")
