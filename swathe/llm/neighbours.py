@@ -25,6 +25,7 @@ from swathe.sources.staging import stage
 SAMPLE = 8_192          # rows that partitions and classifier are fitted on, at most
 PER_PARTITION = 2_048   # rows that a partition is meant to hold
 MOST_PARTITIONS = 256
+LEAST_PARTITIONS = 4    # of a table with enough different rows
 VECTORS, QUERIES = 4_096, 1_024  # rows of a block
 
 
@@ -149,7 +150,8 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE, key: str = "vec_id",
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95,
+            sample: int = SAMPLE, least_parts: int = LEAST_PARTITIONS, key: str = "vec_id",
             vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), ``key``, score of the ``k`` found candidates of largest inner
     product per query; ties go to the smaller key. A query's own key is no candidate.
@@ -162,7 +164,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     keys. Repeated keys are candidates of their own, repeated queries have one answer. Other
     columns are not read; empty tables give no rows.
 
-    Fitted on at most ``sample`` rows, chosen by hash; the index holds every row. The driver holds
+    Small tables are cut into ``least_parts`` partitions, unless there are fewer than 32 different
+    rows for each. Fitted on at most ``sample`` rows, chosen by hash; the index holds every row. The driver holds
     the sample, the classifier and one count per partition.
     """
     spark = vectors.sparkSession
@@ -183,7 +186,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         return spark.createDataFrame([], schema)
     x = np.unique(np.array([r["v"] for r in chosen]), axis=0)  # copies would only crowd the graph
     norm = float(np.linalg.norm(x, axis=1).mean())
-    parts = int(min(MOST_PARTITIONS, max(1, total // PER_PARTITION), max(1, len(x) // 32)))
+    parts = int(min(MOST_PARTITIONS, max(least_parts, total // PER_PARTITION),
+                    max(1, len(x) // 32)))
     if parts > 1:
         held_out = np.arange(len(x)) % 5 == 0  # x is in order of value, so this is no draw of copies
         fitted = x[~held_out]
