@@ -9,11 +9,12 @@ import random
 import numpy as np
 import pytest
 
-from swathe.llm import chat
+from swathe.llm import chat, neighbours
 from swathe.llm.neighbours import nearest
 from swathe.llm.tasks import filesystem
 from swathe.llm.warc import normalise_archives, read_records, write_archives
 from swathe.sources.staging import staging_path
+from tests.conftest import SF
 
 PAGES = [(1, "http://a/", "x" * 100, 0), (2, None, "x" * 100, 0), (3, "http://b/ c\r\nd", "x" * 99, 0),
          (4, "http://c/", "x" * 99, 0), (5, "é", "é" * 50, 0), (6, "u", "é" * 50, 0), (7, "u", None, 0),
@@ -150,7 +151,7 @@ def test_templates_that_rewrite_history_are_found(chats):
 
     rows = chat.format_chats(chats.where("conv_id = 1"), last_only).orderBy("position").collect()
     assert [r.status for r in rows[:4]] == ["appended", "appended", "rewritten", "appended"]
-    rows = chat.format_chats(chats.where("conv_id = 1"), counting).orderBy("position").collect()
+    rows = chat.format_chats(chats.where("conv_id = 1"), counting, chat.BLOCK).orderBy("position").collect()
     assert {r.status for r in rows[:chat.BLOCK]} == {"appended"}
     assert rows[chat.BLOCK].status == "far"
 
@@ -173,7 +174,7 @@ def numbered(turns):
 @pytest.mark.parametrize("n", [50, 64, 200])
 def test_long_conversations_equal_full_prefixes(chats, template, first, status, n):
     some = chats.where(f"conv_id = 1 AND turn < {n} OR conv_id = 2")
-    rows = chat.format_chats(some, template).orderBy("position").collect()
+    rows = chat.format_chats(some, template, chat.BLOCK).orderBy("position").collect()
     own = [r for r in rows if r.conv_id == 1]
     turns = [(c[2], c[3]) for c in CHATS if c[0] == 1][:n]
     out = ""
@@ -186,6 +187,32 @@ def test_long_conversations_equal_full_prefixes(chats, template, first, status,
     assert len(own) == n and len(rows) == n + 4
 
 
+def blinking(turns):  # says something of turn 1 at a few lengths only, between any comparisons
+    return "".join(f"<{'odd' if i == 0 and len(turns) in (70, 71) else r}>{t}|"
+                   for i, (r, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize("template", [last_forty, late_rewrite, numbered, blinking])
+def test_whole_prefixes_are_the_default(chats, template):
+    rows = chat.format_chats(chats.where("conv_id = 1 AND turn < 90"), template).orderBy("position").collect()
+    turns = [(c[2], c[3]) for c in CHATS if c[0] == 1][:90]
+    out, before = "", ""
+    for i, r in enumerate(rows, 1):
+        now = template(turns[:i])
+        out = out[:r.start] + r.rendered
+        assert out == now and r.status == ("appended" if now.startswith(before) else "rewritten")
+        before = now
+
+
+def test_a_template_that_is_not_local_is_refused(chats):
+    def late(turns):
+        return "".join(f"{'' if len(turns) > 40 and i == 0 else r}:{t}\n" for i, (r, t) in enumerate(turns))
+
+    late.local = True
+    with pytest.raises(Exception, match="declared local"):
+        chat.format_chats(chats.where("conv_id = 1"), late).count()
+
+
 def vectors(n, hot=0, seed=0):
     draw = np.random.default_rng(seed)
     centres = draw.standard_normal((12, 16))
@@ -211,7 +238,7 @@ def test_few_vectors_are_searched_whole(spark):
            (1_003, [float("inf")] * 16, "e"), (1_004, [1.0] * 3, "e"), (None, x[3].tolist(), "e"),
            (1_005, [None] + [1.0] * 15, "e"), (1_006, [], "e")]
     df = frame(spark, x, odd)
-    rows = nearest(df, df.where("vec_id % 20 = 0 OR vec_id > 999")).collect()
+    rows = nearest(df, df.where("vec_id % 20 = 0 OR vec_id > 999"), least_parts=1).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -227,6 +254,22 @@ def test_fewer_candidates_than_asked_for(spark):
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
 
 
+def test_given_vectors_go_through_learned_partitions(spark, monkeypatch):
+    cut, plain = [], neighbours.balanced_parts
+    monkeypatch.setattr(neighbours, "balanced_parts", lambda x, graph, parts: (
+        cut.append(parts), plain(x, graph, parts))[1])
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    found = {}
+    for r in nearest(df, df.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = sorted((r.vec_id, r.embedding) for r in df.collect())
+    x, hits = np.array([v for _, v in rows], float), 0
+    assert cut == [4] and [i for i, _ in rows] == list(range(len(x)))
+    for q, got in found.items():
+        hits += len(got & {i for i, _ in brute_force(x, q, 20)})
+    assert len(found) == len(x) // 20 and hits >= 0.9 * 20 * len(found)
+
+
 def test_recall_of_learned_partitions(spark):
     x = vectors(12_000, hot=4_500)
     df = frame(spark, x)
