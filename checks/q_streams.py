@@ -15,7 +15,7 @@ from checks.fixtures import (
     submissions,
     table,
 )
-from checks.q_admission import DAY_MS, DECISION, EVENT_BUCKET_SQL, decisions
+from checks.q_admission import DAY_MS, DECISION, EVENT_BUCKET_SQL, bucket_sql, decisions
 from checks.registry import query
 from swathe.operators.many import outcome_counts, overlay
 from swathe.sources.staging import staging_path
@@ -94,15 +94,38 @@ def stream_idempotent(spark, sf):
     return drain(spark, firsts, "idempotent").select("id", "account_id", "idempotency_key")
 
 
-@query("stream_late_requests", "SELECT event_id, true AS allowed FROM events")
-def stream_late_requests(spark, sf):
-    """Every request gets its decision, though half of them are months behind."""
-    rows = _utc(table(spark, sf, "events").select("event_id", "user_id", "ts"), "ts").withColumns(
+# Half of the requests come ninety days late. A bucket's time is the newest that it has seen.
+_LATE_MS = "epoch_us(ts) // 1000 - CASE WHEN event_id % 2 = 0 THEN 0 ELSE 7776000000 END"
+_SLICE = f"""(event_id - (SELECT min(event_id) FROM events))
+    // ((SELECT max(event_id) - min(event_id) FROM events) // {SLICES} + 1)"""
+_LATE_SQL = f"""(SELECT *, max(late_ms) OVER (PARTITION BY user_id ORDER BY slice, late_ms, event_id
+      ROWS UNBOUNDED PRECEDING) AS ms, 1 AS amount, 2 AS cap
+    FROM (SELECT event_id, user_id, {_LATE_MS} AS late_ms, {_SLICE} AS slice FROM events))"""
+LATE_BUCKET_SQL = bucket_sql(_LATE_SQL, "user_id", "slice, late_ms, event_id", "event_id", DAY_MS)
+
+
+def _late(spark, sf):
+    return _utc(table(spark, sf, "events").select("event_id", "user_id", "ts"), "ts").withColumns(
         {"ts": F.expr("if(event_id % 2 = 0, ts, ts - INTERVAL 90 DAYS)"),
-         "amount": F.lit(1), "cap": F.lit(1_000_000)})
-    decided = admission.token_bucket_stream(feed(rows, "event_id", "late"), "user_id",
+         "amount": F.lit(1), "cap": F.lit(2)})
+
+
+@query("stream_late_requests", f"SELECT {DECISION} FROM {LATE_BUCKET_SQL}")
+def stream_late_requests(spark, sf):
+    """Late requests meet their bucket as it is; they neither refill it nor turn its time back."""
+    decided = admission.token_bucket_stream(feed(_late(spark, sf), "event_id", "late"), "user_id",
                                             ["event_id"], "ts", "amount", "cap", DAY_MS)
-    return drain(spark, decided, "late").select("event_id", "allowed")
+    return decisions(drain(spark, decided, "late"))
+
+
+@query("stream_late_steps", f"SELECT {DECISION} FROM {LATE_BUCKET_SQL}")
+def stream_late_steps(spark, sf):
+    """The same by the parallel form, whose levels outlive idle months."""
+    out, state = staging_path(spark, "late"), staging_path(spark, "late-levels")
+    step = admission.bucket_step("user_id", ["event_id"], "ts", "amount", "cap", out, state, DAY_MS)
+    apply.start(feed(_late(spark, sf), "event_id", "late-steps"), step,
+                staging_path(spark, "offsets-late"), once=True).awaitTermination()
+    return decisions(spark.read.parquet(out))
 
 
 @query("stream_limits_join", f"""

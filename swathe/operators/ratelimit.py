@@ -48,7 +48,7 @@ def _decide(at: np.ndarray, amount: np.ndarray, limit: np.ndarray, period: int,
             level = full
         elapsed = 0 if last is None else min(max(now - last, 0), period)
         level = min(full, level + elapsed * cap)
-        last = now
+        last = now if last is None else max(last, now)  # time never runs backwards
         need *= period
         admitted[i] = level >= need
         if admitted[i]:
@@ -143,7 +143,8 @@ def token_bucket(
     ``order_by`` fixes the request order within an account (``at``, then an id). Requests for
     nothing are always admitted and requests above the limit never; neither touches the bucket.
     ``levels`` continues buckets of earlier requests (see :func:`bucket_levels`); an account
-    without a row there starts with a full bucket.
+    without a row there starts with a full bucket. A request from before the time of its bucket's
+    level counts as of that time.
     """
     for reserved in ("_ms", "_need", "_cap"):
         if reserved in requests.columns:
@@ -151,6 +152,10 @@ def token_bucket(
     prepared = requests.withColumns({
         "_ms": F.unix_millis(F.col(at).cast("timestamp")),
         "_need": F.col(amount).cast("bigint"), "_cap": F.col(limit).cast("bigint")})
+    if levels is not None:
+        held = levels.select(F.col(account).alias("_owner"), F.col("level_ms").alias("_since"))
+        prepared = prepared.join(held, F.col(account) == F.col("_owner"), "left").withColumn(
+            "_ms", F.greatest("_ms", "_since")).drop("_owner", "_since")
     counted = (F.col("_need") > 0) & (F.col("_need") <= F.col("_cap"))
     laid = ordered_layout(prepared.where(counted), [account, *order_by], "bucket")
 

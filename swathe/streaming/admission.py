@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from swathe.model import IDLE_STATE_GRACE_MS
 from swathe.operators.ratelimit import MINUTE_MS, _decide, bucket_levels, token_bucket
+from swathe.sources.keyed import KeyedState
 from swathe.sources.staging import stage
-from swathe.streaming.apply import earlier
 
 
 def limits_join(requests: DataFrame, accounts: DataFrame, account: str = "account_id",
@@ -29,8 +28,8 @@ def token_bucket_stream(requests: DataFrame, account: str, ids: Sequence[str], a
 
     Every request gets a decision, however late it comes: time never runs backwards in a bucket,
     so a late one adds no tokens. State per account is the bucket's level and time, a row that is
-    kept for good: requests may come late by any time. (:func:`bucket_step` forgets idle buckets.)
-    A request without a limit (unknown account) is ``unsatisfiable``. Rows are decided in ``(at, *ids)`` order within a trigger and in arrival
+    kept for good: requests may come late by any time. A request without a limit (unknown account)
+    is ``unsatisfiable``. Rows are decided in ``(at, *ids)`` order within a trigger and in arrival
     order between triggers; a trigger's size (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``)
     bounds the rows of one account held at a time.
     """
@@ -77,25 +76,27 @@ def bucket_step(account: str, ids: Sequence[str], at: str, amount: str, limit: s
                 state: str, period_ms: int = MINUTE_MS) -> Callable[[DataFrame, int], None]:
     """Trigger function deciding requests with the parallel batch form of the bucket.
 
-    The same decisions as :func:`token_bucket_stream`, for streams in which one account may send
-    more per trigger than one task should hold. Levels are kept below ``state``, one folder per
-    trigger (the newest counts; older ones may be removed), decisions below ``out``. Buckets left
-    alone until they are full again are dropped from the state.
+    The same decisions as :func:`token_bucket_stream`, late requests included, for streams in
+    which one account may send more per trigger than one task should hold. Levels are kept for good
+    below ``state`` as :class:`swathe.sources.keyed.KeyedState`, of which a trigger opens the buckets
+    of its own accounts; decisions go below ``out``.
     """
     order = [at, *ids]
 
     def run(requests: DataFrame, trigger: int) -> None:
-        before = earlier(requests.sparkSession, state, trigger, newest_only=True)
+        held = KeyedState(requests.sparkSession, state, [account])
+        held.compact(trigger)
+        before = held.lookup(requests.select(account), trigger)
+        if before is not None:
+            before = stage(before.select(account, "level", "level_ms"), "levels")
         decided = stage(token_bucket(requests, account, order, at, amount, limit, period_ms,
                                      before), "decided")
         now = bucket_levels(decided, account, order, at, amount, period_ms)
-        if before is not None:
-            newest = now.agg(F.max("level_ms")).scalar()
-            idle = before.drop("batch").join(now, account, "left_anti").where(
-                F.col("level_ms") + period_ms + IDLE_STATE_GRACE_MS
-                >= F.coalesce(newest, F.col("level_ms")))
-            now = now.unionByName(idle)
-        now.write.mode("overwrite").parquet(f"{state}/batch={trigger}")
+        if before is not None:  # a late request does not turn the bucket's time back
+            since = before.select(F.col(account).alias("_owner"), F.col("level_ms").alias("_since"))
+            now = now.join(since, F.col(account) == F.col("_owner"), "left").select(
+                account, "level", F.greatest("level_ms", "_since").alias("level_ms"))
+        held.write(trigger, now)
         decided.write.mode("overwrite").parquet(f"{out}/batch={trigger}")
     return run
 
