@@ -195,32 +195,29 @@ class Order:
 
 
 FRAGMENTS = (9, 17, 33, 256)  # upper levels of the order's fragments; each is cut in two by hash
-_SIGNATURE_BITS = 4096        # of the largest sets; about one per element below
+_SIGNATURE_BITS = 512         # of the largest sets; about one per element below
 
 
-def signature(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity of the set's hashes by slot, as 64-bit words, and the same for half as many slots.
+def signature(grams: np.ndarray) -> np.ndarray:
+    """Parity of the set's hashes by slot, as 64-bit words.
 
-    Two signatures of one length differ in no more places than the sets have elements of their own.
+    Two signatures of one length differ in no more places than the sets have elements of their
+    own. The halves of a signature combined by xor are the one for half as many slots.
     """
     slots = 64
     while slots < min(len(grams), _SIGNATURE_BITS):
         slots *= 2
-
-    def parity(slots: int) -> np.ndarray:
-        odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
-        return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-    return parity(slots), parity(max(64, slots // 2))
+    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def rare_ends(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
     """Staged rows of three kinds, for sets with an n-gram in their prefix that may occur in others:
     (cid, gram, size, pos) per such n-gram, (cid, fragment, grams) per fragment of the global order,
-    (cid, sig, low). cid is the set's digest; n-grams that occur once are left out, as they overlap
+    (cid, sig). cid is the set's digest; n-grams that occur once are left out, as they overlap
     with nothing. Sets that a task sees twice are given once."""
     uppers = np.array(FRAGMENTS)
-    names = ["cid", "gram", "size", "pos", "fragment", "grams", "sig", "low"]
+    names = ["cid", "gram", "size", "pos", "fragment", "grams", "sig"]
 
     def lists(arrays: list[np.ndarray], rows: int, before: int) -> pa.Array:
         """``arrays`` as the rows from ``before`` on, nulls elsewhere."""
@@ -237,7 +234,7 @@ def rare_ends(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
         seen: set[bytes] = set()
         for batch in slices(batches, "text"):
             own, grams, sizes, places = [], [], [], []
-            cut, numbers, parts, signed, sigs, lows = [], [], [], [], [], []
+            cut, numbers, parts, signed, sigs = [], [], [], [], []
             for s in gram_sets(texts_of(batch.column("text")), n):
                 digest = digest_of(s)
                 if not len(s) or digest in seen:
@@ -260,9 +257,7 @@ def rare_ends(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                     numbers.append(f)
                     parts.append(np.sort(ordered[place == f].view(np.int64)))
                 signed.append(digest)
-                sig, low = signature(s)
-                sigs.append(sig)
-                lows.append(low)
+                sigs.append(signature(s))
             if own:
                 a, b, rows = len(own), len(own) + len(cut), len(own) + len(cut) + len(signed)
                 yield pa.RecordBatch.from_arrays([
@@ -271,11 +266,11 @@ def rare_ends(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                     pa.array(sizes + [None] * (rows - a), pa.int32()),
                     pa.array(places + [None] * (rows - a), pa.int32()),
                     pa.array([None] * a + numbers + [None] * (rows - b), pa.int32()),
-                    lists(parts, rows, a), lists(sigs, rows, b), lists(lows, rows, b)], names)
+                    lists(parts, rows, a), lists(sigs, rows, b)], names)
 
     return stage(docs.select("text").mapInArrow(
         look, "cid binary, gram long, size int, pos int, fragment int, grams array<long>, "
-              "sig array<long>, low array<long>"), "rare-ends")
+              "sig array<long>"), "rare-ends")
 
 
 def _needed(n: Column, m: Column, percent: int) -> Column:
@@ -291,11 +286,16 @@ def _may_link(percent: int) -> Column:
 
 def _may_overlap(percent: int) -> Column:
     """Whether the signatures leave room for the overlap of a link."""
-    def like(own: str, other: str, low: str) -> Column:
-        return F.when(F.size(own) > F.size(other), F.col(low)).otherwise(F.col(own))
-
+    def like(own: str, other: str) -> Column:
+        half = F.size(own) / 2
+        folded = F.zip_with(F.slice(own, F.lit(1), half.cast("int")),
+                            F.slice(own, (half + 1).cast("int"), half.cast("int")),
+                            lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > F.size(other), folded).otherwise(F.col(own))
+
+    # Sizes that may link are less than a factor of two apart, so one folding is enough.
     differing = F.aggregate(
-        F.zip_with(like("sig", "sig2", "low"), like("sig2", "sig", "low2"),
+        F.zip_with(like("sig", "sig2"), like("sig2", "sig"),
                    lambda x, y: F.bit_count(x.bitwiseXOR(y))),
         F.lit(0), lambda total, count: total + count)
     n, m = F.col("size"), F.col("size2")
@@ -355,7 +355,7 @@ def cross_pairs(shared: DataFrame, known: DataFrame, signatures: DataFrame, perc
     partners = open_rows.select(
         F.col("gram").alias("gram2"), F.col("cid").alias("cid2"), F.col("size").alias("size2"),
         F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), F.col("major").alias("major2"),
-        F.col("sig").alias("sig2"), F.col("low").alias("low2"), size_class(F.col("size")).alias("_class2"))
+        F.col("sig").alias("sig2"), size_class(F.col("size")).alias("_class2"))
     # Two seekers meet from both sides; one of the two is enough.
     once = (F.col("comp2") == F.col("major2")) | (F.col("cid") < F.col("cid2")) | ~(
         F.floor((F.col("size2") - F.col("pos2")) * (100 + percent) / float(percent)
@@ -399,7 +399,7 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str =
                       .select("cid", "fragment", "grams").dropDuplicates(["cid", "fragment"]),
                       "fragments")
     signatures = stage(ends.where("sig IS NOT NULL").join(wanted, "cid", "left_semi")
-                       .select("cid", "sig", "low").dropDuplicates(["cid"]), "signatures")
+                       .select("cid", "sig").dropDuplicates(["cid"]), "signatures")
     release(ends)
 
     first = stage(star_pairs(shared, percent), "star-pairs")
