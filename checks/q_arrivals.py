@@ -143,7 +143,7 @@ def stream_actions(spark, sf):
            deleted_at, updated_at FROM r8 WHERE NOT gone""")
 def stream_actions_table(spark, sf):
     _, state = _run(spark, sf)
-    changes = apply.earlier(spark, state, newest_only=True).drop("batch")
+    changes = apply.arrivals_changes(spark, state, ORDERS)
     return with_changes(orders(spark, sf), ORDERS, changes).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority", "deleted_at", "updated_at")

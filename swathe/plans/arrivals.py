@@ -53,15 +53,16 @@ RUN = 500  # requests of one account that a row may meet in a round
 class Arrivals:
     """What a table of submissions did.
 
-    ``changes`` has the key, the account, ``_gone`` and all columns of every row that some request
-    changed; :func:`with_changes` lays it over the table. ``rejected`` has the requests that
-    were not run, with their errors.
+    ``touched`` has all columns and ``_gone`` of every row that some request changed; ``changes``
+    has these and the earlier changes that were given, and :func:`with_changes` lays it over the
+    table. ``rejected`` has the requests that were not run, with their errors.
     """
 
     outcomes: DataFrame
     batches: DataFrame
     stats: DataFrame
     changes: DataFrame
+    touched: DataFrame
     claims: DataFrame
     rejected: DataFrame
 
@@ -341,14 +342,14 @@ def run_arrivals(table: DataFrame, entity: EntitySpec, submissions: DataFrame,
     kind = schema[entity.pk].dataType.simpleString()
     asked = _asked_ids(compiled)
     rounds = compiled.agg(F.max("round")).first()[0]
-    met, now = [], changes
+    met, own = [], None
     for number in range(0 if rounds is None else rounds + 1):
         requests = compiled.where(F.col("round") == number)
         accounts = _by_account(requests, entity, schema)
         named = (asked.where(F.col("round") == number).groupBy("account", "_pk").agg(
             F.collect_list("place").alias("_named")))
         ours = requests.select(F.col("account").alias(entity.account)).distinct()
-        rows = with_changes(table, entity, now).join(ours, entity.account, "left_semi")
+        rows = with_changes(table, entity, _over(changes, own, entity.pk)).join(ours, entity.account, "left_semi")
         rows = rows.join(named.select(F.col("account").alias("_a"), "_pk", "_named"),
                          (F.col("_a") == F.col(entity.account)) & (F.col("_pk") == F.col(entity.pk)),
                          "left")
@@ -362,15 +363,21 @@ def run_arrivals(table: DataFrame, entity: EntitySpec, submissions: DataFrame,
         met.append(last.where(F.col("no").isNotNull()).select(
             "account", "_pk", "no", "class", "dedup_key"))
         touched = last.where("changed").select("_row.*", F.col("gone").alias("_gone"))
-        if now is not None:
-            touched = touched.unionByName(now.join(touched, entity.pk, "left_anti"))
-        now = stage(touched.select(*columns, "_gone"), "changes")
+        own = stage(_over(own, touched.select(*columns, "_gone"), entity.pk), "changes")
     if not met:
         met = [_nothing(table, entity)]
-    if now is None:
-        now = table.where("false").withColumn("_gone", F.lit(False))
+    if own is None:
+        own = table.where("false").withColumn("_gone", F.lit(False))
     hits = stage(reduce(DataFrame.unionByName, met), "hits")
-    return _accounts_of(hits, compiled, asked, entity, kind, now, rejected)
+    return _accounts_of(hits, compiled, asked, entity, kind,
+                        (_over(changes, own, entity.pk), own), rejected)
+
+
+def _over(before: DataFrame | None, after: DataFrame | None, pk: str) -> DataFrame | None:
+    """Changed rows after later changes."""
+    if before is None or after is None:
+        return before if after is None else after
+    return after.unionByName(before.join(after, pk, "left_anti"))
 
 
 def _nothing(table: DataFrame, entity: EntitySpec) -> DataFrame:
@@ -431,7 +438,7 @@ def _deduplicate(folded: DataFrame, entity: EntitySpec, schema: T.StructType, re
 # --- audit rows, batches, statistics --------------------------------------------------------
 
 def _accounts_of(hits: DataFrame, requests: DataFrame, asked: DataFrame, entity: EntitySpec,
-                 kind: str, changes: DataFrame, rejected: DataFrame) -> Arrivals:
+                 kind: str, changes: tuple[DataFrame, DataFrame], rejected: DataFrame) -> Arrivals:
     named = asked.select("no", "_pk", "batch_index")
     by_ids = hits.join(named, ["no", "_pk"])
     by_filter = rank_within(
@@ -491,7 +498,7 @@ def _accounts_of(hits: DataFrame, requests: DataFrame, asked: DataFrame, entity:
              .withColumnRenamed("action_id", "no").join(number, "no").drop("no"))
     claims = rows.where((F.col("class") != "duplicate") & F.col("dedup_key").isNotNull()).select(
         *owner, "dedup_key", F.col("_pk").alias("winner_pk"))
-    return Arrivals(outcomes, batches, stats, changes, claims, rejected)
+    return Arrivals(outcomes, batches, stats, *changes, claims, rejected)
 
 
 def with_changes(table: DataFrame, entity: EntitySpec, changes: DataFrame | None) -> DataFrame:

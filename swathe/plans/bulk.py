@@ -234,6 +234,17 @@ class ActionResult:
         return mutate_keys(self._source, self._entity, self._mutation, self._applied_keys,
                            self._spec.account, self._as_of)
 
+    @property
+    def changed(self) -> Column | DataFrame:
+        """The rows that change: a predicate over the table, or their keys."""
+        return self._chosen if self._row_local else self._applied_keys
+
+    def rewrite(self, rows: DataFrame) -> DataFrame:
+        """Any part of the table as it is afterwards."""
+        if self._row_local:
+            return mutate(rows, self._entity, self._mutation, self._chosen, self._as_of)
+        return account_slice(rows, self._entity, self._mutation, self._applied_keys, self._as_of)
+
     @cached_property
     def account_rows(self) -> DataFrame:
         ours = self._source.where(

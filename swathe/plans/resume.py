@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from swathe.model import ActionSpec, ConflictError, EntitySpec
 from swathe.operators.accounting import action_counters, action_stats, reason_breakdown
 from swathe.operators.batching import plan_batches
-from swathe.operators.mutate import account_slice
 from swathe.operators.ratelimit import bucket_levels, deferrals, token_bucket
 from swathe.operators.targets import select_targets
 from swathe.functions.measures import batch_size_of
@@ -142,12 +141,7 @@ def advance(store: Store, entity: EntitySpec, spec: ActionSpec, at: Any, *,
             "levels": levels.withColumn("version", F.lit(base + 1))}
         if go.ledger is not None:
             parts["ledger"] = go.ledger
-        keys = stage(go.classified.where("action_class = 'applied'").select(entity.pk), "applied")
-
-        def rewritten(rows: DataFrame, go=go, keys=keys) -> DataFrame:
-            return account_slice(rows, entity, go._mutation, keys, at)
-
-        number = store.change(keys, rewritten, parts, {
+        number = store.change(go.changed, go.rewrite, parts, {
             "action": spec.action_id, "account": str(spec.account)}, base)
         go.release()
         if number is not None:

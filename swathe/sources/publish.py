@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathe.plans.bulk import ActionResult, numbered_outcomes
+from swathe.sources.store import Store
 from swathe.sources.tables import latest_version, path_exists, replace_outcomes, write_version
 
 
@@ -28,6 +32,20 @@ def publish(result: ActionResult, root: str, version: int) -> None:
     result.release()
 
 
+def commit(result: ActionResult, store: Store, base: int, note: Mapping[str, Any] | None = None
+           ) -> int | None:
+    """As :func:`publish` for a store, of whose version ``base`` the result was made: only files
+    with a changed row are written, and table, audit rows, batches, statistics and claimed keys
+    become visible together. None if another commit came first; run the action again then."""
+    parts = {"outcomes": numbered_outcomes(result.outcomes), "batches": result.batches,
+             "stats": result.stats}
+    if result.ledger is not None:
+        parts["ledger"] = result.ledger
+    number = store.change(result.changed, result.rewrite, parts, note, base)
+    result.release()
+    return number
+
+
 def claimed_before(spark, root: str) -> DataFrame | None:
     """Ledger of earlier runs, to be given to :func:`swathe.plans.bulk.run_action`."""
     path = f"{root}/ledger"

@@ -101,7 +101,7 @@ def test_together_equals_one_by_one(spark, tmp_path):
     for trigger in (0, 1, 1, 2):
         step(submitted(spark, requests[5 * trigger:5 * trigger + 5]), trigger)
     assert bag(spark.read.parquet(f"{out}/outcomes"), OUTCOME) == sorted(outcomes, key=str)
-    changes = apply.earlier(spark, state, newest_only=True).drop("batch")
+    changes = apply.arrivals_changes(spark, state, ORDERS)
     assert bag(with_changes(table, ORDERS, changes), table.columns) == want
 
 

@@ -11,6 +11,7 @@ from checks.fixtures import ORDERS, orders
 from swathe.model import ActionSpec, ConflictError
 from swathe.plans import resume
 from swathe.plans.bulk import run_action
+from swathe.sources.publish import commit
 from swathe.sources.staging import staging_path
 from swathe.sources.store import Log, Store, insert_if_absent
 from tests.conftest import SF
@@ -108,6 +109,23 @@ def test_goes_equal_one_run(spark):
     assert bag(resume.statistics(store, ORDERS, SPEC), counts) == bag(one.stats, counts)
 
 
+@pytest.mark.parametrize("dedup", [None, "o_custkey"])
+def test_an_action_is_committed_with_its_table(spark, dedup):
+    spec = ActionSpec("update", "2-HIGH", {"o_custkey": {"lt": 20}}, None, dedup, 10,
+                      {"updates": {"o_orderstatus": "X"}}, "one")
+    store = Store(spark, staging_path(spark, "store"))
+    store.create(orders(spark, SF).repartitionByRange(6, "o_custkey"))
+    before = {r.file for r in store.manifest().collect()}
+    result = run_action(store.table(), ORDERS, spec, "2024-03-01 00:00:00")
+    want, outcomes = bag(result.table, COLUMNS), bag(result.outcomes, ["entity_id", "reason_code"])
+    assert commit(result, store, 1) == 2
+    assert bag(store.table(), COLUMNS) == want
+    assert bag(store.rows("outcomes"), ["entity_id", "reason_code"]) == outcomes
+    assert len(before & {r.file for r in store.manifest().collect()}) == 5  # of 6
+    again = run_action(store.table(1), ORDERS, spec, "2024-03-01 00:00:00")
+    assert commit(again, store, 1) is None  # made of an old version
+
+
 def test_deferred_failed_and_cancelled(spark):
     store = fresh(spark)
     resume.submit(store, ORDERS, SPEC, "2024-03-01 00:00:00")
