@@ -162,3 +162,13 @@ def test_scan_reads_only_the_open_ranges(spark):
     chosen = resume.batches(store, "goes").where("batch_index IN (1, 2, 5)")
     plan = store.table().where(resume._key_ranges(chosen, "o_orderkey"))._jdf.queryExecution().toString()
     assert "PushedFilters: [Or(And(GreaterThanOrEqual(o_orderkey" in plan
+
+
+def test_names_of_files_are_taken_once_per_file(spark):
+    store = fresh(spark, 2)
+    written = store._write_files(store.table())
+    plan = written._jdf.queryExecution().optimizedPlan().toString()
+    # Above the aggregation, which groups by the plain path.
+    assert plan.index("regexp_extract") < plan.index("Aggregate")
+    assert "regexp_extract" not in plan[plan.index("Aggregate"):]
+    assert sum(r.rows for r in written.collect()) == 1500
