@@ -267,8 +267,20 @@ def update_outcomes(spark, sf):
 
 @query("update_noop", f"""
     SELECT o_orderkey AS entity_id FROM {ORDERS_SQL}
-    WHERE o_orderpriority = '5-LOW' AND deleted_at IS NULL AND o_orderstatus = 'O'""")
+    WHERE o_orderpriority = '5-LOW' AND deleted_at IS NULL AND o_orderdate IS NOT DISTINCT FROM
+          TIMESTAMP '1998-05-05 00:00:00' AND o_orderstatus IS NOT DISTINCT FROM 'O'""")
 def update_noop(spark, sf):
+    """Rows that have both requested values."""
+    result = _run(orders(spark, sf), ORDERS, ActionSpec(
+        "update", "5-LOW", filter={}, action_id="a3",
+        params={"updates": {"o_orderdate": "1998-05-05 00:00:00", "o_orderstatus": "O"}}))
+    return result.outcomes.where("reason_code = 'no_change'").select("entity_id")
+
+
+@query("update_noop_status", f"""
+    SELECT o_orderkey AS entity_id FROM {ORDERS_SQL}
+    WHERE o_orderpriority = '5-LOW' AND deleted_at IS NULL AND o_orderstatus = 'O'""")
+def update_noop_status(spark, sf):
     result = _run(orders(spark, sf), ORDERS, ActionSpec(
         "update", "5-LOW", filter={}, action_id="a3",
         params={"updates": {"o_orderstatus": "O"}}))
