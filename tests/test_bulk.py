@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from swathe.model import COMPANY, CONTACT, ActionSpec, RequestError
+from swathe.operators.accounting import failed_batch_rows
 from swathe.operators.actions import Mutation, register_action
 from swathe.operators.batching import plan_batches, plan_from_ids
 from swathe.operators.dedup import mark_duplicates
@@ -294,3 +295,12 @@ def test_seeding(spark, ratio):
     assert abs((5_200 - distinct) / 5_200 - ratio) < 0.03
     assert df.where("age NOT BETWEEN 18 AND 75").count() == 0
     assert df.exceptAll(seed(spark, CONTACT, "acct", 5_200, AS_OF, ratio, seed=1)).count() == 0
+
+
+def test_messages_of_failed_batches_are_cut_before_they_are_joined(spark):
+    batches = spark.range(3).selectExpr("id AS batch_index", "id AS entity_count")
+    errors = spark.range(3).selectExpr("id AS batch_index", "repeat('x', 5000) AS error")
+    rows = failed_batch_rows(batches, errors)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Gave up after")
+    assert [len(r.message) for r in rows.collect()] == [1000] * 3
