@@ -81,7 +81,8 @@ def fold_statuses(events: DataFrame, key: str, order_by: Sequence[str], status:
     starts = levels[-1].select(F.col(key), "_n", F.lit(first).alias("_at"))
     for below in reversed(levels[:-1]):
         starts = stage(_spread(below, starts, key), "starts")
-    steps = level.join(starts, level[key].eqNullSafe(starts[key]) & (level["_n"] == starts["_n"])
+    # Staged columns are small as files but not as rows: sorted sides spill, a broadcast would not.
+    steps = level.join(starts.hint("merge"), level[key].eqNullSafe(starts[key]) & (level["_n"] == starts["_n"])
                        ).select(*[level[c] for c in events.columns], "_at", "_f")
     release(*levels[1:])
     masks = F.create_map(*[c for s in ACTION_STATUSES for c in (F.lit(s), F.lit(
@@ -98,7 +99,7 @@ def _spread(below: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     runs = below.groupBy(F.col(key), F.expr(f"_n div {FAN}").alias("_up")).agg(
         F.sort_array(F.collect_list(F.struct("_n", "_f"))).alias("_run"))
     above = starts.select(F.col(key).alias("_key"), F.col("_n").alias("_of"), "_at")
-    joined = runs.join(above, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_up") == F.col("_of")))
+    joined = runs.join(above.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_up") == F.col("_of")))
     begin = F.struct(F.col("_at").alias("at"),
                      F.array().cast("array<struct<n:long,at:int>>").alias("out"))
     each = F.aggregate("_run", begin, lambda state, s: F.struct(

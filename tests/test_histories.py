@@ -93,3 +93,10 @@ def test_pages_of_any_depth(spark, many_parts):
     assert "GreaterThanOrEqual(_mid" in plan  # read by place, not skipped over
     pages.release()
     assert Pages(df.limit(0), ["id"]).page(5).count() == 0
+
+
+def test_steps_are_not_broadcast(spark):
+    events = spark.range(100).selectExpr("id % 7 AS k", "id AS i", "'planning' AS status")
+    folded = fold_statuses(events, "k", ["i"])
+    assert "BroadcastHashJoin" not in folded._jdf.queryExecution().executedPlan().toString()
+    assert folded.where("allowed").count() == 100
