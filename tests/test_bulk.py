@@ -299,7 +299,7 @@ def test_seeding(spark, ratio):
 
 def test_messages_of_failed_batches_are_cut_before_they_are_joined(spark):
     batches = spark.range(3).selectExpr("id AS batch_index", "id AS entity_count")
-    errors = spark.range(3).selectExpr("id AS batch_index", "repeat('x', 5000) AS error")
+    errors = spark.range(3).selectExpr("id AS batch_index", "repeat(cast(id AS string), 5000) AS error")
     rows = failed_batch_rows(batches, errors)
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Gave up after")
