@@ -65,3 +65,21 @@ def test_progress_frames_end_with_a_terminal_state(spark, tmp_path):
     assert [s.processed_count for s in states] == [10, 20, 30]
     assert [s.is_terminal for s in states] == [False, False, True]
     assert states[-1].status == "completed_with_errors" and states[0].progress_percent == 33.33
+
+
+def test_audit_rows_of_a_trigger_are_written_once(spark, tmp_path, monkeypatch):
+    def refuse(rows, name):
+        raise AssertionError(f"{name} staged besides the rows in their own folder")
+
+    monkeypatch.setattr(apply, "stage", refuse)
+    asked = spark.createDataFrame([(1, 7, 0, "x"), (2, 7, 1, "x")],
+                                  "action_id long, account_id int, created_at int, new_value string")
+    suppliers = spark.createDataFrame([(5, "a", 7, 1.0)], "s_suppkey long, s_name string, "
+                                      "s_nationkey int, s_acctbal double")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    step = apply.apply_step(suppliers, SUPPLIER, "s_name", out, state)
+    step(asked, 0)
+    step(asked, 0)
+    assert sorted((r.action_id, r.status) for r in spark.read.parquet(out).collect()) == [
+        (1, "success"), (2, "skipped")]
+    assert [r.new_value for r in spark.read.parquet(state).collect()] == ["x"]
