@@ -9,8 +9,9 @@ Long conversations are rendered in blocks that restart from the last ``context``
 turn of a block is rendered from both the old and the new start, and at doubling numbers of turns
 and at the end the whole conversation is rendered and compared with the output so far. At the first
 difference the conversation is done again with full prefixes, so its output is the template's own;
-turns that a block would have rendered otherwise say so. Only templates that are ``local`` (each
-turn rendered by itself, as :func:`instruct` does) are trusted without this.
+turns that a block would have rendered otherwise say so. Blocks are only used where they are asked
+for: with ``block``, or by a template that declares itself ``local`` (each turn rendered by itself).
+The default template makes no such claim; it is rendered with whole prefixes like any other.
 """
 
 from __future__ import annotations
@@ -57,9 +58,6 @@ def instruct(turns: Turns) -> str:
     return "".join(out)
 
 
-instruct.local = True
-
-
 def parse_turn(share: str) -> tuple[str, str]:
     """Role and text back from a turn's share of :func:`instruct`'s output."""
     share = share.removeprefix("<s>")

@@ -283,3 +283,16 @@ def test_recall_of_learned_partitions(spark):
         assert sorted(got) == list(range(1, 21))
         hits += len({i for i, _ in got.values()} & {i for i, _ in brute_force(x, q, 20)})
     assert hits >= 0.9 * 20 * len(found)
+
+
+def test_the_default_template_is_rendered_with_whole_prefixes(chats, monkeypatch):
+    assert not getattr(chat.instruct, "local", False)
+    turns = [("user", "a"), ("assistant", "b")] * (2 * chat.BLOCK)
+    seen = []
+
+    def watched(prefix):
+        seen.append(len(prefix))
+        return chat.instruct(prefix)
+
+    list(chat.rendered_turns(watched, turns))
+    assert max(seen) == len(turns) and seen == [n for n in range(1, len(turns) + 1) for _ in "ab"]
