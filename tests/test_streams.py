@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import SUPPLIER, table
 from swathe.operators.many import overlay
-from swathe.streaming import apply, progress
+from swathe.streaming import admission, apply, progress
 from tests.conftest import SF
 
 
@@ -83,3 +83,23 @@ def test_audit_rows_of_a_trigger_are_written_once(spark, tmp_path, monkeypatch):
     assert sorted((r.action_id, r.status) for r in spark.read.parquet(out).collect()) == [
         (1, "success"), (2, "skipped")]
     assert [r.new_value for r in spark.read.parquet(state).collect()] == ["x"]
+
+
+def test_keys_are_handed_to_python_by_slots(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(i, None if i % 7 == 0 else i % 50, str(i % 3)) for i in range(200)],
+        "id long, who long, key string").withColumn("at", F.timestamp_seconds("id"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    firsts = admission.idempotent_stream(stream, ["who", "key"], "at")
+    decided = admission.token_bucket_stream(
+        stream.withColumns({"n": F.lit(1), "cap": F.lit(2)}), "who", ["id"], "at", "n", "cap")
+    for name, live in (("firsts", firsts), ("decided", decided)):
+        plan = live._jdf.queryExecution().analyzed().toString()
+        assert "_slot#" in plan[plan.index("FlatMapGroupsInPandasWithState"):].splitlines()[0]
+        (live.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"o-{name}"))
+         .trigger(availableNow=True).start(str(tmp_path / name)).awaitTermination())
+    want = {r.i for r in rows.groupBy("who", "key").agg(F.min("id").alias("i")).collect()}
+    assert {r.id for r in spark.read.parquet(str(tmp_path / "firsts")).collect()} == want
+    out = spark.read.parquet(str(tmp_path / "decided"))
+    assert out.count() == 200 and {r.who for r in out.collect()} == {None, *range(50)}
