@@ -8,7 +8,7 @@ is parsed per row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,12 +128,21 @@ def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests))
 
 
+def slots_of(schema: T.StructType, name: str) -> list[str]:
+    """Slots of a field's conditions that :func:`holds` tests."""
+    text = ["contains"] if isinstance(schema[name].dataType, T.StringType) else []
+    return [*_COMPARED, "in", "not_in", "missing", *text, "never"]
+
+
 def holds(slots: Column, schema: T.StructType, names: list[str],
-          value_of: Callable[[str], Column]) -> Column:
+          value_of: Callable[[str], Column], filled: Mapping[str, Collection[str]] | None = None
+          ) -> Column:
     """Whether a row satisfies the conditions; ``value_of(name)`` gives its value of a field. An
-    empty slot asks for nothing."""
+    empty slot asks for nothing. ``filled`` names the slots that are not empty in every request, if
+    that is known: the others are not looked at."""
     tests = []
     for name in names:
+        asked = slots_of(schema, name) if filled is None else filled[name]
         x, s = value_of(name).cast(comparand_type(schema[name].dataType)), slots[name]
         compared = {"eq": x == s["eq"], "ne": x != s["ne"], "gt": x > s["gt"],
                     "gte": x >= s["gte"], "lt": x < s["lt"], "lte": x <= s["lte"],
@@ -141,6 +150,7 @@ def holds(slots: Column, schema: T.StructType, names: list[str],
                     "missing": x.isNull() == s["missing"]}
         if isinstance(schema[name].dataType, T.StringType):
             compared["contains"] = F.contains(F.lower(x), s["contains"])
-        tests += [s[op].isNull() | F.coalesce(test, F.lit(False)) for op, test in compared.items()]
-        tests.append(~s["never"])
+        tests += [s[op].isNull() | F.coalesce(test, F.lit(False)) for op, test in compared.items()
+                  if op in asked]
+        tests += [~s["never"]] if "never" in asked else []
     return reduce(lambda a, b: a & b, tests, F.lit(True))

@@ -30,7 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swathe.functions.conditions import holds, kind_of, member, members, with_conditions
+from swathe.functions.conditions import (
+    holds,
+    kind_of,
+    member,
+    members,
+    slots_of,
+    with_conditions,
+)
 from swathe.functions.measures import effective_batch_size
 from swathe.functions.rules import coerced, field_error
 from swathe.functions.text import normalise_key, type_name
@@ -67,6 +74,18 @@ class Arrivals:
     rejected: DataFrame
 
 
+@dataclass(frozen=True)
+class Slots:
+    """What a round's requests ask for (condition slots by field) and write (fields, by value and by
+    suffix; the marker of soft deletes). The fold of a row is interpreted, so what no request of the
+    round has is left out of it."""
+
+    asked: dict[str, frozenset[str]]
+    given: frozenset[str]
+    suffixed: frozenset[str]
+    soft: bool
+
+
 # --- requests as rows -----------------------------------------------------------------------
 
 def compile_requests(submissions: DataFrame, entity: EntitySpec, schema: T.StructType
@@ -186,9 +205,32 @@ def _numbered(requests: DataFrame, order_by: Sequence[str]) -> DataFrame:
         "_ended", "_part", "_seen")
 
 
-def _by_account(requests: DataFrame, entity: EntitySpec, schema: T.StructType) -> DataFrame:
+def _slots(requests: DataFrame, entity: EntitySpec, schema: T.StructType) -> list[Slots]:
+    """:class:`Slots` of every round, from one row per round."""
+    names = entity.filterable(schema.names)
+    conds = {(n, op): F.col(f"conds.{n}.{op}") for n in names for op in slots_of(schema, n)}
+    tests = {k: c if k[1] == "never" else c.isNotNull() for k, c in conds.items()}
+    writable = [n for n in entity.fields if n in schema.names]
+    tests |= {("given", n): F.col(f"effects.{n}.given") for n in writable}
+    tests |= {("suffix", n): F.col(f"effects.{n}.suffix").isNotNull() for n in writable}
+    tests["soft"] = F.col("hard") == F.lit(False)
+    rows = requests.groupBy("round").agg(
+        *[F.max(t).alias(f"t{i}") for i, t in enumerate(tests.values())]).collect()
+    out = []
+    for row in sorted(rows, key=lambda r: r["round"]):
+        held = {k for i, k in enumerate(tests) if row[f"t{i}"]}
+        out.append(Slots(
+            {n: frozenset(op for op in slots_of(schema, n) if (n, op) in held & conds.keys())
+             for n in names},
+            *[frozenset(n for n in writable if (kind, n) in held) for kind in ("given", "suffix")],
+            "soft" in held))
+    return out
+
+
+def _by_account(requests: DataFrame, entity: EntitySpec, schema: T.StructType,
+                slots: Slots | None = None) -> DataFrame:
     """One row per account: its requests in order, and the index of their equality conditions."""
-    fields = _indexed(entity, schema)
+    fields = _indexed(entity, schema, slots)
     written = {n: F.max((F.col(f"effects.{n}.given") | F.col(f"effects.{n}.suffix").isNotNull())
                         ).over(Window.partitionBy("account")) if n in entity.fields else F.lit(False)
                for n in fields}
@@ -215,10 +257,11 @@ def _by_account(requests: DataFrame, entity: EntitySpec, schema: T.StructType) -
     return lists.join(index, "account", "left")
 
 
-def _indexed(entity: EntitySpec, schema: T.StructType) -> list[str]:
+def _indexed(entity: EntitySpec, schema: T.StructType, slots: Slots | None = None) -> list[str]:
     """Fields whose equality is looked up: text and whole numbers, likely keys first."""
     names = [n for n in entity.filterable(schema.names)
-             if isinstance(schema[n].dataType, (T.StringType, T.IntegralType))]
+             if isinstance(schema[n].dataType, (T.StringType, T.IntegralType))
+             and (slots is None or "eq" in slots.asked[n])]
     return sorted(names, key=lambda n: (n not in entity.dedup_fields, names.index(n)))
 
 
@@ -229,18 +272,20 @@ def _key(value: Column) -> Column:
 
 # --- rows meet requests ---------------------------------------------------------------------
 
-def _effect(entity: EntitySpec, schema: T.StructType, request: Column, row: Column) -> Column:
+def _effect(entity: EntitySpec, schema: T.StructType, request: Column, row: Column, slots: Slots
+            ) -> Column:
     """The row's values after the request."""
     out = []
     for name in schema.names:
         now, kind = row[name], schema[name].dataType
         if name in entity.fields:
-            effect = request["effects"][name]
-            new = F.when(effect["given"], effect["value"])
-            if isinstance(kind, T.StringType):
-                new = new.when(effect["suffix"].isNotNull(), F.concat(now, effect["suffix"]))
-            now = new.otherwise(now)
-        elif name == entity.soft_delete:
+            effect, before = request["effects"][name], now
+            if isinstance(kind, T.StringType) and name in slots.suffixed:
+                now = F.when(effect["suffix"].isNotNull(), F.concat(before, effect["suffix"])
+                             ).otherwise(now)
+            if name in slots.given:
+                now = F.when(effect["given"], effect["value"]).otherwise(now)
+        elif name == entity.soft_delete and slots.soft:
             now = F.when(request["hard"] == F.lit(False), request["created_at"].cast(kind)).otherwise(now)
         elif name == entity.updated_at:
             now = F.when(request["action"] != "tag", request["created_at"].cast(kind)).otherwise(now)
@@ -248,25 +293,26 @@ def _effect(entity: EntitySpec, schema: T.StructType, request: Column, row: Colu
     return F.struct(*out)
 
 
-def _same(entity: EntitySpec, schema: T.StructType, request: Column, row: Column) -> Column:
+def _same(entity: EntitySpec, schema: T.StructType, request: Column, row: Column, slots: Slots
+          ) -> Column:
     """Whether an update finds all its values there."""
     tests = [~request["effects"][n]["given"] | row[n].eqNullSafe(request["effects"][n]["value"])
-             for n in entity.fields if n in schema.names]
-    return (request["action"] == "update") & reduce(lambda a, b: a & b, tests)
+             for n in entity.fields if n in slots.given]
+    return reduce(lambda a, b: a & b, tests, request["action"] == "update")
 
 
 def _meets(entity: EntitySpec, schema: T.StructType, request: Column, row: Column, gone: Column,
-           named: Column) -> Column:
+           named: Column, slots: Slots) -> Column:
     live = ~gone
     if entity.soft_delete in schema.names:
         live = live & row[entity.soft_delete].isNull()
     names = entity.filterable(schema.names)
     return live & F.when(request["by_filter"], holds(
-        request["conds"], schema, names, lambda n: row[n])).otherwise(
+        request["conds"], schema, names, lambda n: row[n], slots.asked)).otherwise(
         F.coalesce(F.array_contains(named, request["place"]), F.lit(False)))
 
 
-def _fold(rows: DataFrame, entity: EntitySpec, schema: T.StructType) -> DataFrame:
+def _fold(rows: DataFrame, entity: EntitySpec, schema: T.StructType, slots: Slots) -> DataFrame:
     """Rows that some request met, with ``_out``: values, whether gone or changed, and hits (no,
     same) of the requests without de-duplication; and ``no``: the one with it, if met."""
     base = F.struct(*[F.col(n) for n in schema.names])
@@ -274,25 +320,25 @@ def _fold(rows: DataFrame, entity: EntitySpec, schema: T.StructType) -> DataFram
                      F.array().cast("array<struct<no:long,same:boolean>>").alias("hits"))
     found = [F.coalesce("_every", F.array().cast("array<int>")),
              F.coalesce("_named", F.array().cast("array<int>"))]
-    for n in _indexed(entity, schema):
+    for n in _indexed(entity, schema, slots):
         value = F.col(n).cast("string")
         found.append(F.coalesce(F.when(value.isNotNull(), F.element_at(F.col(f"_index_{n}"), value)),
                                 F.array().cast("array<int>")))
-    places = F.array_sort(F.array_distinct(F.concat(*found)))
+    places = F.sort_array(F.array_distinct(F.concat(*found)))
 
     named, requests = F.col("_named"), F.col("_requests")
 
     def verdict(state: Column, request: Column) -> Column:
         """0: not met, 1: met with nothing to change, 2: to be changed."""
-        meets = _meets(entity, schema, request, state["row"], state["gone"], named)
+        meets = _meets(entity, schema, request, state["row"], state["gone"], named, slots)
         return F.when(~(request["dedup"].isNull() & meets), 0).when(
-            _same(entity, schema, request, state["row"]), 1).otherwise(2)
+            _same(entity, schema, request, state["row"], slots), 1).otherwise(2)
 
     def after(state: Column, request: Column, kind: Column) -> Column:
         hard = F.coalesce(request["hard"], F.lit(False))
         return F.struct(
-            F.when((kind == 2) & ~hard, _effect(entity, schema, request, state["row"])).otherwise(
-                state["row"]).alias("row"),
+            F.when((kind == 2) & ~hard, _effect(entity, schema, request, state["row"], slots)
+                   ).otherwise(state["row"]).alias("row"),
             (state["gone"] | ((kind == 2) & hard)).alias("gone"),
             (state["changed"] | (kind == 2)).alias("changed"),
             F.when(kind > 0, F.concat(state["hits"], F.array(F.struct(
@@ -308,7 +354,7 @@ def _fold(rows: DataFrame, entity: EntitySpec, schema: T.StructType) -> DataFram
             state["row"].alias("row"), state["gone"].alias("gone"),
             state["changed"].alias("changed"), state["hits"].alias("hits"),
             F.when(last["dedup"].isNotNull() & _meets(entity, schema, last, state["row"],
-                                                      state["gone"], named), last["no"]).alias("no")))
+                                                      state["gone"], named, slots), last["no"]).alias("no")))
 
     # A generator, not a filter: the optimiser would copy the fold into the filter's condition.
     folded = F.filter(F.array(F.aggregate(places, start, meet, finish)),
@@ -341,11 +387,10 @@ def run_arrivals(table: DataFrame, entity: EntitySpec, submissions: DataFrame,
         "action_id", F.col("account").alias("account_id"), "errors")
     kind = schema[entity.pk].dataType.simpleString()
     asked = _asked_ids(compiled)
-    rounds = compiled.agg(F.max("round")).first()[0]
     met, own = [], None
-    for number in range(0 if rounds is None else rounds + 1):
+    for number, slots in enumerate(_slots(compiled, entity, schema)):
         requests = compiled.where(F.col("round") == number)
-        accounts = _by_account(requests, entity, schema)
+        accounts = _by_account(requests, entity, schema, slots)
         named = (asked.where(F.col("round") == number).groupBy("account", "_pk").agg(
             F.collect_list("place").alias("_named")))
         ours = requests.select(F.col("account").alias(entity.account)).distinct()
@@ -355,8 +400,8 @@ def run_arrivals(table: DataFrame, entity: EntitySpec, submissions: DataFrame,
                          "left")
         # The requests come last: they are folded where they are joined and travel no further.
         rows = rows.join(accounts, F.col(entity.account) == F.col("account"))
-        folded = stage(_fold(rows, entity, schema), "folded")
-        last = _deduplicate(folded, entity, schema, requests, asked)
+        folded = stage(_fold(rows, entity, schema, slots), "folded")
+        last = _deduplicate(folded, entity, schema, requests, asked, slots)
         met.append(folded.select("account", "_pk", F.inline("_out.hits")).select(
             "account", "_pk", "no", F.when(F.col("same"), "no_change").otherwise("applied").alias(
                 "class"), F.lit(None).cast("string").alias("dedup_key")))
@@ -400,7 +445,7 @@ def _asked_ids(requests: DataFrame) -> DataFrame:
 
 
 def _deduplicate(folded: DataFrame, entity: EntitySpec, schema: T.StructType, requests: DataFrame,
-                 asked: DataFrame) -> DataFrame:
+                 asked: DataFrame, slots: Slots) -> DataFrame:
     """Rows after the round's last request: _row, gone, changed, and (no, class, dedup_key) where
     the row met it. The first row per (request, key) wins, in batch order; rows without a key
     always pass."""
@@ -424,13 +469,14 @@ def _deduplicate(folded: DataFrame, entity: EntitySpec, schema: T.StructType, re
     joined = rows.join(winners, (F.col("no") == F.col("_wn")) & (F.col("_pk") == F.col("_w")), "left")
     request, row = F.col("_last"), F.col("_out.row")
     duplicate = F.col("no").isNotNull() & F.col("dedup_key").isNotNull() & F.col("_w").isNull()
-    same = _same(entity, schema, request, row)
+    same = _same(entity, schema, request, row, slots)
     kind = F.when(duplicate, "duplicate").when(same, "no_change").otherwise("applied")
     change = F.col("no").isNotNull() & ~duplicate & ~F.coalesce(same, F.lit(False))
     hard = F.coalesce(request["hard"], F.lit(False))
     return joined.select(
         "account", "_pk", "no", kind.alias("class"), "dedup_key",
-        F.when(change & ~hard, _effect(entity, schema, request, row)).otherwise(row).alias("_row"),
+        F.when(change & ~hard, _effect(entity, schema, request, row, slots)).otherwise(
+            row).alias("_row"),
         (F.col("_out.gone") | (change & hard)).alias("gone"),
         (F.col("_out.changed") | change).alias("changed"))
 

@@ -150,6 +150,32 @@ def test_index_narrows_what_rows_meet(spark):
     assert len(found["_index_o_custkey"]) == 40
 
 
+def test_rows_are_tested_for_what_a_round_asks_only(spark):
+    """The fold of a row holds no test and no effect that no request of the round has."""
+    from swathe.plans.arrivals import _by_account, _fold, _numbered, _slots
+
+    rows = [("a", "1-URGENT", "update", '{"updates":{"o_totalprice":1},"filter":{"o_custkey":{"gte":7}}}',
+             None, datetime(2024, 1, 1)),
+            ("b", "1-URGENT", "delete", '{"filter":{"o_orderdate":{"eq":null}},"deduplicate_by":"o_custkey"}',
+             None, datetime(2024, 1, 2)),
+            ("c", "1-URGENT", "tag", '{"suffix":"+","column":"o_orderstatus","filter":{"o_orderstatus":"F"}}',
+             None, datetime(2024, 1, 3))]
+    table = orders(spark, SF)
+    compiled = stage(_numbered(compile_requests(spark.createDataFrame(rows, SCHEMA), ORDERS, table.schema),
+                               ["created_at"]), "requests")
+    first, second = _slots(compiled, ORDERS, table.schema)
+    assert {n: set(s) for n, s in first.asked.items() if s} == {
+        "o_custkey": {"gte"}, "o_orderdate": {"missing"}}
+    assert first.given == {"o_totalprice"} and not first.suffixed and first.soft
+    assert {n: set(s) for n, s in second.asked.items() if s} == {"o_orderstatus": {"eq"}}
+    assert second.suffixed == {"o_orderstatus"} and not second.given and not second.soft
+    accounts = _by_account(compiled.where("round = 0"), ORDERS, table.schema, first)
+    joined = table.withColumn("_named", F.lit(None).cast("array<int>")).join(
+        accounts, F.col("o_orderpriority") == F.col("account"))
+    plan = _fold(joined, ORDERS, table.schema, first)._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" not in plan and "not_in" not in plan.split("aggregate(")[1].split("\n")[0]
+
+
 def test_nothing_to_run(spark):
     table = orders(spark, SF)
     none = spark.createDataFrame([], SCHEMA)
