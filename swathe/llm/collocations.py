@@ -310,18 +310,20 @@ class Trie:
         self.accept[places[at]] = np.arange(self.size, dtype=np.int32)
 
     def pack(self) -> bytes:
-        """All of a trie; :meth:`unpack` makes it again."""
-        arrays = [getattr(self, n).tobytes() for n in ("base", "check", "accept")]
-        return zlib.compress(pickle.dumps((list(self.langs), list(self.words), self.bits,
-                                           self.roots, self.size, arrays)), 1)
+        """All of a trie; :meth:`unpack` makes it again. Arrays are compressed one by one, so that
+        no more than one of them is there twice at a time."""
+        arrays = [(zlib.compress(a, 1), len(a)) for a in (self.base, self.check, self.accept)]
+        return pickle.dumps((list(self.langs), list(self.words), self.bits, self.roots, self.size,
+                             arrays))
 
     @staticmethod
     def unpack(data: bytes) -> Trie:
         trie = Trie.__new__(Trie)
-        langs, words, trie.bits, trie.roots, trie.size, arrays = pickle.loads(zlib.decompress(data))
+        langs, words, trie.bits, trie.roots, trie.size, arrays = pickle.loads(data)
         trie.langs = {v: i for i, v in enumerate(langs)}
         trie.words = {w: i for i, w in enumerate(words)}
-        trie.base, trie.check, trie.accept = (np.frombuffer(a, np.int32) for a in arrays)
+        trie.base, trie.check, trie.accept = (
+            np.frombuffer(zlib.decompress(a, bufsize=4 * n), np.int32) for a, n in arrays)
         return trie
 
     def _lay(self, parent: np.ndarray, symbol: np.ndarray, roots: int, symbols: int

@@ -277,3 +277,21 @@ def test_trie_counts_what_is_there():
             w = piece.split()
             want.update((lang, " ".join(w[i:i + k])) for k in (2, 3) for i in range(len(w) - k + 1))
     assert totals.tolist() == [want[key] for key in some]
+
+
+def test_unpacking_a_trie_holds_it_once():
+    """A worker that unpacks a trie holds no second copy of its arrays."""
+    import tracemalloc
+
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    some = sorted({" ".join(draw.choices(words, k=draw.choice((2, 3)))) for _ in range(60_000)})
+    trie = phrases.Trie(pa.array(["en"] * len(some)), pa.array(some))
+    data = trie.pack()
+    tracemalloc.start()
+    again = phrases.Trie.unpack(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(getattr(trie, n), getattr(again, n)) for n in ("base", "check", "accept"))
+    assert again.words == trie.words and again.size == trie.size
+    assert peak < 1.7 * sum(getattr(trie, n).nbytes for n in ("base", "check", "accept"))
