@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -23,12 +24,22 @@ def kept(key: tuple, make: Callable):
     return store[key]
 
 
+def give_back() -> None:
+    """Return what the worker's earlier tasks have freed to the system; otherwise its allocators keep
+    it beside what this task and the executor's other processes need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000
            ) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each.
 
     A single longer value is a batch of its own. Bounds what a task holds besides its input.
     """
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

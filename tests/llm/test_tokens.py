@@ -127,3 +127,22 @@ def test_empty_tables(spark):
     assert token_counts(empty).count() == 0
     assert pack_documents(empty).count() == 0
     assert read_token_files(write_token_files(empty)).count() == 0
+
+
+def test_a_task_gives_back_what_earlier_ones_freed():
+    """Blocks below the allocator's threshold, freed under one that is still held."""
+    import numpy as np
+    import pyarrow as pa
+
+    from swathe.llm.tasks import slices
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    blocks = [np.ones(12_500) for _ in range(2000)]
+    last, high = blocks[-1], resident()
+    del blocks
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"])], ["text"])
+    assert len(list(slices(iter([batch]), "text"))) == 1 and last[0] == 1
+    assert resident() < high - 150
