@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from swathe.sources.staging import release, stage
@@ -14,8 +14,13 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u").select("u", "v", F.least("u", "_m").alias("m"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _staged(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written once, with their count and hash, which are summed while they are written."""
+    seen = Observation()
+    out = stage(edges.observe(
+        seen, F.count(F.lit(1)).alias("rows"),
+        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), "edges")
+    return out, (seen.get["rows"], seen.get["hash"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,19 +32,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes. Every step is written to shared storage and compared by count and hash with the last.
     Links with nulls join nothing; an empty table gives an empty result.
     """
-    edges = stage(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(edges)
+    edges, state = _staged(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
+        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .distinct())
         small = _with_least(large)
-        last, edges = edges, stage(
+        last, before = edges, state
+        edges, state = _staged(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+            .unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         release(last)
-        before, state = state, _state(edges)
         if state == before:
             break
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -23,6 +23,7 @@ and the counts are summed per pair.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ SLOT_BITS = 25      # slots of the frequency table: 32 MB, whatever the input's
 _KEPT_BYTES = 5     # leading bytes of an n-gram's hash that are counted
 _EMPTY = b""
 _WORDS = 400_000    # words whose hashes a worker remembers
+_FETCHES = 4        # jobs in which the driver reads the frequency table
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -169,15 +171,19 @@ def frequency_levels(pieces: DataFrame, parts: int) -> np.ndarray:
         first = int(grams[0] >> shift)
         out = np.zeros(int(grams[-1] >> shift) - first + 1, np.uint8)
         np.maximum.at(out, slots - first, levels)
-        return pa.table({"first": [first], "levels": pa.array([out.tobytes()], pa.binary())})
+        packed = zlib.compress(out.tobytes(), 1)
+        return pa.table({"first": [first], "levels": pa.array([packed], pa.binary())})
 
-    found = (pieces.repartition(parts, "part").groupBy("part")
-             .applyInArrow(count, "first long, levels binary"))
+    # All parts are counted at once; the driver then fetches the table in a few jobs, not one per part.
+    # Most levels are 0, so its JVM holds far less than the table while it passes it on.
+    found = stage(pieces.repartition(parts, "part").groupBy("part")
+                  .applyInArrow(count, "first long, levels binary"), "levels")
     table = np.zeros(1 << SLOT_BITS, np.uint8)
-    for row in found.toLocalIterator():
-        piece = np.frombuffer(row["levels"], np.uint8)
+    for row in found.coalesce(_FETCHES).toLocalIterator():
+        piece = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
         part = table[row["first"]:row["first"] + len(piece)]
         np.maximum(part, piece, out=part)
+    release(found)
     return table
 
 
@@ -395,20 +401,23 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str =
     shared = stage(postings.join(several.select("gram"), "gram", "left_semi"), "shared-prefixes")
     release(postings)
     wanted = shared.select("cid").distinct()
-    fragments = stage(ends.where("fragment IS NOT NULL").join(wanted, "cid", "left_semi")
-                      .select("cid", "fragment", "grams").dropDuplicates(["cid", "fragment"]),
-                      "fragments")
-    signatures = stage(ends.where("sig IS NOT NULL").join(wanted, "cid", "left_semi")
-                       .select("cid", "sig").dropDuplicates(["cid"]), "signatures")
+    # A set has one row per fragment, and one without a fragment for its signature.
+    parted = stage(ends.where("gram IS NULL").join(wanted, "cid", "left_semi")
+                   .select("cid", "fragment", "grams", "sig").dropDuplicates(["cid", "fragment"]),
+                   "fragments")
     release(ends)
+    fragments = parted.where("fragment IS NOT NULL").select("cid", "fragment", "grams")
+    signatures = parted.where("sig IS NOT NULL").select("cid", "sig")
 
     first = stage(star_pairs(shared, percent), "star-pairs")
     links = stage(count_links(first, fragments, percent), "links")
-    across = cross_pairs(shared, components(links), signatures, percent).join(
-        first, ["a", "b"], "left_anti")
+    found = components(links)
+    across = cross_pairs(shared, found, signatures, percent).join(first, ["a", "b"], "left_anti")
     more = stage(count_links(across, fragments, percent), "links")
-    found = components(links.unionByName(more))
-    release(shared, fragments, signatures, first, links, more)
+    if not more.isEmpty():
+        # Every node's link to its component says as much as the first links.
+        found = components(more.unionByName(found.toDF("a", "b")))
+    release(shared, parted, first, links, more)
     classes = rows.where("size > 0").groupBy("digest").agg(F.min("key").alias("first"))
 
     # The smallest key of every class that is joined with others, or has several rows.

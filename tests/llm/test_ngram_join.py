@@ -134,6 +134,67 @@ def test_texts_of_shared_passages_make_few_pairs(spark, monkeypatch):
     assert sum(counted[2:]) <= 3 * 300
 
 
+def jobs_of(spark, run):
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_frequency_levels_take_few_jobs_and_pass_little(spark):
+    """The driver's jobs do not grow with the parts, and no part is sent as long as its slots are."""
+    draw, sent = np.random.default_rng(5), []
+    grams = np.unique(draw.integers(0, 2 ** 64, 4000, dtype=np.uint64))
+    counts = draw.integers(1, 4, len(grams))
+    parts = 40
+    bounds = (np.arange(1, parts, dtype=object) * 2 ** 64 // parts).astype(np.uint64)
+    cuts = [0, *np.searchsorted(grams, bounds).tolist(), len(grams)]
+    data = [(p, bytearray(ngram_join._planes(grams[a:b])), bytearray(counts[a:b].astype("<u2").tobytes()))
+            for p, (a, b) in enumerate(zip(cuts, cuts[1:])) for _ in range(2)]
+    pieces = spark.createDataFrame(data, "part int, grams binary, counts binary").cache()
+    pieces.count()
+    plain = ngram_join.stage
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "stage", lambda df, name: (
+            sent.append(plain(df, "seen")), plain(sent[-1], name))[1])
+        ngram_join.frequency_levels(pieces, parts)
+    levels, jobs = jobs_of(spark, lambda: ngram_join.frequency_levels(pieces, parts))
+    want = np.zeros(1 << ngram_join.SLOT_BITS, np.uint8)
+    np.maximum.at(want, (grams >> np.uint64(64 - ngram_join.SLOT_BITS)).astype(np.int64),
+                  (8 * np.log2(2 * counts)).astype(np.uint8))
+    assert (levels == want).all()
+    assert jobs < 20
+    assert sum(len(r["levels"]) for r in sent[0].collect()) < (1 << ngram_join.SLOT_BITS) / 20
+
+
+def test_components_are_found_once_without_links_across(spark, monkeypatch):
+    """No second search where the first round of pairs has found every link."""
+    calls, plain = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda links: (
+        calls.append(links.count()), plain(links))[1])
+    data = [(i, " ".join(f"t{i // 3}w{k}" for k in range(50)) + f" e{i}", "x") for i in range(30)]
+    found = ngram_components(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(
+        brute_force([r[:2] for r in data], 4, 85))
+    assert len(calls) == 1
+
+
+def test_links_across_join_components(spark, rows, monkeypatch):
+    """Links that only the second round of pairs finds count like those of the first."""
+    calls, plain = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda links: (
+        calls.append(links.count()), plain(links))[1])
+    few = ngram_join.star_pairs
+    monkeypatch.setattr(ngram_join, "star_pairs", lambda shared, percent: few(shared, percent).where(
+        "crc32(a) % 3 = 0"))
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(df).collect()]
+    assert order(got) == order(brute_force(rows, 4, 85))
+    assert len(calls) == 2
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ngram_components(empty).count() == 0 and keep_first(empty).count() == 0
