@@ -1,23 +1,26 @@
-"""Phrase collocations: level-wise candidates, counted by broadcast double-array tries.
+"""Phrase collocations: level-wise candidates, counted by double-array tries.
 
 1. One pass counts words per language exactly, and pairs and triples in hashed counters of fixed
    number that stop at the least count. A counter is never below the count of a phrase in it.
-2. A second pass gives the candidates: phrases that occur, whose words are all frequent and whose
-   own and inner pairs' counters reach the least count. So every frequent phrase is among them
-   (the Apriori property), and few others are.
-3. Candidates in order are cut into shards of bounded size. Each shard becomes a double-array trie
-   over (language, word, word, word), made in one task and broadcast. Tasks advance the states of all text
-   positions together: the states after one word, from these after two, then after three. The states
-   that accept are counted with ``bincount``, and the counts of all tasks are summed.
-4. Scores, cuts and the rule for phrases inside longer ones are joins of the counted candidates.
-
-What a task holds is bounded by the batch, the counters, one trie and a table of words.
+2. A second pass gives the spots at which a phrase may begin: those whose words and pair have
+   counters that reach the least count, with the third word if it may belong to a phrase too. Spots
+   are dealt to buckets by their pair, so that all occurrences of a phrase meet in one bucket. The
+   number of buckets follows that of the words; equal spots of a task are one with a count.
+3. In its bucket, a phrase is a candidate if its own counter there, and its first pair's, reach the
+   least count. So every frequent phrase is among the candidates (the Apriori property), and few
+   others are, however large the input is.
+4. The candidates of a bucket become double-array tries of bounded size over (language, word, word,
+   word). The states of all spots of the bucket advance together: the states after one word, from
+   these after two, then after three. The states that accept are counted with ``bincount``.
+5. Scores, cuts and the rule for phrases inside longer ones are joins of the counted candidates.
+
+The texts are read twice, whatever the number of candidates. What a task holds is bounded by the
+batch, the counters, a table of words, and the distinct spots of a bucket with one of its tries.
 """
 
 from __future__ import annotations
 
 import pickle
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -30,19 +33,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathe.llm.ngram_join import _mix
-from swathe.llm.tasks import kept, slices, texts_of
-from swathe.operators.ordered import global_rank
+from swathe.llm.tasks import give_back, slices, texts_of
 from swathe.sources.staging import stage
 
-SLOT_BITS = 26       # counters for pairs, and as many for triples
+SLOT_BITS = 25       # counters for pairs, and as many for triples
 _WORD_BITS = 22      # counters for words
 _SLOTS = (2 << SLOT_BITS) + (1 << _WORD_BITS)
 _CHUNK = 1 << 16     # counters in a row of their table
-_WORDS = 400_000     # words that a task remembers
-_MARKS = 5_000_000   # phrases that a task remembers
-_SPLITS = 16
+_WORDS = 250_000     # words that a task remembers
+_HELD = 1_000_000    # spots that a task holds before it passes them on
+_BUCKET = 1_000_000  # words of the input for which there is a bucket
+_MOST = 4_000_000    # spots of a bucket before equal ones are made one
+_ROWS = 2_000_000    # bytes of packed spots in a batch
 _SHARD = 1_000_000   # phrases in a trie
-_PIECE = 4_000_000   # bytes of a packed trie in a row
+_PARTS = 64          # of a language, ranked by themselves first
 _SLICE = 2_000_000   # bytes of text that a task looks at together
 _UNKNOWN = "und"
 
@@ -55,16 +59,23 @@ _BLANK = bytes(32 if k else b for b, k in enumerate(_KINDS.tolist()))
 
 
 class Text:
-    """The words of many texts in order: ``words``, ``owner`` (number of the word's text), and
-    ``run``: how many of the next words, up to two, stand in the same piece."""
+    """The words of many texts in order: ``codes``, places in ``names``, where a word may be more than
+    once, ``owner`` (number of the word's text), and ``run``: how many of the next words, up to two,
+    stand in the same piece."""
 
     def __init__(self, texts: list[str]):
         encoded = [t.encode().lower() for t in texts]
         data = b"\n".join(encoded) + b"\n"
         kinds = _KINDS[np.frombuffer(data, np.uint8)]
-        self.words = data.translate(_BLANK).split()
         inside = kinds == 0
         starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
+        # A word with the blanks behind it: few forms a word, found without an object for each.
+        coded = pa.Array.from_buffers(
+            pa.large_binary(), len(starts),
+            [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)),
+             pa.py_buffer(data.translate(_BLANK))]).dictionary_encode()
+        self.codes = coded.indices.to_numpy()
+        self.names = [w.rstrip(b" ") for w in coded.dictionary.to_pylist()]
         pieces = np.cumsum(kinds == 2, dtype=np.int32)[starts]
         one = np.zeros(len(starts), bool)
         one[:-1] = pieces[1:] == pieces[:-1]
@@ -74,6 +85,12 @@ class Text:
         ends = np.searchsorted(starts, np.cumsum([len(e) + 1 for e in encoded]))
         self.owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
 
+    def next(self, numbers: np.ndarray, k: int) -> np.ndarray:
+        """The ``numbers`` of the words ``k`` places on, -1 beyond the piece."""
+        found, live = np.full(len(numbers), -1, numbers.dtype), np.flatnonzero(self.run >= k)
+        found[live] = numbers[live + k]
+        return found
+
 
 def _languages(batch: pa.RecordBatch) -> list[str]:
     return [_UNKNOWN if v is None else v for v in batch.column("lang").to_pylist()]
@@ -91,17 +108,14 @@ class WordTable:
         self.hashes = np.zeros(0, np.uint64)
         self.langs: dict[str, int] = {}
 
-    def number(self, words: list[bytes]) -> np.ndarray:
+    def number(self, text: Text) -> np.ndarray:
         ids = self.ids
-        try:
-            return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in ids]
-            ids.update(zip(new, range(len(self.names), len(self.names) + len(new))))
-            self.names += new
-            more = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-            self.hashes = np.concatenate((self.hashes, more))
-            return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        new = [w for w in dict.fromkeys(text.names) if w not in ids]
+        ids.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+        self.names += new
+        more = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        self.hashes = np.concatenate((self.hashes, more))
+        return np.fromiter(map(ids.__getitem__, text.names), np.int64, len(text.names))[text.codes]
 
     def language(self, langs: list[str]) -> np.ndarray:
         return np.array([self.langs.setdefault(v, len(self.langs)) for v in langs], np.int64)
@@ -172,9 +186,9 @@ def look(docs: DataFrame, least: int) -> DataFrame:
 
         for batch in slices(batches, "text", _SLICE):
             text, langs = Text(texts_of(batch.column("text"))), _languages(batch)
-            if not text.words:
+            if not len(text.codes):
                 continue
-            ids = table.number(text.words)
+            ids = table.number(text)
             held.append(np.unique(table.language(langs)[text.owner] << 40 | ids,
                                   return_counts=True))
             found = phrase_slots(table.hashes[ids], _salts(langs)[text.owner], text.run)
@@ -190,13 +204,15 @@ def look(docs: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()),
                  pa.array([chunk], pa.int32()), pa.array([data], pa.binary())], names)
+        del table, counters, held
+        give_back()
 
     return stage(docs.mapInArrow(
         count, "lang string, word string, n long, chunk int, data binary"), "phrase-look")
 
 
 def safe_slots(seen: DataFrame, least: int) -> np.ndarray:
-    """One bit per counter: it reaches ``least``. 17 MB, whatever the input's size."""
+    """One bit per counter: it reaches ``least``. 9 MB, whatever the input's size."""
     most = min(least, 15)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,56 +236,175 @@ def safe_slots(seen: DataFrame, least: int) -> np.ndarray:
     return bits
 
 
-def candidates(docs: DataFrame, bits) -> DataFrame:
-    """Distinct (lang, phrase, words) of pairs and triples that may be frequent.
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes as all of them allow, after how many these are."""
+    size = 1 if (top := int(numbers.max(initial=0))) < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _dense(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (left, right), both from 0 to 2^31, and the place of each given one among them."""
+    codes, places = np.unique(left << 32 | right, return_inverse=True)
+    return codes >> 32, codes & (1 << 32) - 1, places
+
+
+def merged(lang: np.ndarray, words: list[np.ndarray], n: np.ndarray
+           ) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct spots with the sums of their counts. The third word is -1 where there is none."""
+    langs, first, head = _dense(lang, words[0])
+    heads, second, two = _dense(head, words[1])
+    pairs, third, place = _dense(two, words[2] + 1)
+    sums = np.bincount(place, n, len(pairs)).astype(np.int64)
+    return langs[heads[pairs]], [first[heads[pairs]], second[pairs], third - 1], sums
 
-    A task gives a phrase once as long as it remembers the phrase's 64-bit hash. Frequent phrases
-    occur in every task, so several splits of the input, up to ``_SPLITS``, are one task here as long
-    as every core has work.
-    """
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        safe, table, seen = bits.value, WordTable(), np.zeros(0, np.uint64)
+
+def gather(docs: DataFrame, bits, buckets: int) -> DataFrame:
+    """Spots at which a phrase may begin, packed by bucket: (bucket, langs, words, lang, first,
+    second, third, n). ``words`` are joined by spaces; ``first`` to ``third`` are arrays of places in
+    them, ``lang`` one of places in ``langs``. A third word that is none is beyond the last one."""
+    names = ["bucket", "langs", "words", "lang", "first", "second", "third", "n"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        safe, table = bits.value, WordTable()
+        held: list[np.ndarray] = []
 
         def holds(slots: np.ndarray) -> np.ndarray:
             return safe[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1 == 1
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            spots = np.concatenate(held, axis=1)
+            held.clear()
+            spots = spots[:, np.argsort(spots[0], kind="stable")]
+            begins = np.flatnonzero(np.diff(spots[0], prepend=-1))
+            langs, rows, size = list(table.langs), [], 0
+            for own in np.split(spots, begins[1:], axis=1):
+                bucket, own = int(own[0, 0]), own.astype(np.int64)
+                used, place = np.unique(own[2:5], return_inverse=True)
+                known, lang = np.unique(own[1], return_inverse=True)
+                if none := int(used[0] < 0):
+                    used = used[1:]
+                place = (place - none).reshape(3, -1)
+                place[2][place[2] < 0] = len(used)
+                n, room = np.ones(len(lang), np.int64), len(used) + 1
+                if len(known) * room ** 3 < 1 << 63:  # else equal spots stay apart
+                    codes, n = np.unique(
+                        ((lang * room + place[0]) * room + place[1]) * room + place[2],
+                        return_counts=True)
+                    lang, place = codes // room ** 3, [codes // room ** k % room for k in (2, 1, 0)]
+                rows.append((bucket, [langs[v] for v in known.tolist()],
+                             b" ".join([table.names[w] for w in used.tolist()]).decode(),
+                             *map(_narrow, (lang, *place, n))))
+                size += sum(map(len, rows[-1][2:]))
+                if size > _ROWS:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.list_(pa.string()), pa.string(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+
         for batch in slices(batches, "text", _SLICE):
             text, langs = Text(texts_of(batch.column("text"))), _languages(batch)
-            if not text.words:
+            if not len(text.codes):
                 continue
             if len(table.names) > _WORDS:
+                if held:
+                    yield from flush()
                 table.clear()
-            ids, salt = table.number(text.words), _salts(langs)[text.owner]
-            hashes = table.hashes[ids]
-            (_, one), (two, pairs), (three, triples) = phrase_slots(hashes, salt, text.run)
+            ids, salt = table.number(text), _salts(langs)[text.owner]
+            (_, one), (two, pairs), (three, triples) = phrase_slots(
+                table.hashes[ids], salt, text.run)
             word = holds(one)
+            may = word[two] & word[two + 1] & holds(pairs)
             pair = np.zeros(len(ids), bool)
-            pair[two] = word[two] & word[two + 1] & holds(pairs)
-            triple = three[pair[three] & pair[three + 1] & holds(triples)]
-            for length, at in ((2, np.flatnonzero(pair)), (3, triple)):
-                mark = _mix(hashes[at] ^ _mix(salt[at]))
-                for k in range(1, length):
-                    mark = _mix(mark + np.uint64(length) + _mix(hashes[at + k]))
-                mark, first = np.unique(mark, return_index=True)
-                place = np.minimum(np.searchsorted(seen, mark), max(0, len(seen) - 1))
-                new = seen[place] != mark if len(seen) else np.ones(len(mark), bool)
-                # Both are in order, so that the stable sort merges them.
-                seen = mark if len(seen) > _MARKS else np.sort(
-                    np.concatenate((seen, mark[new])), kind="stable")
-                begin = at[first[new]].tolist()
-                if begin:
-                    words = text.words
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([langs[o] for o in text.owner[begin].tolist()], pa.string()),
-                         pa.array([b" ".join(words[b:b + length]).decode() for b in begin],
-                                  pa.string()),
-                         pa.array(np.full(len(begin), length, np.int32))],
-                        ["lang", "phrase", "words"])
-
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores, -(-docs.rdd.getNumPartitions() // _SPLITS))
-    return docs.coalesce(tasks).mapInArrow(
-        find, "lang string, phrase string, words int").distinct()
+            pair[two] = may
+            long = three[pair[three] & pair[three + 1] & holds(triples)]
+            third = np.full(len(ids), -1)
+            third[long] = ids[long + 2]
+            at = two[may]
+            if len(at):
+                held.append(np.stack([
+                    pairs[may] * buckets >> SLOT_BITS, table.language(langs)[text.owner[at]],
+                    ids[at], ids[at + 1], third[at]]).astype(np.int32))
+            if sum(h.shape[1] for h in held) > _HELD:
+                yield from flush()
+        if held:
+            yield from flush()
+        table.clear()
+        give_back()
+
+    return docs.mapInArrow(send, """bucket int, langs array<string>, words string, lang binary,
+        first binary, second binary, third binary, n binary""")
+
+
+class Spots:
+    """All spots of a bucket: ``lang`` and ``words`` (three arrays, the third with -1 for none) are
+    numbers of ``langs`` and ``names``, ``n`` are counts."""
+
+    def __init__(self, table: pa.Table):
+        split = pc.split_pattern(table.column("words").combine_chunks(), " ")
+        coded, langs = split.flatten().dictionary_encode(), table.column("langs").combine_chunks()
+        spoken = langs.flatten().dictionary_encode()
+        self.names, self.langs = coded.dictionary, spoken.dictionary
+        ids, own = (c.indices.to_numpy().astype(np.int64) for c in (coded, spoken))
+        held: list[tuple] = []
+
+        def merge() -> None:
+            lang, first, second, third, n = map(np.concatenate, zip(*held))
+            lang, words, n = merged(lang, [first, second, third], n)
+            held[:] = [(lang, *words, n)]
+
+        begins, starts = np.cumsum(pc.list_value_length(split)), np.cumsum(pc.list_value_length(langs))
+        count = least = 0
+        for i, row in enumerate(zip(*(table.column(c).to_pylist() for c in (
+                "lang", "first", "second", "third", "n")))):
+            lang, first, second, third, n = map(_wide, row)
+            word = np.append(ids[begins[i - 1] if i else 0:begins[i]], -1)
+            speech = own[starts[i - 1] if i else 0:starts[i]]
+            held.append((speech[lang], word[first], word[second], word[third], n))
+            count += len(n)
+            if count > max(_MOST, 2 * least):
+                merge()
+                count = least = len(held[0][-1])
+        self.lang, *self.words, self.n = map(np.concatenate, zip(*held))
+
+
+def candidates(spots: Spots, least: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Distinct phrases of ``spots`` that may be there ``least`` times: languages, phrases, and how
+    many words these have."""
+    bits = np.uint64(64 - max(10, int(4 * len(spots.n)).bit_length()))
+
+    def frequent(marks: np.ndarray, n: np.ndarray) -> np.ndarray:
+        slots = (marks >> bits).astype(np.int64)
+        return np.bincount(slots, n)[slots] >= least if len(slots) else np.zeros(0, bool)
+
+    lang, (first, second, third), n = spots.lang, spots.words, spots.n
+    mark = _mix(_mix((lang << 32 | first).astype(np.uint64)) + second.astype(np.uint64))
+    pair = frequent(mark, n)
+    long = np.flatnonzero(pair & (third >= 0))
+    more = frequent(_mix(~mark[long] + third[long].astype(np.uint64)), n[long])
+    long = long[more]
+    at = np.flatnonzero(pair)
+    langs, one, head = _dense(lang[at], first[at])
+    heads, two, pairs = _dense(head, second[at])
+    place = np.zeros(len(lang), np.int64)
+    place[at] = pairs
+    owners, three, _ = _dense(place[long], third[long])
+
+    def phrase(*words: np.ndarray) -> pa.Array:
+        return pc.binary_join_element_wise(*[spots.names.take(pa.array(w)) for w in words], " ")
+
+    own = heads[owners]
+    return (spots.langs.take(pa.array(langs[np.concatenate((heads, own))])),
+            pa.concat_arrays([phrase(one[heads], two), phrase(one[own], two[owners], three)]),
+            np.repeat([2, 3], [len(two), len(three)]))
 
 
 class Trie:
@@ -375,15 +510,21 @@ class Trie:
 
     def count(self, text: Text, langs: list[str], totals: np.ndarray) -> None:
         """Add the numbers of accepted phrases at all positions of ``text`` to ``totals``."""
-        ids = np.fromiter(map(self.words.get, text.words, repeat(-1)), np.int64, len(text.words))
+        ids = self.number(text.names)[text.codes]
         own = np.array([self.langs.get(v, -1) for v in langs], np.int64)[text.owner]
+        self.add(own, [ids, text.next(ids, 1), text.next(ids, 2)], np.ones(len(ids)), totals)
+
+    def number(self, words: list[bytes]) -> np.ndarray:
+        """The trie's numbers of words, -1 for those that it doesn't hold."""
+        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+
+    def add(self, own: np.ndarray, words: list[np.ndarray], n: np.ndarray, totals: np.ndarray) -> None:
+        """Add ``n`` to the ``totals`` of the phrases that begin at each spot. ``own`` and ``words``
+        are the trie's numbers of languages and of the three words from there on, -1 for none."""
         at = np.flatnonzero(own >= 0)
         states = self.roots + own[at]
-        for level in range(3):
-            if level:
-                live = text.run[at] >= level
-                at, states = at[live], states[live]
-            word = ids[at + level]
+        for some in words:
+            word = some[at]
             live = word >= 0
             at, states, word = at[live], states[live], word[live]
             states = self.step(states, word >> self.bits)
@@ -393,84 +534,32 @@ class Trie:
             live = states >= 0
             at, states = at[live], states[live]
             found = self.accept[states]
-            found = found[found >= 0]
-            if len(found):
-                totals += np.bincount(found, minlength=self.size)
-
-
-def make_tries(numbered: DataFrame) -> DataFrame:
-    """Staged pieces of a packed trie per shard (shard, piece, data), each made in one task."""
-    def make(table: pa.Table) -> pa.Table:
-        table = table.sort_by("number").combine_chunks()
-        columns = [table.column(c).combine_chunks() for c in ("lang", "phrase")]
-        shard = table.column("shard")[0].as_py()
-        del table
-        data = Trie(*columns).pack()
-        pieces = [data[i:i + _PIECE] for i in range(0, len(data), _PIECE)]
-        return pa.table({"shard": pa.array([shard] * len(pieces), pa.int64()),
-                         "piece": pa.array(range(len(pieces)), pa.int32()),
-                         "data": pa.array(pieces, pa.binary())})
-
-    return stage(numbered.select("shard", "number", "lang", "phrase").groupBy("shard")
-                 .applyInArrow(make, "shard long, piece int, data binary"), "tries")
-
-
-def count_phrases(docs: DataFrame, wanted: DataFrame, shard: int = _SHARD) -> DataFrame:
-    """(lang, phrase, words, f) for the distinct ``wanted`` (lang, phrase, words), each counted
-    over all texts of its language. The driver passes on one trie of ``shard`` phrases at a time;
-    each takes a pass over the texts."""
-    spark = docs.sparkSession
-    numbered = global_rank(wanted, ["lang", "phrase"], "rank").select(
-        "lang", "phrase", "words", (F.col("rank") - 1).alias("number"),
-        F.expr(f"(rank - 1) div {int(shard)}").alias("shard"))
-    tries = make_tries(numbered)
-    counts = None
-    for s in range(-(-wanted.count() // shard)):
-        pieces = sorted((r["piece"], r["data"]) for r in tries.where(F.col("shard") == s)
-                        .select("piece", "data").toLocalIterator())
-        shared = spark.sparkContext.broadcast(b"".join(d for _, d in pieces))
-        del pieces
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared, begin=s * shard,
-                  own=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            trie, totals = None, None
-            for batch in slices(batches, "text", _SLICE):
-                if trie is None:
-                    trie = kept(("trie", own), lambda: Trie.unpack(shared.value))
-                    totals = np.zeros(trie.size, np.int64)
-                langs = _languages(batch)
-                mine = [i for i, v in enumerate(langs) if v in trie.langs]
-                if mine:
-                    texts = texts_of(batch.column("text").take(pa.array(mine)))
-                    trie.count(Text(texts), [langs[i] for i in mine], totals)
-            for at in range(0, 0 if trie is None else trie.size, _CHUNK):
-                some = totals[at:at + _CHUNK]
-                if some.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([begin + at], pa.int64()), pa.array([some.tobytes()], pa.binary())],
-                        ["begin", "data"])
-
-        found = stage(docs.mapInArrow(count, "begin long, data binary"), "phrase-counts")
-        shared.destroy()
-        counts = found if counts is None else counts.unionByName(found)
-    if counts is None:
-        return wanted.where("false").withColumn("f", F.lit(0).cast("long"))
-    sums = counts.repartition("begin").mapInArrow(sum_counts, "number long, f long")
-    return numbered.join(sums, "number").select("lang", "phrase", "words", "f")
-
-
-def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number, f) from arrays of counts that begin at a number: equal ``begin`` are summed."""
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for begin, data in zip(batch.column("begin").to_pylist(),
-                               batch.column("data").to_pylist()):
-            own = np.frombuffer(data, np.int64)
-            totals[begin] = totals[begin] + own if begin in totals else own
-    for begin, own in totals.items():
-        filled = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(begin + filled), pa.array(own[filled])], ["number", "f"])
+            live = found >= 0
+            if live.any():
+                totals += np.bincount(found[live], n[at[live]], self.size).astype(np.int64)
+
+
+def count_phrases(gathered: DataFrame, least: int, shard: int = _SHARD) -> DataFrame:
+    """(lang, phrase, words, f) for all phrases that are at least ``least`` times in the spots of
+    :func:`gather`. A trie holds ``shard`` phrases at most; each goes over its own bucket only."""
+    def count(table: pa.Table) -> pa.Table:
+        give_back()
+        spots = Spots(table)
+        langs, phrases, words = candidates(spots, least)
+        names = [w.encode() for w in spots.names.to_pylist()]
+        f = np.zeros(len(words), np.int64)
+        for begin in range(0, len(words), shard):
+            trie = Trie(langs[begin:begin + shard], phrases[begin:begin + shard])
+            own = np.array([trie.langs.get(v, -1) for v in spots.langs.to_pylist()])[spots.lang]
+            # The last number stands for no word.
+            known = np.append(trie.number(names), -1)
+            trie.add(own, [known[w] for w in spots.words], spots.n, f[begin:begin + shard])
+        live = pa.array(f >= least)
+        return pa.table({"lang": langs, "phrase": phrases, "words": pa.array(words, pa.int32()),
+                         "f": f}).filter(live)
+
+    return gathered.groupBy("bucket").applyInArrow(
+        count, "lang string, phrase string, words int, f long")
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:
@@ -500,8 +589,8 @@ def collocations(docs: DataFrame, least: int = 10, inside: int = 50, best: int =
         F.sum("n").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     bits = spark.sparkContext.broadcast(safe_slots(seen, least))
-    wanted = stage(candidates(own, bits), "phrases")
-    counted = stage(count_phrases(own, wanted, shard).where(F.col("f") >= least), "phrases-counted")
+    buckets = min(1 << SLOT_BITS, 1 + (words.agg(F.sum("f")).first()[0] or 0) // _BUCKET)
+    counted = stage(count_phrases(gather(own, bits, buckets), least, shard), "phrases-counted")
     bits.destroy()
     return rank_phrases(counted, words.where(F.col("f") >= least), totals, inside, best)
 
@@ -533,8 +622,11 @@ def rank_phrases(counted: DataFrame, words: DataFrame, totals: DataFrame, inside
               .groupBy("lang", "phrase").agg(F.max("f").alias("_longer")))
     free = (two.join(longer, ["lang", "phrase"], "left")
             .where(F.coalesce(100 * F.col("_longer") < inside * a, F.lit(True))).drop("_longer"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"), "phrase")
-    return (free.unionByName(three).withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= best).join(totals, "lang")
+    ranked, order = free.unionByName(three), [F.desc("score"), F.desc("f"), "phrase"]
+    # The best of each part of a language first, so that no task sorts a whole language.
+    for keys in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(_PARTS))], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(
+            Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= best)
+    return (ranked.join(totals, "lang")
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase",
                     F.col("f").alias("a"), "l", "r", "n", "score"))

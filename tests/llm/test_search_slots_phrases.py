@@ -253,6 +253,36 @@ def test_collocations(spark, talk):
     assert collocations(table(spark, [(1, "a b", "en")])).count() == 0
 
 
+def test_texts_are_read_twice_for_any_number_of_tries(spark, talk, monkeypatch):
+    """Spots are dealt to buckets, each with tries of its own, however many there are."""
+    for name, value in (("_BUCKET", 500), ("_HELD", 3000), ("_MOST", 200), ("_WORDS", 30),
+                        ("_ROWS", 2000), ("_PARTS", 3)):
+        monkeypatch.setattr(phrases, name, value)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = table(spark, talk).repartition(5)
+    got = collocations(docs.mapInArrow(seen, docs.schema), shard=7, best=25).collect()
+    assert sorted(map(tuple, got)) == plain_phrases(talk, 10, 50, 25)
+    assert read.value == 2 * len(talk)
+
+
+def test_spots_are_merged():
+    draw = np.random.default_rng(4)
+    lang, n = draw.integers(0, 3, 5000), draw.integers(1, 9, 5000)
+    words = [draw.integers(0, 12, 5000) for _ in range(2)] + [draw.integers(-1, 12, 5000)]
+    want = Counter()
+    for *key, count in zip(lang.tolist(), *(w.tolist() for w in words), n.tolist()):
+        want[tuple(key)] += count
+    langs, found, sums = phrases.merged(lang, words, n)
+    assert dict(zip(zip(langs.tolist(), *(w.tolist() for w in found)), sums.tolist())) == want
+    assert len(sums) == len(want)
+
+
 def test_score_beyond_64_bits(spark):
     a, l, r = 3 * 10 ** 12 + 7, 4 * 10 ** 12 + 1, 5 * 10 ** 12 + 3
     row = spark.range(1).select(phrases._score(F.lit(a), F.lit(l), F.lit(r)).alias("s")).first()
