@@ -41,9 +41,10 @@ _WORD_BITS = 22      # counters for words
 _SLOTS = (2 << SLOT_BITS) + (1 << _WORD_BITS)
 _CHUNK = 1 << 16     # counters in a row of their table
 _WORDS = 250_000     # words that a task remembers
-_HELD = 1_000_000    # spots that a task holds before it passes them on
-_BUCKET = 1_000_000  # words of the input for which there is a bucket
-_MOST = 4_000_000    # spots of a bucket before equal ones are made one
+_HELD = 2_000_000    # spots that a task holds before it passes them on
+_BUCKET = 4_000_000  # words of the input for which there is a bucket
+_MOST = 8_000_000    # spots of a bucket before equal ones are made one
+_PART = 1_000_000    # spots of a bucket that are counted together
 _ROWS = 2_000_000    # bytes of packed spots in a batch
 _SHARD = 1_000_000   # phrases in a trie
 _PARTS = 64          # of a language, ranked by themselves first
@@ -231,7 +232,7 @@ def safe_slots(seen: DataFrame, least: int) -> np.ndarray:
     bits = np.zeros(_SLOTS // 8, np.uint8)
     summed = (seen.where("chunk IS NOT NULL").select("chunk", "data").repartition("chunk")
               .mapInArrow(add, "chunk int, data binary"))
-    for row in summed.toLocalIterator():
+    for row in summed.collect():
         bits[row["chunk"] * _CHUNK // 8:][:_CHUNK // 8] = np.frombuffer(row["data"], np.uint8)
     return bits
 
@@ -248,7 +249,7 @@ def _wide(data: bytes) -> np.ndarray:
 
 def _dense(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (left, right), both from 0 to 2^31, and the place of each given one among them."""
-    codes, places = np.unique(left << 32 | right, return_inverse=True)
+    codes, places = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
     return codes >> 32, codes & (1 << 32) - 1, places
 
 
@@ -278,11 +279,12 @@ def gather(docs: DataFrame, bits, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             spots = np.concatenate(held, axis=1)
             held.clear()
-            spots = spots[:, np.argsort(spots[0], kind="stable")]
-            begins = np.flatnonzero(np.diff(spots[0], prepend=-1))
+            order = np.argsort(spots[0], kind="stable")
+            begins = np.flatnonzero(np.diff(spots[0][order])) + 1
             langs, rows, size = list(table.langs), [], 0
-            for own in np.split(spots, begins[1:], axis=1):
-                bucket, own = int(own[0, 0]), own.astype(np.int64)
+            for at in np.split(order, begins):
+                own = spots[:, at].astype(np.int64)
+                bucket = int(own[0, 0])
                 used, place = np.unique(own[2:5], return_inverse=True)
                 known, lang = np.unique(own[1], return_inverse=True)
                 if none := int(used[0] < 0):
@@ -345,35 +347,54 @@ def gather(docs: DataFrame, bits, buckets: int) -> DataFrame:
 
 
 class Spots:
-    """All spots of a bucket: ``lang`` and ``words`` (three arrays, the third with -1 for none) are
-    numbers of ``langs`` and ``names``, ``n`` are counts."""
+    """Spots of a bucket: ``lang`` and ``words`` (three arrays, the third with -1 for none) are numbers
+    of ``langs`` and ``names``, ``n`` are counts."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, langs: pa.Array, names: pa.Array, lang: np.ndarray, words: list[np.ndarray],
+                 n: np.ndarray):
+        self.langs, self.names, self.lang, self.words, self.n = langs, names, lang, words, n
+
+    @staticmethod
+    def unpack(table: pa.Table) -> Spots:
+        """All that :func:`gather` gives for a bucket."""
         split = pc.split_pattern(table.column("words").combine_chunks(), " ")
         coded, langs = split.flatten().dictionary_encode(), table.column("langs").combine_chunks()
         spoken = langs.flatten().dictionary_encode()
-        self.names, self.langs = coded.dictionary, spoken.dictionary
-        ids, own = (c.indices.to_numpy().astype(np.int64) for c in (coded, spoken))
-        held: list[tuple] = []
-
-        def merge() -> None:
-            lang, first, second, third, n = map(np.concatenate, zip(*held))
-            lang, words, n = merged(lang, [first, second, third], n)
-            held[:] = [(lang, *words, n)]
-
-        begins, starts = np.cumsum(pc.list_value_length(split)), np.cumsum(pc.list_value_length(langs))
+        ids, own = coded.indices.to_numpy(), spoken.indices.to_numpy()
+        ends, stops = (np.append(0, np.cumsum(pc.list_value_length(c))) for c in (split, langs))
+        held: list[list[np.ndarray]] = [[] for _ in range(5)]
         count = least = 0
-        for i, row in enumerate(zip(*(table.column(c).to_pylist() for c in (
-                "lang", "first", "second", "third", "n")))):
-            lang, first, second, third, n = map(_wide, row)
-            word = np.append(ids[begins[i - 1] if i else 0:begins[i]], -1)
-            speech = own[starts[i - 1] if i else 0:starts[i]]
-            held.append((speech[lang], word[first], word[second], word[third], n))
+        for i in range(table.num_rows):
+            word, speech = np.append(ids[ends[i]:ends[i + 1]], np.int32(-1)), own[stops[i]:stops[i + 1]]
+            lang, *words, n = (_wide(table.column(c)[i].as_py()) for c in (
+                "lang", "first", "second", "third", "n"))
+            for column, some in zip(held, (speech[lang], *(word[w] for w in words), n)):
+                column.append(some)
             count += len(n)
             if count > max(_MOST, 2 * least):
-                merge()
-                count = least = len(held[0][-1])
-        self.lang, *self.words, self.n = map(np.concatenate, zip(*held))
+                lang, *words, n = map(np.concatenate, held)
+                lang, words, n = merged(lang, words, n)
+                held = [[a.astype(np.int32)] for a in (lang, *words)] + [[n]]
+                count = least = len(n)
+        for k in range(5):  # one by one, so that no more than one of them is there twice
+            held[k] = np.concatenate(held[k])
+        return Spots(spoken.dictionary, coded.dictionary, held[0], held[1:4], held[4])
+
+    def mark(self) -> np.ndarray:
+        """Hashes of languages and pairs."""
+        return _mix(_mix(self.lang.astype(np.uint64) << np.uint64(32) | self.words[0].astype(np.uint64))
+                    + self.words[1].astype(np.uint64))
+
+    def parts(self, size: int) -> Iterator[Spots]:
+        """About ``size`` spots at a time, those of a pair together."""
+        parts = 1 + len(self.n) // size
+        if parts == 1:
+            yield self
+            return
+        own = self.mark() % np.uint64(parts)
+        for k in range(parts):
+            at = np.flatnonzero(own == k)
+            yield Spots(self.langs, self.names, self.lang[at], [w[at] for w in self.words], self.n[at])
 
 
 def candidates(spots: Spots, least: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
@@ -386,7 +407,7 @@ def candidates(spots: Spots, least: int) -> tuple[pa.Array, pa.Array, np.ndarray
         return np.bincount(slots, n)[slots] >= least if len(slots) else np.zeros(0, bool)
 
     lang, (first, second, third), n = spots.lang, spots.words, spots.n
-    mark = _mix(_mix((lang << 32 | first).astype(np.uint64)) + second.astype(np.uint64))
+    mark = spots.mark()
     pair = frequent(mark, n)
     long = np.flatnonzero(pair & (third >= 0))
     more = frequent(_mix(~mark[long] + third[long].astype(np.uint64)), n[long])
@@ -539,24 +560,30 @@ class Trie:
                 totals += np.bincount(found[live], n[at[live]], self.size).astype(np.int64)
 
 
+def count_part(spots: Spots, least: int, shard: int) -> pa.Table:
+    """(lang, phrase, words, f) for the phrases that are at least ``least`` times in ``spots``."""
+    langs, phrases, words = candidates(spots, least)
+    f = np.zeros(len(words), np.int64)
+    for begin in range(0, len(words), shard):
+        trie = Trie(langs[begin:begin + shard], phrases[begin:begin + shard])
+        own, known = (pc.fill_null(pc.index_in(names, value_set=pa.array(list(numbers)).cast(
+            pa.string())), -1).to_numpy().astype(np.int64) for names, numbers in (
+                (spots.langs, trie.langs), (spots.names, trie.words)))
+        known = np.append(known, -1)  # the last number stands for no word
+        trie.add(own[spots.lang], [known[w] for w in spots.words], spots.n, f[begin:begin + shard])
+    return pa.table({"lang": langs, "phrase": phrases, "words": pa.array(words, pa.int32()),
+                     "f": f}).filter(pa.array(f >= least))
+
+
 def count_phrases(gathered: DataFrame, least: int, shard: int = _SHARD) -> DataFrame:
     """(lang, phrase, words, f) for all phrases that are at least ``least`` times in the spots of
     :func:`gather`. A trie holds ``shard`` phrases at most; each goes over its own bucket only."""
     def count(table: pa.Table) -> pa.Table:
         give_back()
-        spots = Spots(table)
-        langs, phrases, words = candidates(spots, least)
-        names = [w.encode() for w in spots.names.to_pylist()]
-        f = np.zeros(len(words), np.int64)
-        for begin in range(0, len(words), shard):
-            trie = Trie(langs[begin:begin + shard], phrases[begin:begin + shard])
-            own = np.array([trie.langs.get(v, -1) for v in spots.langs.to_pylist()])[spots.lang]
-            # The last number stands for no word.
-            known = np.append(trie.number(names), -1)
-            trie.add(own, [known[w] for w in spots.words], spots.n, f[begin:begin + shard])
-        live = pa.array(f >= least)
-        return pa.table({"lang": langs, "phrase": phrases, "words": pa.array(words, pa.int32()),
-                         "f": f}).filter(live)
+        spots = Spots.unpack(table)
+        del table
+        found = [count_part(part, least, shard) for part in spots.parts(_PART)]
+        return pa.concat_tables(found)
 
     return gathered.groupBy("bucket").applyInArrow(
         count, "lang string, phrase string, words int, f long")

@@ -255,8 +255,8 @@ def test_collocations(spark, talk):
 
 def test_texts_are_read_twice_for_any_number_of_tries(spark, talk, monkeypatch):
     """Spots are dealt to buckets, each with tries of its own, however many there are."""
-    for name, value in (("_BUCKET", 500), ("_HELD", 3000), ("_MOST", 200), ("_WORDS", 30),
-                        ("_ROWS", 2000), ("_PARTS", 3)):
+    for name, value in (("_BUCKET", 5000), ("_HELD", 3000), ("_MOST", 900), ("_PART", 300),
+                        ("_WORDS", 30), ("_ROWS", 2000), ("_PARTS", 3)):
         monkeypatch.setattr(phrases, name, value)
     read = spark.sparkContext.accumulator(0)
 
