@@ -42,9 +42,9 @@ _SLOTS = (2 << SLOT_BITS) + (1 << _WORD_BITS)
 _CHUNK = 1 << 16     # counters in a row of their table
 _WORDS = 250_000     # words that a task remembers
 _HELD = 2_000_000    # spots that a task holds before it passes them on
-_BUCKET = 4_000_000  # words of the input for which there is a bucket
-_MOST = 8_000_000    # spots of a bucket before equal ones are made one
-_PART = 1_000_000    # spots of a bucket that are counted together
+_BUCKET = 1_000_000  # words of the input for which there is a bucket
+_MOST = 4_000_000    # spots of a bucket before equal ones are made one
+_PART = 250_000      # spots of a bucket that are counted together
 _ROWS = 2_000_000    # bytes of packed spots in a batch
 _SHARD = 1_000_000   # phrases in a trie
 _PARTS = 64          # of a language, ranked by themselves first
